@@ -84,7 +84,8 @@ def word_counts(raw: np.ndarray, begins: np.ndarray, buckets: int) -> tuple[np.n
 
 
 def gram_counts(texts: list[str], buckets: int, orders: tuple[int, ...] = (1, 2, 3), slice_: int = 1_000_000) -> np.ndarray:
-    """Counts (texts, buckets) of the hashed n-grams of the lower-cased texts' code points, digits taken as 0. A text
+    """Counts (texts, buckets) of the hashed n-grams of the lower-cased texts' code points, ASCII other than
+    letters taken as spaces. A text
     longer than a slice is counted slice by slice."""
     out = np.zeros((len(texts), buckets), np.float32)
     group: list[tuple[int, str]] = []
@@ -110,7 +111,7 @@ def gram_counts(texts: list[str], buckets: int, orders: tuple[int, ...] = (1, 2,
 def _count(group: list[tuple[int, str]], out: np.ndarray, buckets: int, orders: tuple[int, ...], over: int = 0) -> None:
     """Adds the n-grams that lie in one part; with over, those that begin in its last letters are the next part's."""
     codes = np.frombuffer("".join(p for _, p in group).encode("utf-32-le", "surrogatepass"), np.uint32)
-    codes = np.where((codes >= 48) & (codes <= 57), np.uint32(48), codes)
+    codes = np.where((codes < 128) & ((codes < 97) | (codes > 122)), np.uint32(32), codes)
     sizes = np.array([len(p) for _, p in group])
     rows = np.arange(len(group))
     flat = np.zeros(len(group) * buckets, np.int64)

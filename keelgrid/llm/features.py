@@ -100,7 +100,7 @@ def gram_counts(texts: list[str], buckets: int, orders: tuple[int, ...] = (1, 2,
                 group, held = [], 0
             group.append((i, part))
             held += len(part)
-            if len(part) - over >= slice_:  # the next part of this text repeats the last letters for longer n-grams only
+            if at + slice_ < len(text) - over:  # the next part of this text repeats the last letters for longer n-grams only
                 _count(group, out, buckets, orders, over)
                 group, held = [], 0
     if group:

@@ -54,7 +54,9 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
 def _removed(df: DataFrame, marks: DataFrame, id_col: str, text_col: str, key: Column, cut: Column, size: int) -> DataFrame:
     names = [c for c in df.columns if c.lower() not in ("line_count", "removed_lines")]
-    joined = df.withColumn("kg_hash", key).join(marks, F.col(id_col).eqNullSafe(F.col("kg_id")) & (F.col("kg_hash") == F.col("kg_key")), "left").withColumn("kg_lines", cut)
+    rest = [c for c in names if c not in (id_col, text_col)]
+    rows = df.select(F.col(id_col).alias("own_id"), key.alias("own_key"), F.col(text_col).alias("own_text"), F.struct(F.lit(0).alias("none"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest))).alias("own_rest"), cut.alias("kg_lines"))
+    joined = rows.join(marks, F.col("own_id").eqNullSafe(F.col("kg_id")) & (F.col("own_key") == F.col("kg_key")), "left")
     # Marks are ascending: between two marks the lines that stay form one slice, so that a text is cut in one pass.
     ends = lambda m: F.concat(m, F.array(F.size("kg_lines")))
     starts = lambda m: F.concat(F.array(F.lit(0)), F.transform(m, lambda p: p + size))
@@ -62,8 +64,8 @@ def _removed(df: DataFrame, marks: DataFrame, id_col: str, text_col: str, key: C
         F.struct(starts(F.col("kg_marks")).alias("a"), ends(F.col("kg_marks")).alias("b")),
         lambda s: F.flatten(F.transform(F.arrays_zip(s["a"], s["b"]), lambda x: F.slice(F.col("kg_lines"), x["a"] + 1, F.greatest(x["b"] - x["a"], F.lit(0))))),
     )
-    kept = F.when(F.col("kg_marks").isNotNull(), pieces).otherwise(F.col("kg_lines"))
-    done = joined.withColumn("kg_kept", kept)
-    text = F.when(F.col("kg_marks").isNull(), F.col(text_col)).otherwise(F.array_join("kg_kept", "\n")).alias(text_col)
-    whole = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size("kg_lines")).cast("long")
-    return done.select(*(text if c == text_col else F.col(f"`{c}`") for c in names), whole.alias("line_count"), F.when(F.col("kg_marks").isNull(), F.lit(0)).otherwise(whole - F.size("kg_kept")).cast("long").alias("removed_lines"))
+    done = joined.withColumn("kg_kept", F.when(F.col("kg_marks").isNotNull(), pieces).otherwise(F.col("kg_lines")))
+    text = F.when(F.col("kg_marks").isNull(), F.col("own_text")).otherwise(F.array_join("kg_kept", "\n"))
+    whole = F.when(F.col("own_text").isNull(), F.lit(0)).otherwise(F.size("kg_lines")).cast("long")
+    value = {id_col: F.col("own_id"), text_col: text} | {c: F.col(f"own_rest.c{i}") for i, c in enumerate(rest)}
+    return done.select(*(value[c].alias(c) for c in names), whole.alias("line_count"), F.when(F.col("kg_marks").isNull(), F.lit(0)).otherwise(whole - F.size("kg_kept")).cast("long").alias("removed_lines"))

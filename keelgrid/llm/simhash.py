@@ -209,5 +209,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     # One row a fingerprint before classes meet, so a hot fingerprint is summed where it lies.
     first = prints.groupBy(F.col("fingerprint")).agg(F.min(order).alias("kg_first"))
     first = first.join(of, F.col("fingerprint") == F.col("kg_fp")).groupBy("kg_root").agg(F.min("kg_first").alias("f")).select(F.col("f.b").alias("kg_id"), F.col("f.c").alias("kg_key"))
-    kept = df.withColumn("kg_hash", F.xxhash64(text_col)).join(first, F.col(id_col).eqNullSafe(F.col("kg_id")) & (F.col("kg_hash") == F.col("kg_key")), "left_semi")
-    return kept.dropDuplicates([id_col, "kg_hash"]).select(df.columns)
+    hash_ = next(n for n in (f"kg_hash{i}" for i in range(len(df.columns) + 1)) if n not in df.columns)
+    left = df.withColumn(hash_, F.xxhash64(text_col))
+    kept = left.join(first, left[id_col].eqNullSafe(first["kg_id"]) & (left[hash_] == first["kg_key"]), "left_semi")
+    return kept.dropDuplicates([id_col, hash_]).select(df.columns)

@@ -73,6 +73,10 @@ def rule_of(host: Column, path: Column, rules: Iterable[tuple[str, str, str]] =
     return name, action
 
 
+def _bucket(mark: str, buckets: int):
+    return lambda gram: F.pmod(F.xxhash64(F.lit(mark), gram), F.lit(buckets)).cast("int")
+
+
 def features(host: Column, path: Column, buckets: int = BUCKETS, orders: tuple[int, ...] = ORDERS) -> Column:
     """Buckets of the character n-grams of host and path, each marked with its part."""
     parts = []
@@ -80,7 +84,7 @@ def features(host: Column, path: Column, buckets: int = BUCKETS, orders: tuple[i
         whole = F.concat(F.lit("^"), text, F.lit("$"))
         for n in orders:
             grams = F.regexp_extract_all(whole, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
-            parts.append(F.transform(grams, lambda g, m=mark: F.pmod(F.xxhash64(F.lit(m), g), F.lit(buckets)).cast("int")))
+            parts.append(F.transform(grams, _bucket(mark, buckets)))
     return F.concat(*parts)
 
 

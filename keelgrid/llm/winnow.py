@@ -78,21 +78,24 @@ def compare_edited(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     null id comes before all, rows of one id are ordered by the hash of the text. A single document follows itself.
 
     Rows are cut into blocks by the id itself (id div width): a block has at most `width` different ids whatever the ids
-    are, and is what one task orders. Text and fingerprint are shuffled once, by block; both readers below share that
-    exchange. A block's last row gets the first row of the next block over a join of one row a block."""
-    base = df.select(F.col(id_col).alias("kg_id"), F.coalesce(F.col(text_col), F.lit("")).alias("kg_text"))
-    base = base.select("kg_id", "kg_text", winnow(F.col("kg_text"), k, window).alias("kg_print"), block_of("kg_id", width).alias("kg_block")).repartition("kg_block")
+    are, and is what one task orders. The texts are shuffled once, by block; both readers below share that exchange. A block's last row gets the first row of the next block over a join of one row a block."""
+    # A null id's block is below all others: keys without nulls let the join below use the exchange as it is.
+    none = F.lit(-(1 << 62))
+    block = F.coalesce(block_of(id_col, width), none)
+    base = df.select(F.col(id_col).alias("kg_id"), F.coalesce(F.col(text_col), F.lit("")).alias("kg_text"), block.alias("kg_block")).repartition("kg_block")
     order = Window.partitionBy("kg_block").orderBy(F.asc_nulls_first("kg_id"), F.xxhash64("kg_text"))
-    ahead = F.struct("kg_text", "kg_print")
-    rows = base.select("kg_id", "kg_text", "kg_print", "kg_block", F.lead(ahead).over(order).alias("kg_inside"))
-    heads = base.select("kg_block", ahead.alias("kg_outside"), F.row_number().over(order).alias("kg_row")).where("kg_row = 1")
-    ring = next_blocks(df.select(block_of(id_col, width).alias("kg_b")).distinct(), "kg_b")
-    heads = heads.join(ring, F.col("kg_block").eqNullSafe(F.col("kg_next"))).select(F.col("kg_b").alias("kg_asks"), "kg_outside")
-    met = rows.join(heads, F.col("kg_block").eqNullSafe(F.col("kg_asks")) & F.col("kg_inside").isNull(), "left")
+    print_ = winnow(F.col("kg_text"), k, window).alias("kg_print")
+    ahead = F.struct("kg_text", F.col("kg_print.hashes").alias("hashes"))
+    rows = base.select("kg_id", "kg_text", "kg_block", print_)
+    rows = rows.select("kg_id", "kg_text", "kg_print", "kg_block", F.lead(ahead).over(order).alias("kg_inside"))
+    heads = base.select("*", F.row_number().over(order).alias("kg_row")).where("kg_row = 1").select("kg_block", "kg_text", print_)
+    ring = next_blocks(df.select(block.alias("kg_b")).distinct(), "kg_b")
+    heads = heads.join(ring, F.col("kg_block") == F.col("kg_next")).select(F.col("kg_b").alias("kg_asks"), ahead.alias("kg_outside"))
+    met = rows.join(heads, (F.col("kg_block") == F.col("kg_asks")) & F.col("kg_inside").isNull(), "left")
     met = met.select("kg_id", "kg_text", "kg_print", F.length("kg_text").alias("kg_n"), F.coalesce("kg_inside", "kg_outside").alias("kg_after"))
     half = F.floor(F.col("kg_n") / 2).cast("int")
     edited = F.concat(F.substring(F.col("kg_text"), F.lit(1), F.col("kg_n") - half), F.substring(F.col("kg_after.kg_text"), F.lit(1), half))
-    done = met.select("kg_id", "kg_n", "kg_print", F.col("kg_after.kg_print.hashes").alias("kg_near"), let(edited, lambda e: F.struct(F.sha2(e, 256).alias("sha"), winnow(e, k, window).alias("print"))).alias("kg_edited"))
+    done = met.select("kg_id", "kg_n", "kg_print", F.col("kg_after.hashes").alias("kg_near"), let(edited, lambda e: F.struct(F.sha2(e, 256).alias("sha"), winnow(e, k, window).alias("print"))).alias("kg_edited"))
     return done.select(
         F.col("kg_id").alias(id_col),
         F.col("kg_n").cast("long").alias("n_chars"),

@@ -8,7 +8,6 @@ from dataclasses import dataclass, field
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,6 +100,3 @@ def youden(points: DataFrame) -> DataFrame:
     """The threshold with the largest J; ties: the largest threshold."""
     return points.orderBy(F.desc("youden"), F.desc("threshold")).limit(1)
 
-
-def probability_column(column: str = "probability") -> Column:
-    return vector_to_array(column)[1]

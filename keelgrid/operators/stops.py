@@ -28,7 +28,6 @@ def dbscan(xy: np.ndarray, eps: float, min_points: int = MIN_POINTS) -> np.ndarr
         return found[((xy[found] - xy[i]) ** 2).sum(axis=1) <= eps * eps]
 
     label, number = np.zeros(n, np.int64), 0
-    core: dict[int, np.ndarray] = {}
     done = np.zeros(n, bool)
     for i in range(n):
         if done[i]:
@@ -48,7 +47,6 @@ def dbscan(xy: np.ndarray, eps: float, min_points: int = MIN_POINTS) -> np.ndarr
                 continue
             done[j] = True
             if len(more := near(j)) >= min_points:
-                core[j] = more
                 work.extend(more[label[more] == 0])
     return label
 

@@ -51,5 +51,7 @@ def outliers(df: DataFrame, key: str = "ssvid", contamination: float = 0.02, tre
             flag = score > np.quantile(score, 1 - contamination)
         return pd.DataFrame({"ping_id": pdf["ping_id"], "is_outlier": flag})
 
-    found = use.groupBy(key).applyInPandas(one, "ping_id long, is_outlier boolean")
+    # Small rows but long work: a count given in figures keeps Spark from putting all groups into one task.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = use.repartition(tasks, key).groupBy(key).applyInPandas(one, "ping_id long, is_outlier boolean")
     return df.join(found, "ping_id", "left").withColumn("is_outlier", F.coalesce("is_outlier", F.lit(False)))

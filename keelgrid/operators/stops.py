@@ -83,6 +83,8 @@ def spatial_stops(df: DataFrame, key: str = "ssvid", min_points: int = MIN_POINT
                 label = dbscan(xy, 1.5 * eps, min_points)
         return pd.DataFrame({"ping_id": pdf["ping_id"], "stop_cluster": label})
 
-    found = stops.groupBy(key, "year").applyInPandas(one, "ping_id long, stop_cluster long")
+    # Small rows but long work: a count given in figures keeps Spark from putting all groups into one task.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = stops.repartition(tasks, key, "year").groupBy(key, "year").applyInPandas(one, "ping_id long, stop_cluster long")
     out = df.join(found, "ping_id", "left")
     return out.withColumn("is_stop_spatial", F.coalesce(F.col("is_stop") & (F.col("stop_cluster") > 0), F.lit(False)))

@@ -166,7 +166,7 @@ def _kin(spark, d):
     return kinematics.kinematics(a.pings(spark, d).withColumn("seg_id", F.col("ssvid").cast("string")))
 
 
-@query(_KIN + " SELECT ping_id, round(dt_s + 1e-9, 6) AS dt_s, round(turn_deg + 1e-9, 6) AS turn_deg, round(accel_ms2 + 1e-9, 6) AS accel_ms2 FROM kin")
+@query(_KIN + " SELECT ping_id, round(dt_s + 1e-9, 6) AS dt_s, round(turn_deg + 1e-9, 6) AS turn_deg, round(accel_ms2 + 1e-9, 6) + 0e0 AS accel_ms2 FROM kin")
 def kinematics_steps(spark, d):
     return rounded(_kin(spark, d).select("ping_id", "dt_s", "turn_deg", "accel_ms2"), nudge=1e-9)
 

@@ -15,6 +15,12 @@ the edges of a forest only, fewer than its members; no list of pairs is made and
 
 A null id is a document that no id names: it gets the smallest id it reaches, null if there is none. Repeated rows are
 copies. Other columns are ignored. An empty table gives no rows.
+
+keep_one takes a least likeness instead: then documents are linked whose sets of 5-word shingles (made and hashed as above)
+have that Jaccard index at least, counted exactly. 64 bits can't find such pairs (at 0.8 they differ in up to 14 bits and
+more), so candidates are texts that agree on one of BANDS bands of ROWS min-hashes: a pair of likeness 0.8 is missed with
+a chance of 5 in 10^8. Texts of equal sets are one candidate. The members of a bucket are compared with its smallest first,
+and then only those that are not joined yet.
 """
 
 from __future__ import annotations
@@ -24,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,6 +38,8 @@ from keelgrid.llm.components import connected_components
 from keelgrid.llm.shared import portions, staged
 
 SHINGLE, SEED, RADIUS, LARGE = 3, 42, 2, 4096
+WIDE, BANDS, ROWS = 5, 32, 4
+_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: For each byte, its bits in eight lanes of 8 bits, which hold sums of up to 255.
 _LANES = np.packbits(np.zeros((256, 64), np.uint8), axis=1).view(np.uint64).ravel().copy()
 for _b in range(256):
@@ -189,10 +197,82 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     smallest fingerprint in it) and the class's smallest id (component_id)."""
     prints = staged(fingerprints(df, id_col, text_col), "fingerprints")
     own = staged(prints.groupBy(F.col("fingerprint").alias("fp")).agg(F.min(id_col).alias("kg_least")), "different")
-    stars = connected_components(links(own.select("fp"))).select(F.col("u").alias("kg_u"), F.col("v").alias("kg_v"))
+    return prints, _rooted(own, links(own.select("fp")))
+
+
+def _rooted(own: DataFrame, edges: DataFrame) -> DataFrame:
+    """The second table of classes, from (fp, kg_least) and the edges between fingerprints."""
+    stars = connected_components(edges).select(F.col("u").alias("kg_u"), F.col("v").alias("kg_v"))
     rooted = own.join(stars, F.col("fp") == F.col("kg_u"), "left").select("fp", "kg_least", F.coalesce("kg_v", "fp").alias("kg_root"))
     smallest = rooted.groupBy(F.col("kg_root").alias("kg_r")).agg(F.min("kg_least").alias("component_id"))
-    return prints, rooted.join(smallest, F.col("kg_root") == F.col("kg_r")).select(F.col("fp").alias("kg_fp"), "kg_root", "component_id")
+    return rooted.join(smallest, F.col("kg_root") == F.col("kg_r")).select(F.col("fp").alias("kg_fp"), "kg_root", "component_id")
+
+
+def bands(h: np.ndarray) -> list[int]:
+    """One hash for each band of the set's min-hashes; of an empty set none."""
+    if not len(h):
+        return []
+    least = np.full(len(_FACTORS), ~np.uint64(0))
+    for at in range(0, len(h), 1024):
+        np.minimum(least, (h[at : at + 1024] * _FACTORS).min(axis=1), out=least)
+    return [xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(least.reshape(BANDS, ROWS))]
+
+
+def shingle_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WIDE) -> DataFrame:
+    """id, kg_hash (of the text), fingerprint (the hash of the set of shingles) and kg_bands, all long, the last an array."""
+    schema = T.StructType([df.schema[id_col], T.StructField("kg_hash", T.LongType()), T.StructField("fingerprint", T.LongType()), T.StructField("kg_bands", T.ArrayType(T.LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in portions(batches, "kg_text", 1_000_000):
+            prints, lists = [], []
+            for x in texts:
+                h = np.unique(shingle_hashes(x, size))
+                prints.append(xxhash.xxh64_intdigest(h.tobytes(), SEED))
+                lists.append(np.array(bands(h), np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(lists, pa.list_(pa.int64()))], names=schema.names)
+
+    return df.select(id_col, F.xxhash64(text_col).alias("kg_hash"), F.col(text_col).alias("kg_text")).mapInArrow(run, schema)
+
+
+def _members(texts: DataFrame, size: int = WIDE) -> DataFrame:
+    """From (kg_text, fp): fp and kg_set, the hashes of the text's set of shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, found in portions(batches, "kg_text", 1_000_000):
+            sets = [np.unique(shingle_hashes(x, size)).view(np.int64) for x in found]
+            yield pa.RecordBatch.from_arrays([part.column(1), pa.array(sets, pa.list_(pa.int64()))], names=["fp", "kg_set"])
+
+    return texts.select("kg_text", "fp").mapInArrow(run, "fp long, kg_set array<long>")
+
+
+def _order(id_col: str) -> Column:
+    return F.struct(F.col(id_col).isNull().alias("a"), F.col(id_col).alias("b"), F.col("kg_hash").alias("c"))
+
+
+def alike(df: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text", size: int = WIDE) -> tuple[DataFrame, DataFrame]:
+    """As classes, but a fingerprint is the hash of a set of shingles, and sets of a Jaccard index of `least` at least are linked."""
+    prints = staged(shingle_sets(df, id_col, text_col, size), "sets")
+    own = staged(prints.groupBy(F.col("fingerprint").alias("fp")).agg(F.min(_order(id_col)).alias("kg_first"), F.min(id_col).alias("kg_least"), F.first("kg_bands").alias("kg_bands")), "different")
+    each = own.select("fp", F.posexplode("kg_bands").alias("band", "value"))
+    met = each.groupBy("band", "value").agg(F.min("fp").alias("kg_head"), F.count("*").alias("n")).where("n > 1").select(F.col("band").alias("b"), F.col("value").alias("x"), "kg_head")
+    met = staged(each.join(met, (F.col("band") == F.col("b")) & (F.col("value") == F.col("x"))).select("band", "value", "kg_head", "fp"), "buckets")
+    # One row's text stands for each set that shares a bucket.
+    asked = staged(own.join(met.select("fp").distinct(), "fp", "left_semi").select("fp", F.col("kg_first.b").alias("kg_id"), F.col("kg_first.c").alias("kg_key")), "asked")
+    texts = df.select(F.col(id_col).alias("own_id"), F.xxhash64(text_col).alias("own_key"), F.col(text_col).alias("kg_text"))
+    texts = texts.join(asked, F.col("own_id").eqNullSafe(F.col("kg_id")) & (F.col("own_key") == F.col("kg_key")))
+    sets = staged(_members(texts, size).dropDuplicates(["fp"]), "members")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.select(F.col("fp").alias("u"), F.col("kg_set").alias("a")), "u").join(sets.select(F.col("fp").alias("v"), F.col("kg_set").alias("b")), "v")
+        counted = both.select("u", "v", F.size(F.array_intersect("a", "b")).alias("common"), (F.size("a") + F.size("b")).alias("sum"))
+        return counted.where(F.col("common") / (F.col("sum") - F.col("common")) >= least).select("u", "v")
+
+    near = staged(confirmed(met.where("kg_head <> fp").select(F.col("kg_head").alias("u"), F.col("fp").alias("v")).distinct()), "confirmed")
+    joined = connected_components(near).select(F.col("u").alias("kg_u"), F.col("v").alias("kg_v"))
+    now = met.join(joined, F.col("fp") == F.col("kg_u"), "left").select("band", "value", "fp", F.coalesce("kg_v", "fp").alias("root"))
+    other = now.select("band", "value", F.col("fp").alias("v"), F.col("root").alias("kg_other"))
+    rest = now.select("band", "value", F.col("fp").alias("u"), "root").join(other, ["band", "value"]).where("u < v and root <> kg_other").select("u", "v").distinct()
+    return prints, _rooted(own, near.unionByName(confirmed(rest)))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -202,10 +282,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return prints.join(of, F.col("fingerprint") == F.col("kg_fp")).select(id_col, F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each class of near-duplicates the row of the smallest id (null last, then the smallest text hash), with all columns."""
-    prints, of = classes(df, id_col, text_col)
-    order = F.struct(F.col(id_col).isNull().alias("a"), F.col(id_col).alias("b"), F.col("kg_hash").alias("c"))
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float | None = None) -> DataFrame:
+    """Of each class of near-duplicates the row of the smallest id (null last, then the smallest text hash), with all columns.
+
+    With `least`, classes are those of 5-word shingles with a Jaccard index of `least` at least."""
+    prints, of = classes(df, id_col, text_col) if least is None else alike(df, least, id_col, text_col)
+    order = _order(id_col)
     # One row a fingerprint before classes meet, so a hot fingerprint is summed where it lies.
     first = prints.groupBy(F.col("fingerprint")).agg(F.min(order).alias("kg_first"))
     first = first.join(of, F.col("fingerprint") == F.col("kg_fp")).groupBy("kg_root").agg(F.min("kg_first").alias("f")).select(F.col("f.b").alias("kg_id"), F.col("f.c").alias("kg_key"))

@@ -5,6 +5,10 @@ is sure to share a selected hash, and the positions (word numbers, from 0) of th
 fewer than k words has one k-gram of all its words; one with fewer than w k-grams is a single window. Null and empty texts
 (and texts of white space) have an empty fingerprint. Ties are decided on the upper 34 bits of the hash.
 
+With chars=True (op4) k-grams are of CHAR_K characters of the lower-cased text, white space included, in windows of CHAR_WINDOW:
+every shared run of 7 characters is found at any offset, with or without spaces, and short texts keep several hashes.
+Positions are character numbers then, and only null and empty texts have an empty fingerprint.
+
 Likeness is the share of common hashes among all distinct hashes of the two; two empty fingerprints are alike (1).
 """
 
@@ -16,12 +20,14 @@ from pyspark.sql import functions as F
 from keelgrid.llm.shared import BLOCK, block_of, let, next_blocks
 
 K, WINDOW = 4, 8
+CHAR_K, CHAR_WINDOW = 4, 4
 _PLACES = 30
 
 
-def grams(text: Column, k: int = K) -> Column:
-    """Array of the hashes of k consecutive words."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"\S{1,32}"), F.lit(0))
+def grams(text: Column, k: int = K, chars: bool = False) -> Column:
+    """Array of the hashes of k consecutive words, or characters."""
+    lower = F.lower(F.coalesce(text, F.lit("")))
+    words = F.filter(F.split(lower, ""), lambda x: x != "") if chars else F.regexp_extract_all(lower, F.lit(r"\S{1,32}"), F.lit(0))
     return let(
         F.transform(words, lambda x: F.xxhash64(x)),
         lambda h: F.when(F.size(h) >= k, F.transform(F.sequence(F.lit(0), F.greatest(F.size(h) - k, F.lit(0))), lambda i: F.xxhash64(*(h[i + j] for j in range(k)))))
@@ -30,7 +36,7 @@ def grams(text: Column, k: int = K) -> Column:
     )
 
 
-def winnow(text: Column, k: int = K, window: int = WINDOW) -> Column:
+def winnow(text: Column, k: int = K, window: int = WINDOW, chars: bool = False) -> Column:
     """Struct of arrays: hashes and positions of the selected k-grams, in the order of the text."""
     if window & (window - 1):
         raise ValueError("window must be a power of two")
@@ -49,7 +55,7 @@ def winnow(text: Column, k: int = K, window: int = WINDOW) -> Column:
         places = F.transform(chosen, lambda x: (F.lit(low) - x.bitwiseAND(F.lit(low))).cast("int"))
         return let(places, lambda p: F.struct(F.transform(p, lambda i: g[i]).alias("hashes"), p.alias("positions")))
 
-    return let(grams(text, k), select)
+    return let(grams(text, k, chars), select)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -70,7 +76,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return df.select(id_col, winnow(F.col(text_col), k, window).alias("fingerprint"))
 
 
-def compare_edited(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, window: int = WINDOW, width: int = BLOCK) -> DataFrame:
+def compare_edited(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, window: int = WINDOW, width: int = BLOCK, chars: bool = False) -> DataFrame:
     """Fingerprints of each text and of its edited text (the last half, rounded down, of its code points replaced by as
     many first code points of the next document, in ascending order of ids; after the last: the first), and likenesses.
 
@@ -84,7 +90,7 @@ def compare_edited(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     block = F.coalesce(block_of(id_col, width), none)
     base = df.select(F.col(id_col).alias("kg_id"), F.coalesce(F.col(text_col), F.lit("")).alias("kg_text"), block.alias("kg_block")).repartition("kg_block")
     order = Window.partitionBy("kg_block").orderBy(F.asc_nulls_first("kg_id"), F.xxhash64("kg_text"))
-    print_ = winnow(F.col("kg_text"), k, window).alias("kg_print")
+    print_ = winnow(F.col("kg_text"), k, window, chars).alias("kg_print")
     ahead = F.struct("kg_text", F.col("kg_print.hashes").alias("hashes"))
     rows = base.select("kg_id", "kg_text", "kg_block", print_)
     rows = rows.select("kg_id", "kg_text", "kg_print", "kg_block", F.lead(ahead).over(order).alias("kg_inside"))
@@ -95,7 +101,7 @@ def compare_edited(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     met = met.select("kg_id", "kg_text", "kg_print", F.length("kg_text").alias("kg_n"), F.coalesce("kg_inside", "kg_outside").alias("kg_after"))
     half = F.floor(F.col("kg_n") / 2).cast("int")
     edited = F.concat(F.substring(F.col("kg_text"), F.lit(1), F.col("kg_n") - half), F.substring(F.col("kg_after.kg_text"), F.lit(1), half))
-    done = met.select("kg_id", "kg_n", "kg_print", F.col("kg_after.hashes").alias("kg_near"), let(edited, lambda e: F.struct(F.sha2(e, 256).alias("sha"), winnow(e, k, window).alias("print"))).alias("kg_edited"))
+    done = met.select("kg_id", "kg_n", "kg_print", F.col("kg_after.hashes").alias("kg_near"), let(edited, lambda e: F.struct(F.sha2(e, 256).alias("sha"), winnow(e, k, window, chars).alias("print"))).alias("kg_edited"))
     return done.select(
         F.col("kg_id").alias(id_col),
         F.col("kg_n").cast("long").alias("n_chars"),

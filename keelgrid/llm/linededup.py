@@ -3,7 +3,8 @@
 A window is three consecutive lines of a text, told by two 64-bit hashes of its lines. Of all places that have the same
 window the first (smallest id, null before all; then smallest text hash; then smallest line) stays; all lines that any
 later place covers are removed, overlapping windows merged. Windows of white space only do not count. A text of fewer than
-three lines has no window and stays as it is; so do null and empty texts. Rows of equal id and equal text are one document:
+three lines has no window and stays as it is, as op2's SQL says; with short=True (the pipeline) it is one window of all its
+lines, which only texts of the same lines share. Null and empty texts stay as they are. Rows of equal id and equal text are one document:
 they get the same text. Columns
 of df named line_count or removed_lines are replaced. An empty table gives an empty table.
 
@@ -22,8 +23,8 @@ from keelgrid.llm.shared import let
 LINES = 3
 
 
-def _windows(lines: Column, size: int) -> Column:
-    """Array of (position, two hashes) of the windows that count."""
+def _windows(lines: Column, size: int, short: bool = False) -> Column:
+    """Array of (position, two hashes) of the windows that count; if short, of fewer lines one of them all."""
     first = F.transform(lines, lambda x: F.xxhash64(x))
     second = F.transform(lines, lambda x: F.xxhash64(x, F.lit(1)))
     blank = F.transform(lines, lambda x: F.trim(x) == "")
@@ -34,17 +35,23 @@ def _windows(lines: Column, size: int) -> Column:
             F.sequence(F.lit(0), F.size(h["a"]) - size),
             lambda i: F.struct(i.cast("int").alias("pos"), F.xxhash64(*take("a", i)).alias("h1"), F.xxhash64(*take("b", i), F.lit(2)).alias("h2"), F.forall(F.array(*take("blank", i)), lambda x: x).alias("blank")),
         )
-        return F.when(F.size(h["a"]) >= size, F.filter(every, lambda w: ~w["blank"]))
+        found = F.when(F.size(h["a"]) >= size, F.filter(every, lambda w: ~w["blank"]))
+        if not short:
+            return found
+        fold = lambda k: F.aggregate(h[k], F.size(h[k]).cast("long"), lambda a, x: F.xxhash64(a, x))
+        whole = F.struct(F.lit(0).alias("pos"), fold("a").alias("h1"), fold("b").alias("h2"), F.forall(h["blank"], lambda x: x).alias("blank"))
+        return found.otherwise(F.filter(F.array(whole), lambda w: ~w["blank"]))
 
     return let(F.struct(first.alias("a"), second.alias("b"), blank.alias("blank")), of)
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = LINES) -> DataFrame:
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = LINES, short: bool = False) -> DataFrame:
     """All rows and columns of df, the text without later occurrences, and line_count and removed_lines (long)."""
     key = F.xxhash64(F.col(text_col))
     cut = F.split(F.col(text_col), "\n", -1)
-    places = df.where(F.col(text_col).contains("\n")).select(F.col(id_col).alias("kg_id"), key.alias("kg_key"), cut.alias("kg_lines"))
-    places = places.select("kg_id", "kg_key", F.explode(_windows(F.col("kg_lines"), size)).alias("kg_w")).select("kg_id", "kg_key", "kg_w.pos", "kg_w.h1", "kg_w.h2")
+    counts = F.col(text_col).isNotNull() if short else F.col(text_col).contains("\n")
+    places = df.where(counts).select(F.col(id_col).alias("kg_id"), key.alias("kg_key"), cut.alias("kg_lines"))
+    places = places.select("kg_id", "kg_key", F.explode(_windows(F.col("kg_lines"), size, short)).alias("kg_w")).select("kg_id", "kg_key", "kg_w.pos", "kg_w.h1", "kg_w.h2")
     first = places.groupBy("h1", "h2").agg(F.min(F.struct("kg_id", "kg_key", "pos")).alias("kg_first"), F.count("*").alias("kg_n")).where("kg_n > 1").select(F.col("h1").alias("kg_h1"), F.col("h2").alias("kg_h2"), "kg_first")
     own = F.struct("kg_id", "kg_key", "pos")
     later = places.join(first, (F.col("h1") == F.col("kg_h1")) & (F.col("h2") == F.col("kg_h2"))).where(~own.eqNullSafe(F.col("kg_first")))

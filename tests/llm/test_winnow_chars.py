@@ -57,3 +57,12 @@ def test_short_texts_stay_near_their_edited_text(found):
     words = "harbour window copper melody quarter blanket silver journey marble thunder".split()
     rows = [(i, " ".join(words[(i * 3 + j) % 10] for j in range(2 + i % 5))) for i in range(20)]
     assert all(r.near_edited > r.near_next for r in found(rows).values())
+
+
+def test_unspaced_text_at_another_offset(spark):
+    random.seed(5)
+    run = "".join(chr(0x4E00 + random.randrange(3000)) for _ in range(400))
+    df = spark.createDataFrame([(run, "中文字符串" + run)], "a string, b string")
+    hashes = lambda c: winnow(F.col(c), 4, 4, chars=True)["hashes"]
+    r = df.select(hashes("a").alias("a"), hashes("b").alias("b"), winnow(F.col("a"))["hashes"].alias("c"), winnow(F.col("b"))["hashes"].alias("d")).first()
+    assert len(set(r.a) & set(r.b)) > 0.95 * len(set(r.a)) and not set(r.c) & set(r.d)

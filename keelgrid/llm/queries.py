@@ -28,7 +28,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = winnow.compare_edited(_table(spark, sf_dir, "documents"), k=winnow.CHAR_K, window=winnow.CHAR_WINDOW, chars=True)
-    return found.withColumns({c: winnow.as_text(F.col(c)) for c in ("fingerprint", "edited_fingerprint")})
+    return found.withColumns({c: winnow.as_digest(F.col(c)) for c in ("fingerprint", "edited_fingerprint")})
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

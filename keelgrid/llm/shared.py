@@ -12,8 +12,10 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows of one id block. Blocks are cut by the id itself (id div BLOCK), so one holds at most BLOCK different ids.
+#: Rows of one id block, about.
 BLOCK = 256
+#: Ranges of ids that with_blocks looks at, a power of two.
+COARSE = 1024
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -85,10 +87,40 @@ def portions(batches: Iterator[pa.RecordBatch], column: str, chars: int = 2_000_
 
 
 def block_of(column: str, width: int = BLOCK) -> Column:
-    """The integer id divided by width, rounded down."""
+    """The integer divided by width, rounded down."""
     return F.expr(f"(`{column}` - pmod(`{column}`, {width})) div {width}").cast("long")
 
 
+def with_blocks(df: DataFrame, id_col: str, tie: Column, out: str, width: int = BLOCK) -> DataFrame:
+    """df with a block number (long) that ascends with the integer id, about `width` rows a block whatever the ids are:
+    dense, hashed over 63 bits, or in clusters.
+
+    COARSE ranges of about equal counts are cut at the ids' approximate percentiles; each is cut into equal ranges of
+    ids, as many as its rows need. Only these ranges (lowest, highest id and count of each) reach the driver. Rows of one
+    id stay in one block, but those without an id, which come before all, are cut by `tie`: an integer from 0 to 4095
+    that ascends with the order in which they stand."""
+    steps = [COARSE >> (k + 1) for k in range(COARSE.bit_length() - 1)]
+    id_ = F.col(f"`{id_col}`").cast("long")
+    ids = df.where(id_.isNotNull()).select(id_.alias("id"))
+    cuts = ids.agg(F.percentile_approx("id", [k / COARSE for k in range(1, COARSE)], 10 * COARSE)).first()[0] or [0] * (COARSE - 1)
+
+    def coarse(value: Column) -> Column:
+        """How many cuts are not above the value, by halving."""
+        return F.aggregate(F.lit(steps), F.lit(0), lambda at, s: F.when(F.get(F.lit(cuts), at + s - 1) <= value, at + s).otherwise(at))
+
+    base, low, factor, most = ([0] * COARSE, [0] * COARSE, [0.0] * COARSE, [0] * COARSE)
+    blocks = 0
+    for k, least, largest, n in ids.groupBy(coarse(F.col("id"))).agg(F.min("id"), F.max("id"), F.count("*")).orderBy(F.col("min(id)")).collect():
+        parts = -(-n // width)
+        base[k], low[k], factor[k], most[k] = blocks, least, parts / (largest - least + 1), parts - 1
+        blocks += parts
+    of = lambda values, k: F.get(F.lit(values), k)
+    beyond = lambda k: (id_.cast("decimal(20,0)") - of(low, k).cast("decimal(20,0)")).cast("double")
+    number = let(coarse(id_), lambda k: of(base, k) + F.least(F.floor(beyond(k) * of(factor, k)), of(most, k)))
+    # Never null, and known to be: a join on it then asks no filter of one side, and both sides can share an exchange.
+    return df.withColumn(out, F.coalesce(F.when(id_.isNull(), tie - 4096).otherwise(number), F.lit(0)).cast("long"))
+
+
 def next_blocks(blocks: DataFrame, block: str) -> DataFrame:
     """From distinct blocks: (block, kg_next), the next larger one; after the largest the smallest, a null block before all.
 

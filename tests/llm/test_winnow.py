@@ -1,8 +1,10 @@
 import hashlib
 import random
 import struct
+from collections import Counter
 
 import xxhash
+from keelgrid.llm.shared import with_blocks
 from keelgrid.llm.winnow import compare_edited, fingerprints
 from pyspark.sql import functions as F
 
@@ -12,30 +14,34 @@ def h(value, seed=42):
     return struct.unpack("<q", struct.pack("<Q", xxhash.xxh64_intdigest(data, seed % (1 << 64))))[0]
 
 
-def grams(text, k=4):
-    words = [h(text[i : i + 32]) for text in (text or "").lower().split() for i in range(0, len(text), 32)]
-    chain = lambda xs, s: s if not xs else chain(xs[1:], h(xs[0], s))
-    if not words:
-        return []
-    if len(words) < k:
-        a = 0
-        for w in words:
-            a = h(w, h(a))
-        return [a]
-    return [chain(words[i : i + k], 42) for i in range(len(words) - k + 1)]
+MASK = (1 << 64) - 1
 
 
-def selected(text, k=4, w=8):
-    g = grams(text, k)
+def rolled(codes, k):
+    """The k codes shifted and combined, each k-gram by itself."""
+    out = []
+    for i in range(max(1, len(codes) - k + 1)) if codes else ():
+        x = 0
+        for c in codes[i : i + k]:
+            x = (x << 1 ^ c % (1 << 64)) & MASK
+        out.append(x - (1 << 64) if x >> 63 else x)
+    return out
+
+
+def smallest(g, w):
+    """Of each window the place of the smallest, told by bits 30 to 62, rightmost on ties."""
     out = []
     for i in range(max(1, len(g) - w + 1)) if g else ():
-        part = [(g[j] >> 30, -j) for j in range(i, min(len(g), i + w))]
-        j = -min(part)[1]
-        if not out or out[-1] != j:
+        j = -min((g[j] >> 30 & (1 << 33) - 1, -j) for j in range(i, min(len(g), i + w)))[1]
+        if j not in out[-1:]:
             out.append(j)
     return [g[j] for j in out], out
 
 
+def selected(text, k=4, w=8):
+    return smallest(rolled([h(x) for x in (text or "").lower().split()], k), w)
+
+
 def texts():
     random.seed(2)
     words = [str(x) for x in range(30)]
@@ -91,3 +97,16 @@ def test_null_id_single_row_and_empty_table(spark):
     assert compared(spark.createDataFrame([(4, "abcd")], "doc_id long, text string"))[0][2] == hashlib.sha256(b"abab").hexdigest()
     assert compared(spark.createDataFrame([], "doc_id long, text string")) == []
     assert len(compared(spark.createDataFrame([(4, "x y"), (4, "x y"), (4, "z")], "doc_id long, text string"))) == 3
+
+
+def test_blocks_of_ids_of_any_kind(spark):
+    random.seed(4)
+    cluster = [1 << 61 | i for i in range(3000)]
+    for ids in ([random.getrandbits(63) for _ in range(5000)], list(range(5000)), cluster + [5, -(1 << 62)], [None] * 3000 + [5, 6], [7] * 10, []):
+        df = spark.createDataFrame([(i, str(k)) for k, i in enumerate(ids)], "doc_id long, text string")
+        rows = with_blocks(df, "doc_id", F.shiftright(F.xxhash64("text"), 52) + 2048, "b", 64).select("doc_id", F.xxhash64("text").alias("h"), "b").collect()
+        if len(set(ids)) > 7 or None in ids:
+            assert max(Counter(r.b for r in rows).values()) <= 256
+        low = -(1 << 63)
+        ordered = sorted(rows, key=lambda r: (low, r.h) if r.doc_id is None else (r.doc_id, 0))
+        assert all(a.b <= b.b for a, b in zip(ordered, ordered[1:], strict=False))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,23 +19,30 @@ COARSE = 1024
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder name below spark.checkpoint.dir; where that is unset (tests), below a temporary folder that is then set."""
+    """A new folder name below spark.checkpoint.dir, qualified by Hadoop's file systems; it goes when the session ends.
+
+    Where that setting is unset (tests), below a temporary folder that is then set. Only a local master may do without
+    it: on several machines each would write to its own disk."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
         root = "file://" + tempfile.mkdtemp(prefix="keelgrid-")
         spark.sparkContext.setCheckpointDir(root)
-    if "://" not in root and not root.startswith("file:"):
-        root = "file://" + os.path.abspath(root)
-    if root.startswith("file:/") and not root.startswith("file://"):
-        root = "file://" + root[len("file:") :]
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(root, f"{name}-{uuid.uuid4().hex}")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.deleteOnExit(path)
+    return fs.makeQualified(path).toString()
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written to a shared folder and read again: cuts the lineage, survives lost executors, evaluates Python once."""
-    spark, path = df.sparkSession, shared_folder(df.sparkSession, name)
+    return written(df, shared_folder(df.sparkSession, name))
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def discard(spark: SparkSession, path: str) -> None:
@@ -45,16 +52,25 @@ def discard(spark: SparkSession, path: str) -> None:
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
-    """pyarrow's file system for a folder address (file, hdfs, s3, gs), and the path in it."""
+    """pyarrow's file system for a folder address (file, hdfs, s3, gs, as Spark spells them), and the path in it."""
+    scheme, colon, rest = uri.partition(":")
+    if colon and scheme == "file":
+        return pafs.LocalFileSystem(), "/" + rest.lstrip("/")
+    if colon and scheme in ("s3a", "s3n"):
+        uri = "s3:" + rest
     return pafs.FileSystem.from_uri(uri)
 
 
+def attempt() -> str:
+    """Partition and attempt of the running task. Files are named by it, so no attempt touches another's; which files
+    count is known from a table that Spark's committer wrote, one attempt of each task."""
+    context = TaskContext.get()
+    return f"{context.partitionId():06d}-{context.taskAttemptId():x}"
+
+
 def put(fs: pafs.FileSystem, path: str, data) -> None:
-    """Writes under a name of its own and then moves it: a task that runs twice leaves one whole file."""
-    temporary = f"{path}.{uuid.uuid4().hex}"
-    with fs.open_output_stream(temporary, compression=None) as out:
+    with fs.open_output_stream(path, compression=None) as out:
         out.write(data)
-    fs.move(temporary, path)
 
 
 def id_text(column: str) -> Column:

@@ -2,7 +2,9 @@
 
 Both BPE files merge inside a pre-token only, so the ids of a text are those of its pre-tokens in order. For plain
 texts (`_odd` says which are not) the pre-tokens are cut here, many texts at once, by classes of bytes; each new pre-token is encoded by
-the tokenizers library and its ids are kept. Every other text goes to the library whole.
+the tokenizers library and its ids are kept. Every other text goes to the library whole, and so does one that holds the
+string of a special token. That string becomes the token's id, as the library does by itself, or with plain=True the ids
+of ordinary text.
 """
 
 from __future__ import annotations
@@ -33,22 +35,23 @@ _CLASS[[10, 32]] = _SPACE
 _ODD = np.zeros(256, bool)
 _ODD[[*range(10), *range(11, 32), 39, 127, 192, 193, 194, *range(202, 256)]] = True
 
-_OPEN: dict[str, "Encoder"] = {}
+_OPEN: dict[tuple[str, bool], "Encoder"] = {}
 
 
-def encoder(path: str) -> "Encoder":
+def encoder(path: str, plain: bool = False) -> "Encoder":
     """One encoder for each file and process; Spark's reused Python workers keep it from task to task."""
-    if path not in _OPEN:
-        _OPEN[path] = Encoder(path)
-    return _OPEN[path]
+    if (path, plain) not in _OPEN:
+        _OPEN[path, plain] = Encoder(path, plain)
+    return _OPEN[path, plain]
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = plain
+        self.special = [] if plain else [x["content"] for x in spec.get("added_tokens") or []]
         self.cache: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
         self.fast, self.words, self.mark, self.last = False, False, -1, None
@@ -67,6 +70,8 @@ class Encoder:
         out: list[bytes] = [b""] * len(texts)
         there = [i for i, x in enumerate(texts) if x]
         odd = self._odd([texts[i].encode() for i in there]) if self.fast and there else [True] * len(there)
+        # Case and form may change before the library looks for special tokens, so a text is asked as it is and lower-cased.
+        odd = [o or any(x in texts[i] or x in texts[i].lower() for x in self.special) for i, o in zip(there, odd, strict=True)]
         plain, rest = [i for i, o in zip(there, odd, strict=True) if not o], [i for i, o in zip(there, odd, strict=True) if o]
         if plain:
             for i, ids in zip(plain, self._cut([(texts[i].lower() if self.words else texts[i]).encode() for i in plain]), strict=True):

@@ -4,44 +4,44 @@ A document's id stream (with an end id) is cut into chunks where a rolling hash
 at least MIN_IDS and at most MAX_IDS ids apart. A chunk is named by the BLAKE2b digest of its ids and stored once: of all places that
 have it, the first container in order keeps it. A folder has:
 
-  containers/NNNNNN-NNNN.ids   the chunks one after another, each packed by zstd
-  chunks/                      digest, container, offset, size, ids: where each chunk lies
-  recipes/                     doc_id, start, n_tokens, digests, and the leaf hash, in blocks of ascending doc_id
-  manifest/                    the Merkle tree: level 0 has a node for each block of recipes, level 3 the root
+  containers/   files of chunks one after another, each packed by zstd
+  chunks/       digest, container, offset, size, ids: where each chunk lies
+  recipes/      doc_id, start, n_tokens, digests, and the leaf hash, in ascending doc_id from file to file
+  manifest/     the Merkle tree: level 0 has a node for each block of recipes, level 3 the root
 
 `start` counts the ids of all documents before. Ids up to 65535 take two bytes, larger ones four. Reading
 takes each chunk from its container, verifies its digest, and checks every document against its leaf, the leaves
 against the blocks, the blocks against the root.
 
 Null and empty texts are the end id alone. doc_id is an integer; null comes before all; rows of one id are ordered by the
-hash of their ids. Other columns are left out. An empty table gives an empty store.
+hash of their ids. Other columns are left out. An empty table gives an empty store. Blocks of recipes are ranges of ids
+of about WIDTH rows whatever the ids are, and are numbered in order (with_blocks), so the tree goes by rank.
 
 Texts are encoded where they lie, once; ids never pass a shuffle. Only digests and places do: of a chunk that a third of
-all documents have, one partial minimum a task. Containers are written under a name of their own and then moved; written
-tables say which count.
+all documents have, one partial minimum a task. Each attempt of a task writes containers of its own; the written tables,
+which hold one attempt of each task, say which count.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 import public_tokenizers
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keelgrid.llm.shared import block_of, discard, filesystem, portions, put, running_starts, shared_folder
+from keelgrid.llm.shared import attempt, block_of, discard, filesystem, portions, put, running_starts, shared_folder, with_blocks
 from keelgrid.llm.tokens import encoder
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 MASK, MIN_IDS, MAX_IDS, ROLL, CONTAINER_BYTES, WIDTH = 8, 64, 2048, 16, 16_000_000, 256
+#: Bytes between two wanted chunks of a container that are read along rather than skipped.
+GAP = 1 << 16
 _GEAR = np.random.default_rng(20240229).integers(0, 1 << 63, 1 << 17, dtype=np.uint64)
 
 
@@ -137,13 +137,12 @@ class TokenStore:
         live.repartition("container").mapInArrow(_compact(self.folder), "digest binary, container string, offset long, size int, ids int").write.parquet(f"{self.folder}/chunks")
 
     def _recipes(self, encoded: DataFrame) -> None:
-        key = F.struct("doc_id", "first", "n_tokens")
-        rows = encoded.select("doc_id", "n_tokens", "digests", "first").withColumn("block", block_of("doc_id", WIDTH))
+        rows = with_blocks(encoded.select("doc_id", "n_tokens", "digests", "first"), "doc_id", F.conv(F.substring(F.hex("first"), 1, 3), 16, 10).cast("int"), "block", WIDTH)
         counts = running_starts(rows.groupBy("block").agg(F.sum("n_tokens").alias("size")), "block", "size").select(F.col("block").alias("b"), "base")
         inside = Window.partitionBy("block").orderBy(F.asc_nulls_first("doc_id"), "first", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
         rows = rows.withColumn("before", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
-        rows = rows.join(counts, F.col("block").eqNullSafe(F.col("b"))).select("block", "doc_id", (F.col("base") + F.col("before")).cast("long").alias("start"), "n_tokens", "digests")
-        rows.withColumn("leaf", _leaf()).sortWithinPartitions(F.asc_nulls_first("block"), "start").write.parquet(f"{self.folder}/recipes")
+        rows = rows.join(counts, F.col("block") == F.col("b")).select("block", "doc_id", (F.col("base") + F.col("before")).cast("long").alias("start"), "n_tokens", "digests")
+        rows.repartitionByRange("block").sortWithinPartitions("block", "start").withColumn("leaf", _leaf()).write.parquet(f"{self.folder}/recipes")
 
     def _manifest(self) -> None:
         level(self.table("recipes").select(F.col("block"), "start", "leaf")).write.parquet(f"{self.folder}/manifest")
@@ -167,9 +166,9 @@ class TokenStore:
         parts = self.table("recipes").select("block", "start", F.posexplode("digests").alias("seq", "digest"))
         found = parts.join(chunks, F.col("digest") == F.col("d"), "left").groupBy("block", "start").agg(F.sort_array(F.collect_list(F.struct("seq", "place"))).alias("parts"))
         recipes = self.table("recipes").select(F.col("block").alias("b"), F.col("start").alias("s"), "doc_id", "n_tokens", "digests")
-        whole = found.join(recipes, F.col("block").eqNullSafe(F.col("b")) & (F.col("start") == F.col("s"))).select("block", "doc_id", "start", "n_tokens", "digests", F.col("parts.place").alias("places"))
+        whole = found.join(recipes, (F.col("block") == F.col("b")) & (F.col("start") == F.col("s"))).select("block", "doc_id", "start", "n_tokens", "digests", F.col("parts.place").alias("places"))
         schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
-        return whole.repartition("block").sortWithinPartitions("start").mapInArrow(_assemble(with_ids), schema)
+        return whole.repartition("block").sortWithinPartitions("block", "start").mapInArrow(_assemble(self.folder, with_ids), schema)
 
 
 def level(leaves: DataFrame) -> DataFrame:
@@ -190,10 +189,10 @@ def _encode(folder: str, vocabulary: str, end_id: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = filesystem(folder)
-        part, number, held, size = TaskContext.get().partitionId(), 0, [], 0
+        who, number, held, size = attempt(), 0, [], 0
         packer, seen = zstandard.ZstdCompressor(level=1), set()
-        name = lambda: f"{part:06d}-{number:04d}.ids"
-        for batch, texts in portions(batches, "text"):
+        name = lambda: f"{who}-{number:04d}.ids"
+        for batch, texts in portions(batches, "text", 4_000_000):
             raws = [x + end for x in encoder(vocabulary).encode(texts)]
             ids = np.frombuffer(b"".join(raws), "<u4")
             lists, news = [], []
@@ -241,54 +240,57 @@ def _compact(folder: str):
                     offsets.append(at)
                     pieces.append(data[c["offset"] : c["offset"] + c["size"]])
                     at += c["size"]
-                put(fs, f"{path}/containers/{container}", b"".join(pieces))
-                where = f"{folder}/containers/{container}"
+                where = f"{container.partition('.')[0]}.{attempt()}.ids"
+                put(fs, f"{path}/containers/{where}", b"".join(pieces))
                 yield pa.RecordBatch.from_arrays([pa.array([c["digest"] for c in live], pa.binary()), pa.array([where] * len(live)), pa.array(offsets, pa.int64()), pa.array([c["size"] for c in live], pa.int32()), pa.array([c["ids"] for c in live], pa.int32())], names=["digest", "container", "offset", "size", "ids"])
 
     return run
 
 
-class _Containers:
-    """Chunks by place. A few containers stay open; a chunk is read by its offset."""
-
-    def __init__(self, most: int = 64):
-        self.open: OrderedDict[str, pafs.NativeFile] = OrderedDict()
-        self.most, self.unpack = most, zstandard.ZstdDecompressor()
-
-    def read(self, place: dict) -> bytes:
-        name = place["container"]
-        f = self.open.pop(name, None)
-        if f is None:
-            fs, path = filesystem(name)
-            f = fs.open_input_file(path)
-        self.open[name] = f
-        if len(self.open) > self.most:
-            self.open.popitem(last=False)[1].close()
-        return _large(self.unpack.decompress(f.read_at(place["size"], place["offset"]), max_output_size=8 * MAX_IDS))
-
-    def close(self) -> None:
-        for f in self.open.values():
-            f.close()
+def _chunks(fs, path: str, places: set[tuple[str, int, int]]) -> dict[tuple[str, int], bytes]:
+    """The packed chunks by container and offset. What lies near each other in a container is read at once."""
+    out = {}
+    wanted = sorted(places)
+    at = 0
+    while at < len(wanted):
+        name = wanted[at][0]
+        with fs.open_input_file(f"{path}/containers/{name}") as f:
+            while at < len(wanted) and wanted[at][0] == name:
+                first, end, upto = wanted[at][1], wanted[at][1], at
+                while upto < len(wanted) and wanted[upto][0] == name and wanted[upto][1] - end <= GAP:
+                    end = wanted[upto][1] + wanted[upto][2]
+                    upto += 1
+                data = f.read_at(end - first, first)
+                for _, offset, size in wanted[at:upto]:
+                    out[name, offset] = data[offset - first : offset - first + size]
+                at = upto
+    return out
 
 
-def _assemble(with_ids: bool):
+def _assemble(folder: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        containers = _Containers()
+        (fs, path), unpack = filesystem(folder), zstandard.ZstdDecompressor()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids = []
-                for doc, n, digests, places in zip(*(part.column(k).to_pylist() for k in ("doc_id", "n_tokens", "digests", "places")), strict=True):
+                rows = list(zip(*(part.column(k).to_pylist() for k in ("doc_id", "n_tokens", "digests", "places")), strict=True))
+                if bad := [r[0] for r in rows if None in r[3]]:
+                    raise ValueError(f"document {bad[0]}: a chunk is missing or does not fit its digest")
+                packed = _chunks(fs, path, {(p["container"], p["offset"], p["size"]) for r in rows for p in r[3]})
+                ids, known = [], {}
+                for doc, n, digests, places in rows:
                     pieces = []
                     for d, place in zip(digests, places, strict=True):
-                        if place is None or digest(piece := containers.read(place)) != d:
-                            raise ValueError(f"document {doc}: a chunk is missing or does not fit its digest")
-                        pieces.append(piece)
+                        if d not in known:
+                            piece = _large(unpack.decompress(packed[place["container"], place["offset"]], max_output_size=8 * MAX_IDS))
+                            if digest(piece) != d:
+                                raise ValueError(f"document {doc}: a chunk is missing or does not fit its digest")
+                            known[d] = piece
+                        pieces.append(known[d])
                     ids.append(b"".join(pieces))
                     if len(ids[-1]) != 4 * n:
                         raise ValueError(f"document {doc}: {len(ids[-1]) // 4} ids instead of {n}")
                 columns = [part.column("doc_id"), part.column("start"), part.column("n_tokens"), pa.array([zlib.crc32(x) for x in ids], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.binary())] * with_ids, names=["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids)
-        containers.close()
 
     return run

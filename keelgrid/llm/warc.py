@@ -10,8 +10,9 @@ and so are all records if no page of the group has an id. A null page_id comes b
 are percent-encoded. Other columns are not written. An empty table makes no archive and gives no rows.
 
 Payloads are grouped by digest with partial aggregates; only digests that occur twice are joined back, in a sort-merge join
-whose large partitions Spark splits. Archives lie in a shared folder, written under a name of their own and then moved,
-so a task that runs again leaves one whole file; what was written is known from a written table.
+whose large partitions Spark splits. Archives lie in a shared folder. Each attempt of a task names its own files, and the written
+list of archives, which holds one attempt of each task, alone says which count; the reader compares the records of an
+archive with that list, so a lost, doubled or changed file is an error and not a wrong result.
 """
 
 from __future__ import annotations
@@ -24,11 +25,10 @@ from collections.abc import Iterator
 from typing import BinaryIO
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelgrid.llm.shared import filesystem, put, shared_folder, staged
+from keelgrid.llm.shared import attempt, filesystem, put, shared_folder, staged
 
 MIN_REVISIT, ARCHIVE_BYTES, STEP = 1000, 32_000_000, 1 << 16
 VERSION = b"WARC/1.1"
@@ -128,12 +128,12 @@ def write_archives(df: DataFrame, folder: str | None = None, id_col: str = "page
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = filesystem(folder)
-        part, made = TaskContext.get().partitionId(), []
+        own, made = attempt(), []
         held, size, n = [], 0, 0
 
         def close() -> None:
             nonlocal held, size, n
-            name = f"part-{part:06d}-{len(made):04d}.warc.gz"
+            name = f"part-{own}-{len(made):04d}.warc.gz"
             put(fs, f"{path}/{name}", b"".join(held))
             made.append((f"{folder}/{name}", n, size))
             held, size, n = [], 0, 0
@@ -152,7 +152,7 @@ def write_archives(df: DataFrame, folder: str | None = None, id_col: str = "page
 
 
 def read_archives(archives: DataFrame, with_payload: bool = False) -> DataFrame:
-    """Rows of the records of the archives named in the column `archive`, one task or more an archive at a time."""
+    """Rows of the records of the listed archives (archive, records), one task or more an archive at a time."""
     kinds = [("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())][: 7 if with_payload else 6]
 
     def rows(found: list[tuple]) -> pa.RecordBatch:
@@ -160,18 +160,21 @@ def read_archives(archives: DataFrame, with_payload: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name in batch.column(0).to_pylist():
+            for name, told in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 fs, path = filesystem(name)
-                found, held = [], 0
+                found, held, n = [], 0, 0
                 with fs.open_input_stream(path, compression=None) as stream:
                     for head, block in records(stream, name):
                         found.append(parse(head, block, name))
+                        n += 1
                         held += len(block) if with_payload else 100
                         if held >= 1_000_000:
                             yield rows(found)
                             found, held = [], 0
+                if n != told:
+                    raise ValueError(f"{name}: {n} records instead of {told}")
                 yield rows(found)
 
     schema = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long" + ", payload binary" * with_payload
     count = max(1, min(archives.count(), 20_000))
-    return archives.select("archive").repartition(count).mapInArrow(run, schema)
+    return archives.select("archive", "records").repartition(count).mapInArrow(run, schema)

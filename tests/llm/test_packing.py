@@ -54,10 +54,11 @@ def test_ids_equal_the_library_on_odd_texts(path):
     letters = list("ab Zé\n.,!'09 ×÷¿ıİßǅ\t　中😀| sȺ") + ["<|endoftext|>", "  ", "the ", "'ll"]
     texts = ["".join(rng.choice(letters, rng.integers(0, 14))) for _ in range(4000)] + ["", "x" * 5000, "a b " * 3000]
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
-    e = Encoder(path)
-    for _ in range(2):  # new, then from the cache
-        assert e.encode(texts) == [np.array(x.ids, "<u4").tobytes() for x in library.encode_batch(texts, add_special_tokens=False)]
+    for plain in (False, True):
+        library.encode_special_tokens = plain
+        e = Encoder(path, plain)
+        for _ in range(2):  # new, then from the cache
+            assert e.encode(texts) == [np.array(x.ids, "<u4").tobytes() for x in library.encode_batch(texts, add_special_tokens=False)]
 
 
 def check(rows, texts):

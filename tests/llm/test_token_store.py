@@ -23,7 +23,7 @@ def test_cuts_depend_on_content_only():
 
 def rows():
     long = " ".join(f"word{i}" for i in range(4000))
-    return [(7, "Hello  World"), (-3, None), (900, ""), (5, long), (6, long), (1 << 40, long[:9000] + "x"), (None, "no id"), (8, "twice"), (8, "twice"), (9, "<|endoftext|> 中文 😀")]
+    return [(7, "Hello  World"), (-3, None), (900, ""), (5, long), (6, long), (1 << 40, long[:9000] + "x"), (None, "no id"), (8, "twice"), (8, "twice"), (9, "a <|endoftext|> 中文 😀"), (10, "a <|endoftext|> b")]
 
 
 def test_round_trip(spark):
@@ -31,7 +31,6 @@ def test_round_trip(spark):
     store = TokenStore.write(df)
     got = store.documents().collect()
     library = Tokenizer.from_file(VOCABULARY)
-    library.encode_special_tokens = True
     start = 0
     for r, (i, text) in zip(sorted(got, key=lambda r: r.start), sorted(rows(), key=lambda r: (r[0] is not None, r[0] or 0)), strict=True):
         ids = np.append(np.array(library.encode(text or "", add_special_tokens=False).ids, "<u4"), np.uint32(2)).astype("<u4")
@@ -48,7 +47,7 @@ def test_harm_is_noticed(spark, harm):
     store = TokenStore.write(spark.createDataFrame([(i, f"text number {i} " * 50) for i in range(9)], "doc_id long, text string"))
     if harm == "container":
         place = store.table("chunks").orderBy("container", "offset").first()
-        fs, path = filesystem(place.container)
+        fs, path = filesystem(f"{store.folder}/containers/{place.container}")
         with fs.open_input_stream(path, compression=None) as f:
             data = bytearray(f.read())
         data[place.offset + place.size // 2] ^= 0xFF
@@ -63,3 +62,17 @@ def test_harm_is_noticed(spark, harm):
 
 def test_empty_table(spark):
     assert TokenStore.write(spark.createDataFrame([], "doc_id long, text string")).documents().collect() == []
+
+
+def test_hashed_ids_and_files_in_ascending_order(spark):
+    rng = np.random.default_rng(5)
+    ids = sorted({int(x) for x in rng.integers(0, 1 << 62, 3000)})
+    df = spark.createDataFrame([(i, f"text {i % 97}") for i in ids] + [(None, f"none {k}") for k in range(900)], "doc_id long, text string").repartition(5)
+    store = TokenStore.write(df)
+    recipes = store.table("recipes")
+    assert recipes.groupBy("block").count().agg({"count": "max"}).first()[0] <= 1024 and recipes.select("block").distinct().count() > 5
+    spans = recipes.selectExpr("input_file_name() as f", "start").groupBy("f").agg({"start": "min"}).orderBy("f").collect()
+    assert [r[1] for r in spans] == sorted(r[1] for r in spans)
+    got = store.documents(with_ids=False).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None] * 900 + ids
+    assert [r.start for r in got] == np.append(0, np.cumsum([r.n_tokens for r in got])[:-1]).tolist()

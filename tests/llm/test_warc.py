@@ -4,6 +4,7 @@ import io
 import pytest
 from keelgrid.llm import warc
 from keelgrid.llm.shared import filesystem
+from pyspark.sql import functions as F
 
 
 def test_reader_takes_members_one_by_one():
@@ -56,3 +57,20 @@ def test_pages(spark):
 
 def test_empty_table(spark):
     assert warc.read_archives(warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"))).collect() == []
+
+
+def test_other_attempts_files_do_not_count(spark, tmp_path):
+    rows = [(i, f"http://a/{i}", "x" * (i % 7 * 300)) for i in range(60)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    lists = [warc.write_archives(x, f"file:{tmp_path}/w") for x in (df.repartition(3), df.orderBy(F.desc("page_id")).coalesce(2), df.repartition(5, "url"))]
+    assert len({r.archive for x in lists for r in x.collect()}) == sum(x.count() for x in lists)
+    for x in lists:
+        assert sorted(r.page_id for r in warc.read_archives(x).collect()) == list(range(60))
+    short = lists[0].withColumn("records", F.col("records") + 1)
+    with pytest.raises(Exception, match="records instead of"):
+        warc.read_archives(short).collect()
+
+
+def test_very_long_page(spark):
+    df = spark.createDataFrame([(1, "u", "long " * 2_000_000), (2, "u", "long " * 2_000_000)], "page_id long, url string, html string")
+    assert sorted((r.page_id, r.payload_bytes, r.record_type) for r in warc.read_archives(warc.write_archives(df)).collect()) == [(1, 10_000_000, "revisit"), (2, 10_000_000, "response")]

@@ -1,14 +1,15 @@
-"""Connected components by alternating large-star and small-star steps, every step a written table."""
+"""Connected components by alternating large-star and small-star steps, every step a written table.
+
+The steps end when a step changes nothing; their number grows with the logarithm of the longest chain. An empty table
+gives an empty table. Of the written tables the last stays, until the session ends.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelgrid.llm.shared import staged
-
-#: Steps after which it gives up; the number needed grows with the logarithm of the longest chain.
-MOST_STEPS = 60
+from keelgrid.llm.shared import discard, shared_folder, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -27,12 +28,12 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """From edges (u, v), long, without nulls: (u, v) for each node but the smallest of its component, v that smallest."""
-    edges = staged(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
-    before = None
-    for _ in range(MOST_STEPS):
+    spark, folder, step, before = edges.sparkSession, shared_folder(edges.sparkSession, "components"), 0, None
+    edges = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), f"{folder}/{step}")
+    while True:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now[0] == 0 or now == before:
             return edges
-        before = now
-        edges = staged(_star(_star(edges, True), False), "edges")
-    raise RuntimeError(f"components were not found in {MOST_STEPS} steps")
+        before, step = now, step + 1
+        edges = written(_star(_star(edges, True), False), f"{folder}/{step}")
+        discard(spark, f"{folder}/{step - 1}")

@@ -4,8 +4,10 @@ The index is cut by documents: each segment holds, for some documents, every wor
 and is one row of a written table, so a search needs no shuffle and no posting list is longer than its segment. A
 frequent word, a hot source or a passage that many documents share is spread like the documents are. A phrase is found
 from its rarest word in the segment: its positions, less the word's offset, are possible starts; they are intersected with
-the offset-adjusted postings of the other words, next rarest first. With `slop` above 0 a start also matches if every word
-has a posting at most so far from its place (proximity).
+the offset-adjusted postings of the other words, next rarest first. With `slop` above 0 a document is also near an item if
+for some place p it has every word j of a window at most `slop` from p + j (proximity); places are sought around each
+posting of the rarest word, and documents stand so far apart that no place has words of two. How the documents are cut
+into segments changes no result.
 
 A-Z are lower-cased; words are runs of digits, letters and all characters beyond ASCII. A window is `size` consecutive
 words of an item; an item with fewer, but not none, is one window. Null and empty texts have no words. Items go out in
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keelgrid.llm.features import _LOWER, word_spans
-from keelgrid.llm.shared import portions, staged
+from keelgrid.llm.shared import named, portions, staged
 
 SIZE, SEGMENT_CHARS, BLOCK_WORDS = 13, 3_000_000, 200_000
 _WORD = np.zeros(256, bool)
@@ -50,10 +52,11 @@ def build_index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """The written index. A segment's row: documents and their word counts, words, where each word's postings end, and
     the postings as differences. Between two documents one position is left free."""
     kind = df.schema[id_col].dataType.simpleString()
+    df = df.select(named(id_col).alias("kg_id"), named(text_col).alias("kg_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 32
-        for number, (part, texts) in enumerate(portions(batches, text_col, SEGMENT_CHARS)):
+        for number, (part, texts) in enumerate(portions(batches, "kg_text", SEGMENT_CHARS)):
             words, counts = words_of(texts)
             coded = words.dictionary_encode()
             codes = coded.indices.to_numpy()
@@ -66,7 +69,7 @@ def build_index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                 names=["segment", "docs", "counts", "words", "ends", "postings"],
             )
 
-    return staged(df.select(id_col, text_col).mapInArrow(run, f"segment long, docs array<{kind}>, counts array<int>, words array<binary>, ends binary, postings binary"), "index")
+    return staged(df.mapInArrow(run, f"segment long, docs array<{kind}>, counts array<int>, words array<binary>, ends binary, postings binary"), "index")
 
 
 class Queries:
@@ -92,7 +95,8 @@ class Queries:
 
 
 def search_segment(queries: Queries, words: pa.Array, ends: np.ndarray, postings: np.ndarray, slop: int = 0) -> Iterator[tuple[int, int, np.ndarray]]:
-    """For each window that occurs: its number, its length, the starts (token positions in the segment)."""
+    """For each window that occurs: its number, its length, the starts (token positions in the segment; with slop the
+    places around which it lies)."""
     if not len(queries.windows) or not len(words):
         return
     here = pc.index_in(queries.words, value_set=words).fill_null(-1).to_numpy(zero_copy_only=False)
@@ -108,7 +112,7 @@ def search_segment(queries: Queries, words: pa.Array, ends: np.ndarray, postings
         for j in np.argsort(df[own], kind="stable").tolist():
             adjusted = postings[begins[own[j]] : ends[own[j]]] - j
             if starts is None:
-                starts = adjusted
+                starts = np.unique(adjusted[:, None] + np.arange(-slop, slop + 1)) if slop else adjusted
                 continue
             i = np.searchsorted(adjusted, starts)
             if slop:
@@ -126,7 +130,7 @@ def search_segment(queries: Queries, words: pa.Array, ends: np.ndarray, postings
 def item_blocks(items: DataFrame, id_col: str, text_col: str, most: int = BLOCK_WORDS) -> Iterator[list[tuple[object, str]]]:
     """The items with words, block by block, in the order of their ids; one block is on the driver at a time."""
     block, held = [], 0
-    rows = items.select(F.col(id_col), F.col(text_col)).where(F.col(text_col).isNotNull()).orderBy(id_col, text_col)
+    rows = items.select(named(id_col).alias("id"), named(text_col).alias("text")).where("text is not null").orderBy("id", "text")
     for name, text in rows.toLocalIterator():
         n = text.count(" ") + text.count("\n") + 1
         if block and held + n > most:
@@ -174,10 +178,11 @@ def _judged(queries: Queries, segment, docs, counts, words, ends, postings, slop
             covered.setdefault(d, []).append((s, s + n))
             items.setdefault(d, set()).update(queries.items[k])
     if slop:
-        for k, n, starts in search_segment(queries, words.values, ends, places, slop):
-            of = np.maximum(np.searchsorted(first, starts, "right") - 1, 0)
-            inside = (starts >= first[of]) & (starts + n <= first[of] + counts[of])
-            for d in of[inside].tolist():
+        gap = queries.windows.shape[1] + 2 * slop
+        apart = places + gap * (np.searchsorted(first, places, "right") - 1)
+        first = first + gap * np.arange(len(first))
+        for k, _, starts in search_segment(queries, words.values, ends, apart, slop):
+            for d in np.unique(np.searchsorted(first, starts + slop, "right") - 1).tolist():
                 near.setdefault(d, set()).update(queries.items[k])
     spans = []
     for d in range(len(counts)):

@@ -59,7 +59,8 @@ def structure(raw: np.ndarray, begins: np.ndarray, hashes: np.ndarray, starts: n
     sign = ~white & ~upper & ~digit & ~high & ~((raw >= 97) & (raw <= 122))
     same = (hashes[1:] == hashes[:-1]) & (of[1:] == of[:-1]) if len(hashes) else np.zeros(0, bool)
     pairs = (raw[1:] == raw[:-1]) & sign[1:]
-    next_white = np.append(starts[1:], len(raw)) - starts
+    # Up to the next word or the end of the own text: a score must not depend on which text comes next.
+    next_white = np.minimum(np.append(starts[1:], len(raw)), np.append(begins[1:], len(raw))[of]) - starts
     out = np.empty((n, len(STATISTICS)), np.float32)
     out[:, 0] = np.log1p(size - 1)
     out[:, 1] = np.log1p(words)

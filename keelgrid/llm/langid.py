@@ -2,8 +2,9 @@
 
 Counts of hashed 1- to 3-grams of the whole lower-cased text, times the inverse document frequency, scaled to length 1,
 are the inputs. Document frequencies are counted over all learning rows. The weights are fitted by follow-the-regularised-
-leader (FTRL-proximal) with L1 and L2 penalties on a bounded sample of the learning rows (SAMPLE_ROWS, SAMPLE_CHARS, the
-same share of each language's); a fifth of it fits the temperature by which the scores are calibrated.
+leader (FTRL-proximal) with L1 and L2 penalties on a bounded sample of the learning rows (SAMPLE_ROWS, SAMPLE_CHARS, as
+many of each language where there are enough); a fifth of it fits the temperature by which the scores are calibrated,
+each row weighted back to its language's share of the learning rows.
 
 A null text, or one without a letter, is `und` with score 0. Rows with a null label are not learned from. Without any
 learning row every text is `und`; with one language all are of it. A null id hashes as the empty text. Repeated rows get
@@ -18,13 +19,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keelgrid.llm.features import gram_counts
 from keelgrid.llm.sampling import chosen, share_of, shares
-from keelgrid.llm.shared import fold, portions
+from keelgrid.llm.shared import fold, named, portions
 
 BUCKETS, SAMPLE_ROWS, SAMPLE_CHARS = 1 << 13, 6000, 20_000_000
 UNDETERMINED = "und"
@@ -103,7 +104,8 @@ def document_frequencies(df: DataFrame, text_col: str, buckets: int = BUCKETS) -
 
 def fit(learn: DataFrame, text_col: str, label_col: str, id_col: str, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, buckets: int = BUCKETS, epochs: int = 3) -> LanguageModel | None:
     """The model from rows with a label and a text; None where there are none."""
-    learn = learn.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col, text_col, label_col)
+    learn = learn.where(named(label_col).isNotNull() & named(text_col).isNotNull()).select(named(id_col).alias("kg_id"), named(text_col).alias("kg_text"), named(label_col).alias("kg_label"))
+    id_col, text_col, label_col = "kg_id", "kg_text", "kg_label"
     by = shares(learn, label_col, F.length(text_col), rows, chars)
     if not by:
         return None
@@ -129,7 +131,8 @@ def fit(learn: DataFrame, text_col: str, label_col: str, id_col: str, rows: int
     if tune:
         logits = np.concatenate([model.inputs([texts[i] for i in tune[at : at + 256]]) @ model.weights + model.bias for at in range(0, len(tune), 256)])
         truth = np.array([labels.index(names[i]) for i in tune])
-        loss = lambda t: -np.log(softmax(logits / t)[np.arange(len(truth)), truth] + 1e-12).mean()
+        weight = np.array([1 / by[names[i]] for i in tune])
+        loss = lambda t: -(weight * np.log(softmax(logits / t)[np.arange(len(truth)), truth] + 1e-12)).sum()
         model.temperature = min(np.geomspace(0.02, 5, 60), key=loss)
     return model
 
@@ -140,28 +143,29 @@ def hash_of(text: str) -> int:
     return zlib.crc32(text.encode("utf-8", "replace"))
 
 
-def predict(df: DataFrame, model: LanguageModel | None, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), found: Column | None = None) -> DataFrame:
-    """The columns `keep`, then lang_pred and score. With `whole` columns kept, a whole document can pass through."""
-    letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    source = df.select(*(F.col(f"`{c}`") for c in keep), F.when(letter, F.col(text_col)).alias("kg_text"))
-    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+def predict(df: DataFrame, model: LanguageModel | None, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns `keep`, which can be all of a document's, then the language and its score under `names`."""
+    letter = F.coalesce(named(text_col).rlike(r"\p{L}"), F.lit(False))
+    source = df.select(*(named(c).alias(f"kg_{k}") for k, c in enumerate(keep)), F.when(letter, named(text_col)).alias("kg_text"))
+    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in portions(batches, "kg_text", 500_000):
             there = part.column("kg_text").is_valid().to_pylist()
-            names, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
+            said, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
             at = [i for i, x in enumerate(there) if x and model]
             if at:
                 p = model.probabilities([texts[i] for i in at])
                 for i, best, score in zip(at, p.argmax(axis=1), p.max(axis=1), strict=True):
-                    names[i], scores[i] = model.labels[best], float(score)
-            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(keep))), pa.array(names), pa.array(scores, pa.float64())], names=schema.names)
+                    said[i], scores[i] = model.labels[best], float(score)
+            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(keep))), pa.array(said), pa.array(scores, pa.float64())], names=schema.names)
 
     return source.mapInArrow(run, schema)
 
 
-def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", parts: int = 4, held: int = 2, keep: tuple[str, ...] | None = None) -> DataFrame:
-    """Learns from the rows whose fold (crc32 of the id as text, modulo parts) is not `held`, predicts every row."""
+def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", parts: int = 4, held: int = 2, keep: tuple[str, ...] | None = None, names: tuple[str, str, str] = ("lang_pred", "score", "held_out")) -> DataFrame:
+    """Learns from the rows whose fold (crc32 of the id as text, modulo parts) is not `held`, predicts every row. Adds
+    columns of these names, which must not be among those kept."""
     out = fold(id_col, parts) == held
     model = fit(df.where(~out), text_col, label_col, id_col)
-    return predict(df, model, text_col, keep or (id_col,)).withColumn("held_out", fold(id_col, parts) == held)
+    return predict(df, model, text_col, keep or (id_col,), names[:2]).withColumn(names[2], fold(id_col, parts) == held)

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from keelgrid.llm.shared import portions
+from keelgrid.llm.shared import named, portions
 from keelgrid.llm.tokens import encoder
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -153,9 +153,11 @@ class VectorPacker:
             left -= size
 
 
-def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, end_id: int = 0, tokens: int = CAPACITY, segments: int = SEGMENTS, loss: int | None = None, with_ids: bool = False) -> DataFrame:
+def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, end_id: int = 0, tokens: int = CAPACITY, segments: int = SEGMENTS, loss: int | None = None, with_ids: bool = False, prompt_col: str | None = None) -> DataFrame:
     """One row a piece: id, start, length, ids_crc32, doc_tokens, loss_tokens, sequence_id, offset, and with_ids the ids
-    (little-endian unsigned 32-bit). Every token of a document bears loss."""
+    (little-endian unsigned 32-bit). Every token of a document bears loss. With prompt_col (instruction data) an example is
+    the ids of the prompt, of the text and the end id, and only the last two bear loss; `loss` then limits them apart from
+    the tokens."""
     kind = df.schema[id_col].dataType
     fields = [T.StructField(id_col, kind), *(T.StructField(x, T.LongType()) for x in ("start", "length", "ids_crc32", "doc_tokens", "loss_tokens", "sequence_id", "offset"))]
     schema = T.StructType(fields + [T.StructField("ids", T.BinaryType())] * with_ids)
@@ -171,14 +173,15 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             columns += [pa.array(x, pa.int64()) for x in ([p[1] for p in placed], [p[2] for p in placed], [zlib.crc32(x) for x in pieces], [len(k[1]) // 4 for k in keys], [p[3] for p in placed], [first + p[4] for p in placed], [p[5] for p in placed])]
             return pa.RecordBatch.from_arrays(columns + [pa.array(pieces, pa.binary())] * with_ids, names=schema.names)
 
-        for part, texts in portions(batches, text_col):
-            ids, placed = part.column(id_col), []
-            for key, raw in zip(ids.to_pylist(), encoder(vocabulary).encode(texts), strict=True):
+        for part, texts in portions(batches, "kg_text"):
+            ids, placed = part.column(0), []
+            prompts = encoder(vocabulary).encode([x or "" for x in part.column(2).to_pylist()]) if prompt_col else [b""] * len(texts)
+            for key, before, raw in zip(ids.to_pylist(), prompts, encoder(vocabulary).encode(texts), strict=True):
                 n = len(raw) // 4 + 1
-                placed += packer.add((key, raw + end), n, n)
+                placed += packer.add((key, before + raw + end), len(before) // 4 + n, n)
             if placed:
                 yield rows(placed)
         if placed := packer.finish():
             yield rows(placed)
 
-    return df.select(id_col, text_col).mapInArrow(run, schema)
+    return df.select(named(id_col).alias("kg_id"), named(text_col).alias("kg_text"), *(named(c).alias("kg_prompt") for c in [prompt_col] if c)).mapInArrow(run, schema)

@@ -1,8 +1,8 @@
 """Quality score of a text: a factorisation machine over hashed words and statistics of the text's structure.
 
 Inputs are the shares of hashed lower-cased words (BUCKETS, square roots of counts, scaled to length 1) and the text's
-structure statistics (features.STATISTICS, standardised and cut to [-4, 4]); more numeric columns of the table can be
-given as metadata. The score is sigma(w0 + sum w_i x_i + 1/2 sum_f [(sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2]): all pairwise
+structure statistics (features.STATISTICS, standardised and cut to [-4, 4]); numeric columns of the table can be given as
+metadata (op3: n_chars), whose logarithm, with the sign kept, is treated as the statistics are. The score is sigma(w0 + sum w_i x_i + 1/2 sum_f [(sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2]): all pairwise
 interactions in time linear in the inputs. It is fitted by Adam on a bounded sample of labelled rows (SAMPLE_ROWS,
 SAMPLE_CHARS), the same number of each label where there are enough, each row weighted back to its label's share.
 
@@ -20,14 +20,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keelgrid.llm.features import STATISTICS, joined, structure, word_counts
 from keelgrid.llm.langid import hash_of
 from keelgrid.llm.sampling import chosen, share_of, shares
-from keelgrid.llm.shared import fold, portions
+from keelgrid.llm.shared import fold, named, portions
 
 BUCKETS, FACTORS, SAMPLE_ROWS, SAMPLE_CHARS, CHARS_A_ROW = 1 << 12, 8, 6000, 20_000_000, 4000
 
@@ -66,6 +66,11 @@ def raw_inputs(texts: list[str], metadata: np.ndarray, buckets: int) -> np.ndarr
     return np.concatenate([words, stats, metadata.astype(np.float32)], axis=1)
 
 
+def _metadata(column: str) -> Column:
+    value = F.coalesce(named(column).cast("double"), F.lit(0.0))
+    return F.signum(value) * F.log1p(F.abs(value))
+
+
 def fit_machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, buckets: int, factors: int = FACTORS, epochs: int = 12, rate: float = 0.02, l2: float = 1e-5, seed: int = 7) -> FactorisationMachine:
     """x: unstandardised inputs. Adam over minibatches in an order fixed by the seed."""
     random = np.random.default_rng(seed)
@@ -96,17 +101,17 @@ def fit_machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, buckets: int,
 def learn(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, metadata: tuple[str, ...] = (), rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, buckets: int = BUCKETS) -> FactorisationMachine | None:
     """The machine from df's rows that `labels` marks 0 or 1; None without any. The sample holds about as many rows as
     `rows` and as `chars` allows at CHARS_A_ROW; only the part of its texts that exceeds `chars` twice is left out."""
-    marked = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("kg_id"), F.col(label_col).cast("int").alias("kg_label"))
+    marked = labels.where(named(label_col).isin(0, 1) & named(id_col).isNotNull()).select(named(id_col).alias("kg_id"), named(label_col).cast("int").alias("kg_label"))
     by = shares(marked, "kg_label", F.lit(CHARS_A_ROW), rows, chars)
     if not by:
         return None
     sample = marked.where(chosen("kg_id", share_of("kg_label", by))).limit(2 * rows)
-    joined_ = df.select(id_col, F.col(text_col).alias("kg_text"), *metadata).join(F.broadcast(sample), F.col(id_col) == F.col("kg_id"))
+    joined_ = df.select(named(id_col).alias("kg_own"), named(text_col).alias("kg_text"), *(_metadata(c).alias(f"kg_m{k}") for k, c in enumerate(metadata))).join(F.broadcast(sample), F.col("kg_own") == F.col("kg_id"))
     size = F.length(F.coalesce("kg_text", F.lit("")))
     total = joined_.agg(F.sum(size)).first()[0] or 0
     if total > 2 * chars:  # far longer texts than planned for: fewer of them, by the same hash
         joined_ = joined_.where(chosen("kg_id", share_of("kg_label", {k: v * chars / total for k, v in by.items()})))
-    table = joined_.select("kg_text", "kg_label", *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in metadata)).toArrow()
+    table = joined_.select("kg_text", "kg_label", *(f"kg_m{k}" for k in range(len(metadata)))).toArrow()
     if not table.num_rows:
         return None
     texts, y = [t or "" for t in table.column(0).to_pylist()], np.array(table.column(1).to_pylist(), float)
@@ -131,7 +136,7 @@ def score(df: DataFrame, machine: FactorisationMachine | None, id_col: str = "do
                     scores[at : at + 512] = machine.score(texts[at : at + 512], extra[at : at + 512])
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores)], names=schema.names)
 
-    source = df.select(id_col, F.col(text_col).alias("kg_text"), *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in metadata))
+    source = df.select(named(id_col).alias("kg_id"), named(text_col).alias("kg_text"), *(_metadata(c).alias(f"kg_m{k}") for k, c in enumerate(metadata)))
     return source.mapInArrow(run, schema)
 
 
@@ -139,4 +144,4 @@ def judge(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Learns from labelled rows whose fold (crc32 of the id as text, modulo parts) is not `held`; scores every row."""
     machine = learn(df, labels.where(fold(id_col, parts) != held), id_col, text_col, label_col, metadata)
     scored = score(df, machine, id_col, text_col, metadata)
-    return scored.select(id_col, (fold(id_col, parts) == held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return scored.select(named(id_col), (fold(id_col, parts) == held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

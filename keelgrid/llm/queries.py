@@ -23,7 +23,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), metadata=("n_chars",))
 
 
 def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:

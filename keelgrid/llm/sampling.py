@@ -1,4 +1,4 @@
-"""A bounded sample of labelled rows for fitting a classifier, by a hash of the id."""
+"""A bounded sample of labelled rows for fitting a classifier, by a hash of the id. An empty table gives no shares."""
 
 from __future__ import annotations
 
@@ -17,7 +17,8 @@ def chosen(ids: str, share: Column) -> Column:
 
 def shares(df: DataFrame, label: str, size: Column, rows: int, chars: int) -> dict:
     """For each label the share of its rows to take, so that about `rows` rows and `chars` characters come in all, as many
-    of each label. The labels' counts, one row a label, reach the driver; more than 1000 labels are an error."""
+    of each label. The labels' counts, one row a label, reach the driver; a column with more than 1000 values is no label, and
+    an error rather than a classifier of that many classes."""
     counts = df.groupBy(label).agg(F.count("*").alias("kg_rows"), F.sum(size).alias("kg_chars")).limit(1001).collect()
     if len(counts) > 1000:
         raise ValueError(f"{label} has more than 1000 values")

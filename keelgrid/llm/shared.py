@@ -73,9 +73,20 @@ def put(fs: pafs.FileSystem, path: str, data) -> None:
         out.write(data)
 
 
+def named(column: str) -> Column:
+    """The column of exactly this name, with dots and backticks."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that begins so and that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for k in range(len(taken) + 1) if (n := name + "_" * k) not in taken)
+
+
 def id_text(column: str) -> Column:
     """The id as text, null as the empty text."""
-    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+    return F.coalesce(named(column).cast("string"), F.lit(""))
 
 
 def fold(column: str, parts: int) -> Column:
@@ -116,7 +127,7 @@ def with_blocks(df: DataFrame, id_col: str, tie: Column, out: str, width: int =
     id stay in one block, but those without an id, which come before all, are cut by `tie`: an integer from 0 to 4095
     that ascends with the order in which they stand."""
     steps = [COARSE >> (k + 1) for k in range(COARSE.bit_length() - 1)]
-    id_ = F.col(f"`{id_col}`").cast("long")
+    id_ = named(id_col).cast("long")
     ids = df.where(id_.isNotNull()).select(id_.alias("id"))
     cuts = ids.agg(F.percentile_approx("id", [k / COARSE for k in range(1, COARSE)], 10 * COARSE)).first()[0] or [0] * (COARSE - 1)
 

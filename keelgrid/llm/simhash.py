@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keelgrid.llm.components import connected_components
-from keelgrid.llm.shared import portions, staged
+from keelgrid.llm.shared import named, portions, staged
 
 SHINGLE, SEED, RADIUS, LARGE = 3, 42, 2, 4096
 WIDE, BANDS, ROWS = 5, 32, 4
@@ -76,7 +76,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             found = np.array([vote(shingle_hashes(x, size, seed)) for x in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found)], names=schema.names)
 
-    return df.select(id_col, F.xxhash64(text_col).alias("kg_hash"), F.col(text_col).alias("kg_text")).mapInArrow(run, schema)
+    return df.select(named(id_col).alias("kg_id"), F.xxhash64(named(text_col)).alias("kg_hash"), named(text_col).alias("kg_text")).mapInArrow(run, schema)
 
 
 def bk_links(members: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
@@ -153,11 +153,7 @@ def links(prints: DataFrame, large: int = LARGE) -> DataFrame:
             edges = np.flatnonzero((shard[1:] != shard[:-1]) | (value[1:] != value[:-1])) + 1
             u, v = [], []
             for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(fp)], strict=True):
-                if b - a == 2:  # a tree of a root and a child
-                    if (int(fp[a]) ^ int(fp[a + 1])).bit_count() <= RADIUS:
-                        u.append(fp[a])
-                        v.append(fp[a + 1])
-                elif b - a > 2:
+                if b - a > 1:
                     for i, j in bk_links(fp[a:b]):
                         u.append(fp[a + i])
                         v.append(fp[a + j])
@@ -196,7 +192,7 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     """Two tables: the rows' fingerprints (written), and for each different fingerprint (kg_fp) its class (kg_root, the
     smallest fingerprint in it) and the class's smallest id (component_id)."""
     prints = staged(fingerprints(df, id_col, text_col), "fingerprints")
-    own = staged(prints.groupBy(F.col("fingerprint").alias("fp")).agg(F.min(id_col).alias("kg_least")), "different")
+    own = staged(prints.groupBy(F.col("fingerprint").alias("fp")).agg(F.min(named(id_col)).alias("kg_least")), "different")
     return prints, _rooted(own, links(own.select("fp")))
 
 
@@ -231,7 +227,7 @@ def shingle_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 lists.append(np.array(bands(h), np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(lists, pa.list_(pa.int64()))], names=schema.names)
 
-    return df.select(id_col, F.xxhash64(text_col).alias("kg_hash"), F.col(text_col).alias("kg_text")).mapInArrow(run, schema)
+    return df.select(named(id_col).alias("kg_id"), F.xxhash64(named(text_col)).alias("kg_hash"), named(text_col).alias("kg_text")).mapInArrow(run, schema)
 
 
 def _members(texts: DataFrame, size: int = WIDE) -> DataFrame:
@@ -246,19 +242,19 @@ def _members(texts: DataFrame, size: int = WIDE) -> DataFrame:
 
 
 def _order(id_col: str) -> Column:
-    return F.struct(F.col(id_col).isNull().alias("a"), F.col(id_col).alias("b"), F.col("kg_hash").alias("c"))
+    return F.struct(named(id_col).isNull().alias("a"), named(id_col).alias("b"), F.col("kg_hash").alias("c"))
 
 
 def alike(df: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text", size: int = WIDE) -> tuple[DataFrame, DataFrame]:
     """As classes, but a fingerprint is the hash of a set of shingles, and sets of a Jaccard index of `least` at least are linked."""
     prints = staged(shingle_sets(df, id_col, text_col, size), "sets")
-    own = staged(prints.groupBy(F.col("fingerprint").alias("fp")).agg(F.min(_order(id_col)).alias("kg_first"), F.min(id_col).alias("kg_least"), F.first("kg_bands").alias("kg_bands")), "different")
+    own = staged(prints.groupBy(F.col("fingerprint").alias("fp")).agg(F.min(_order(id_col)).alias("kg_first"), F.min(named(id_col)).alias("kg_least"), F.first("kg_bands").alias("kg_bands")), "different")
     each = own.select("fp", F.posexplode("kg_bands").alias("band", "value"))
     met = each.groupBy("band", "value").agg(F.min("fp").alias("kg_head"), F.count("*").alias("n")).where("n > 1").select(F.col("band").alias("b"), F.col("value").alias("x"), "kg_head")
     met = staged(each.join(met, (F.col("band") == F.col("b")) & (F.col("value") == F.col("x"))).select("band", "value", "kg_head", "fp"), "buckets")
     # One row's text stands for each set that shares a bucket.
     asked = staged(own.join(met.select("fp").distinct(), "fp", "left_semi").select("fp", F.col("kg_first.b").alias("kg_id"), F.col("kg_first.c").alias("kg_key")), "asked")
-    texts = df.select(F.col(id_col).alias("own_id"), F.xxhash64(text_col).alias("own_key"), F.col(text_col).alias("kg_text"))
+    texts = df.select(named(id_col).alias("own_id"), F.xxhash64(named(text_col)).alias("own_key"), named(text_col).alias("kg_text"))
     texts = texts.join(asked, F.col("own_id").eqNullSafe(F.col("kg_id")) & (F.col("own_key") == F.col("kg_key")))
     sets = staged(_members(texts, size).dropDuplicates(["fp"]), "members")
 
@@ -279,7 +275,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """id, fingerprint (16 hexadecimal digits) and component_id of every row."""
     prints, of = classes(df, id_col, text_col)
     # A hot fingerprint is a hot key here; the join is of two exchanges, whose large partitions Spark splits.
-    return prints.join(of, F.col("fingerprint") == F.col("kg_fp")).select(id_col, F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.join(of, F.col("fingerprint") == F.col("kg_fp")).select(named(id_col), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float | None = None) -> DataFrame:
@@ -290,8 +286,16 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
     order = _order(id_col)
     # One row a fingerprint before classes meet, so a hot fingerprint is summed where it lies.
     first = prints.groupBy(F.col("fingerprint")).agg(F.min(order).alias("kg_first"))
-    first = first.join(of, F.col("fingerprint") == F.col("kg_fp")).groupBy("kg_root").agg(F.min("kg_first").alias("f")).select(F.col("f.b").alias("kg_id"), F.col("f.c").alias("kg_key"))
-    hash_ = next(n for n in (f"kg_hash{i}" for i in range(len(df.columns) + 1)) if n not in df.columns)
-    left = df.withColumn(hash_, F.xxhash64(text_col))
-    kept = left.join(first, left[id_col].eqNullSafe(first["kg_id"]) & (left[hash_] == first["kg_key"]), "left_semi")
-    return kept.dropDuplicates([id_col, hash_]).select(df.columns)
+    first = first.join(of, F.col("fingerprint") == F.col("kg_fp")).groupBy("kg_root").agg(F.min("kg_first").alias("f")).select(*_keys(F.col("f.b"), F.col("f.c")))
+    # Keys without nulls, the same in the join and in dropping repeated rows: the texts are shuffled once.
+    names = [f"kg_c{k}" for k in range(len(df.columns))]
+    left = df.select(*_keys(named(id_col), F.xxhash64(named(text_col))), *(named(c).alias(n) for c, n in zip(df.columns, names, strict=True)))
+    kept = left.join(first, list(_KEYS), "left_semi").dropDuplicates(list(_KEYS))
+    return kept.select(*(F.col(n).alias(c) for c, n in zip(df.columns, names, strict=True)))
+
+
+_KEYS = ("kg_none", "kg_id", "kg_key")
+
+
+def _keys(id_: Column, key: Column) -> list[Column]:
+    return [F.coalesce(x, F.lit(y)).alias(n) for x, y, n in zip((id_.isNull(), id_.cast("string"), key), (False, "", 0), _KEYS, strict=True)]

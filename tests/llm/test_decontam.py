@@ -62,3 +62,26 @@ def test_empty_tables(spark):
     docs, items = frames(spark)
     assert contamination(docs.limit(0), items).collect() == []
     assert {r.n_hit for r in contamination(docs, items.limit(0)).collect()} == {0}
+
+
+def near(docs, item, slop):
+    """By trying every place."""
+    v, out = words(item), set()
+    for i, text in docs:
+        w = words(text)
+        at = {x: [k for k, y in enumerate(w) if y == x] for x in v}
+        if any(all(any(abs(q - j - p) <= slop for q in at[x]) for j, x in enumerate(v)) for p in range(-slop - len(v), len(w) + slop)):
+            out.add(i)
+    return out
+
+
+def test_proximity_is_the_same_however_documents_are_cut(spark):
+    rng = random.Random(3)
+    docs = [(i, " ".join(rng.choice("abcdexyz") for _ in range(rng.randrange(1, 12)))) for i in range(60)] + [(60, "a x b y c"), (61, "alpha beta x"), (62, "gamma delta"), (63, "")]
+    items = [(0, "a b c"), (1, "alpha beta gamma"), (2, "d e"), (3, "x y z a")]
+    for parts in (1, 7, 40):
+        index = build_index(spark.createDataFrame(docs, "doc_id long, text string").repartition(parts, "doc_id"))
+        for slop in (1, 2):
+            got = {r.doc: set(r.near) for r in search(index, spark.createDataFrame(items, "item_id long, text string"), slop=slop).collect()}
+            for i, item in items:
+                assert {d for d, n in got.items() if str(i) in n} == near(docs, item, slop), (parts, slop, item)

@@ -1,8 +1,11 @@
+import math
+import random
 import zlib
+from collections import Counter
 
 import numpy as np
 from keelgrid.llm.features import gram_counts
-from keelgrid.llm.langid import Ftrl, identify, softmax
+from keelgrid.llm.langid import Ftrl, document_frequencies, fit, identify, predict, softmax
 
 
 def test_slices_count_like_whole_texts():
@@ -43,3 +46,42 @@ def test_odd_rows(spark):
     assert by[54].lang_pred == "en" and by[53].lang_pred == "fr" and by[None].lang_pred == "en" and by[55].lang_pred in ("en", "fr")
     assert {r.lang_pred for r in identify(df.selectExpr("doc_id", "text", "cast(null as string) lang")).collect()} == {"und"}
     assert identify(df.limit(0)).collect() == []
+
+
+def plain_grams(text, buckets):
+    """Counts of the hashed 1- to 3-grams, one by one."""
+    codes = [c if c >= 128 or 97 <= c <= 122 else 32 for c in map(ord, f" {(text or '').lower()} ")]
+    m, out = (1 << 32) - 1, Counter()
+    for i in range(len(codes)):
+        h = 0
+        for n in (1, 2, 3):
+            if i + n > len(codes):
+                break
+            h = (h * 0x01000193 & m) ^ (codes[i + n - 1] * 0x9E3779B1 + n & m)
+            x = (h ^ h >> 15) * 0x85EBCA6B & m
+            out[(x ^ x >> 13) & buckets - 1] += 1
+    return out
+
+
+def test_predictions_against_a_plain_version(spark):
+    rng = random.Random(2)
+    words = {"en": "the dog and cat of hill".split(), "fr": "le chien et la \u00e9t\u00e9 colline".split(), "de": "der Hund und die K\u00e4tze".split()}
+    rows = [(i, " ".join(rng.choice(words[k]) for _ in range(rng.randrange(1, 40))), k) for i in range(90) for k in [rng.choice(list(words))]]
+    rows += [(90, "12 !?", "en"), (91, None, None), (92, "", None), (93, "cat " * 20_000, "en"), (94, "\u4e2d x", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    m = fit(df, "text", "lang", "doc_id", buckets=256)
+    learned = [t for _, t, k in rows if k and t is not None]
+    frequency, count = document_frequencies(df.where("lang is not null and text is not null"), "text", 256)
+    grams = [plain_grams(t, 256) for t in learned]
+    assert count == len(learned) and frequency.tolist() == [sum(b in g for g in grams) for b in range(256)]
+    idf = [math.log((1 + count) / (1 + f)) for f in frequency.tolist()]
+    for r in predict(df, m).collect():
+        text = rows[r.doc_id][1]
+        if not any(c.isalpha() for c in text or ""):
+            assert (r.lang_pred, r.score) == ("und", 0)
+            continue
+        x = {b: n * idf[b] for b, n in plain_grams(text, 256).items()}
+        norm = math.sqrt(sum(v * v for v in x.values())) or 1
+        z = [(sum(v / norm * float(m.weights[b, k]) for b, v in x.items()) + float(m.bias[k])) / m.temperature for k in range(3)]
+        e = [math.exp(v - max(z)) for v in z]
+        assert r.lang_pred == m.labels[int(np.argmax(e))] and abs(r.score - max(e) / sum(e)) < 1e-3

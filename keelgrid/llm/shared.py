@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -100,17 +104,21 @@ def let(value: Column, body) -> Column:
 
 
 def portions(batches: Iterator[pa.RecordBatch], column: str, chars: int = 2_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of the batches with about so many characters of text at most (a longer text stands alone), and their texts, null as empty."""
+    """Slices of the batches with about so many bytes of text at most (a longer text stands alone), and their texts, null as
+    empty. Only one slice's texts are Python's at a time; in the end the worker, which lives on, gives its memory back."""
     for batch in batches:
-        texts = [x or "" for x in batch.column(column).to_pylist()]
-        first = held = 0
-        for i, x in enumerate(texts):
-            if i > first and held + len(x) > chars:
-                yield batch.slice(first, i - first), texts[first:i]
-                first, held = i, 0
-            held += len(x)
-        if first < len(texts):
-            yield batch.slice(first), texts[first:]
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+        first = 0
+        while first < len(ends):
+            before = int(ends[first - 1]) if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, before + chars, "right")))
+            part = batch.slice(first, last - first)
+            yield part, [x or "" for x in part.column(column).to_pylist()]
+            first = last
+        del batch
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def block_of(column: str, width: int = BLOCK) -> Column:

@@ -19,8 +19,12 @@ copies. Other columns are ignored. An empty table gives no rows.
 keep_one takes a least likeness instead: then documents are linked whose sets of 5-word shingles (made and hashed as above)
 have that Jaccard index at least, counted exactly. 64 bits can't find such pairs (at 0.8 they differ in up to 14 bits and
 more), so candidates are texts that agree on one of BANDS bands of ROWS min-hashes: a pair of likeness 0.8 is missed with
-a chance of 5 in 10^8. Texts of equal sets are one candidate. The members of a bucket are compared with its smallest first,
-and then only those that are not joined yet.
+a chance of 6 in 10^5, one of 0.85 with 3 in 10^7. Texts of equal sets are one candidate. Each text is first compared with
+two others at most, heads of its buckets: of a bucket's texts the head is the one that meets most others in all its
+buckets, so that the copies of a text meet that text. Of the texts that are then not joined, those of a bucket are
+compared whose numbers of common shingles (those that more than RARE of the open texts have) allow the likeness, and
+those that share a rarer one: of two alike texts either is true. So copies with edits of their own are told apart without
+being compared in pairs.
 """
 
 from __future__ import annotations
@@ -38,7 +42,7 @@ from keelgrid.llm.components import connected_components
 from keelgrid.llm.shared import named, portions, staged
 
 SHINGLE, SEED, RADIUS, LARGE = 3, 42, 2, 4096
-WIDE, BANDS, ROWS = 5, 32, 4
+WIDE, BANDS, ROWS, RARE, PARTS = 5, 32, 6, 32, 64
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: For each byte, its bits in eight lanes of 8 bits, which hold sums of up to 255.
 _LANES = np.packbits(np.zeros((256, 64), np.uint8), axis=1).view(np.uint64).ravel().copy()
@@ -215,17 +219,18 @@ def bands(h: np.ndarray) -> list[int]:
 
 
 def shingle_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WIDE) -> DataFrame:
-    """id, kg_hash (of the text), fingerprint (the hash of the set of shingles) and kg_bands, all long, the last an array."""
-    schema = T.StructType([df.schema[id_col], T.StructField("kg_hash", T.LongType()), T.StructField("fingerprint", T.LongType()), T.StructField("kg_bands", T.ArrayType(T.LongType()))])
+    """id, kg_hash (of the text), fingerprint (the hash of the set of shingles), kg_size (of the set) and kg_bands (an array), all long."""
+    schema = T.StructType([df.schema[id_col], T.StructField("kg_hash", T.LongType()), T.StructField("fingerprint", T.LongType()), T.StructField("kg_size", T.LongType()), T.StructField("kg_bands", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in portions(batches, "kg_text", 1_000_000):
-            prints, lists = [], []
+            prints, sizes, lists = [], [], []
             for x in texts:
                 h = np.unique(shingle_hashes(x, size))
                 prints.append(xxhash.xxh64_intdigest(h.tobytes(), SEED))
+                sizes.append(len(h))
                 lists.append(np.array(bands(h), np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(lists, pa.list_(pa.int64()))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], names=schema.names)
 
     return df.select(named(id_col).alias("kg_id"), F.xxhash64(named(text_col)).alias("kg_hash"), named(text_col).alias("kg_text")).mapInArrow(run, schema)
 
@@ -248,10 +253,16 @@ def _order(id_col: str) -> Column:
 def alike(df: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text", size: int = WIDE) -> tuple[DataFrame, DataFrame]:
     """As classes, but a fingerprint is the hash of a set of shingles, and sets of a Jaccard index of `least` at least are linked."""
     prints = staged(shingle_sets(df, id_col, text_col, size), "sets")
-    own = staged(prints.groupBy(F.col("fingerprint").alias("fp")).agg(F.min(_order(id_col)).alias("kg_first"), F.min(named(id_col)).alias("kg_least"), F.first("kg_bands").alias("kg_bands")), "different")
-    each = own.select("fp", F.posexplode("kg_bands").alias("band", "value"))
-    met = each.groupBy("band", "value").agg(F.min("fp").alias("kg_head"), F.count("*").alias("n")).where("n > 1").select(F.col("band").alias("b"), F.col("value").alias("x"), "kg_head")
-    met = staged(each.join(met, (F.col("band") == F.col("b")) & (F.col("value") == F.col("x"))).select("band", "value", "kg_head", "fp"), "buckets")
+    own = staged(prints.groupBy(F.col("fingerprint").alias("fp")).agg(F.min(_order(id_col)).alias("kg_first"), F.min(named(id_col)).alias("kg_least"), F.first("kg_size").alias("size"), F.first("kg_bands").alias("kg_bands")), "different")
+    each = own.select("fp", "size", F.posexplode("kg_bands").alias("band", "value"))
+    filled = each.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1").select(F.col("band").alias("b"), F.col("value").alias("x"), "n")
+    met = staged(each.join(filled, (F.col("band") == F.col("b")) & (F.col("value") == F.col("x"))).select("band", "value", "fp", "size", "n"), "buckets")
+    meets = met.groupBy(F.col("fp").alias("of")).agg(F.sum("n").alias("meets"))
+    heads = met.join(meets, F.col("fp") == F.col("of")).groupBy(F.col("band").alias("b"), F.col("value").alias("x")).agg(F.max(F.struct("meets", "fp", "size")).alias("head"))
+    may = lambda a, b: (a >= F.lit(least) * b) & (b >= F.lit(least) * a)
+    pairs = met.join(heads, (F.col("band") == F.col("b")) & (F.col("value") == F.col("x"))).where((F.col("head.fp") != F.col("fp")) & may(F.col("head.size"), F.col("size")))
+    pairs = pairs.groupBy(F.col("head.fp").alias("u"), F.col("fp").alias("v")).agg(F.count("*").alias("c"), F.max("head.meets").alias("meets")).groupBy("v").agg(F.max(F.struct("c", "u")).alias("best"), F.max(F.struct("meets", "u")).alias("central"))
+    pairs = pairs.select(F.explode(F.array_distinct(F.array("best.u", "central.u"))).alias("u"), "v")
     # One row's text stands for each set that shares a bucket.
     asked = staged(own.join(met.select("fp").distinct(), "fp", "left_semi").select("fp", F.col("kg_first.b").alias("kg_id"), F.col("kg_first.c").alias("kg_key")), "asked")
     texts = df.select(named(id_col).alias("own_id"), F.xxhash64(named(text_col)).alias("own_key"), named(text_col).alias("kg_text"))
@@ -263,11 +274,33 @@ def alike(df: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "
         counted = both.select("u", "v", F.size(F.array_intersect("a", "b")).alias("common"), (F.size("a") + F.size("b")).alias("sum"))
         return counted.where(F.col("common") / (F.col("sum") - F.col("common")) >= least).select("u", "v")
 
-    near = staged(confirmed(met.where("kg_head <> fp").select(F.col("kg_head").alias("u"), F.col("fp").alias("v")).distinct()), "confirmed")
+    near = staged(confirmed(pairs), "confirmed")
     joined = connected_components(near).select(F.col("u").alias("kg_u"), F.col("v").alias("kg_v"))
-    now = met.join(joined, F.col("fp") == F.col("kg_u"), "left").select("band", "value", "fp", F.coalesce("kg_v", "fp").alias("root"))
-    other = now.select("band", "value", F.col("fp").alias("v"), F.col("root").alias("kg_other"))
-    rest = now.select("band", "value", F.col("fp").alias("u"), "root").join(other, ["band", "value"]).where("u < v and root <> kg_other").select("u", "v").distinct()
+    now = met.join(joined, F.col("fp") == F.col("kg_u"), "left").select("band", "value", "fp", "size", F.coalesce("kg_v", "fp").alias("root"))
+    # Only buckets of several classes go on.
+    several = now.groupBy(F.col("band").alias("b"), F.col("value").alias("x")).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("b", "x")
+    now = staged(now.join(several, (F.col("band") == F.col("b")) & (F.col("value") == F.col("x"))).select("band", "value", "fp", "size", "root"), "open")
+    texts = now.select("fp", "size", "root").distinct()
+    each = sets.join(texts, "fp").select("fp", "size", "root", F.explode("kg_set").alias("shingle"))
+    each = each.join(each.groupBy(F.col("shingle").alias("s")).agg(F.count("*").alias("n")), F.col("shingle") == F.col("s"))
+    facts = ("fp", "size", "root", "common", "parts")
+    left = lambda df: df.withColumnsRenamed({c: f"kg_{c}" for c in facts})
+    apart = (F.col("kg_fp") < F.col("fp")) & (F.col("kg_root") != F.col("root")) & may(F.col("kg_size"), F.col("size"))
+    enough = lambda most: most >= F.lit(least) * (F.col("kg_size") + F.col("size") - most)
+    # A text's common shingles, counted by PARTS ranges of hashes: two texts share no more of a range than the fewer there.
+    counts = each.where(F.col("n") > RARE).groupBy("fp", F.pmod("shingle", F.lit(PARTS)).cast("int").alias("part")).agg(F.count("*").alias("n"))
+    counts = counts.groupBy(F.col("fp").alias("f")).agg(F.sum("n").alias("common"), F.map_from_entries(F.collect_list(F.struct("part", "n"))).alias("m"))
+    counts = counts.select("f", "common", F.transform(F.lit(list(range(PARTS))), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0))).alias("parts"))
+    fewer = F.aggregate(F.zip_with("parts", "kg_parts", lambda a, b: F.least(a, b)), F.lit(0).cast("long"), lambda a, x: a + x)
+    now = now.select("band", "value", "fp", "size", "root").join(counts, F.col("fp") == F.col("f")).where(F.col("common") >= F.lit(least) * F.col("size"))
+    alike_there = left(now).join(now, ["band", "value"]).where(apart & enough(F.least("common", "kg_common")) & enough(fewer)).select("kg_fp", "fp")
+    rare = each.where((F.col("n") <= RARE) & (F.col("n") > 1)).select("fp", "size", "root", "shingle")
+    shared = left(rare).join(rare, "shingle").where(apart).groupBy("kg_fp", "fp", "kg_size", "size").agg(F.count("*").alias("c"))
+    common = counts.select("f", "common")
+    shared = shared.join(common, F.col("fp") == F.col("f"), "left").drop("f").join(common.withColumnRenamed("common", "kg_common"), F.col("kg_fp") == F.col("f"), "left")
+    shared = shared.where(enough(F.least(F.coalesce("common", F.lit(0)), F.coalesce("kg_common", F.lit(0))) + F.col("c"))).select("kg_fp", "fp")
+    rest = alike_there.unionByName(shared).withColumnsRenamed({"kg_fp": "u", "fp": "v"})
+    rest = staged(rest.select("u", "v").distinct(), "rest")
     return prints, _rooted(own, near.unionByName(confirmed(rest)))
 
 

@@ -146,12 +146,14 @@ def hash_of(text: str) -> int:
 def predict(df: DataFrame, model: LanguageModel | None, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """The columns `keep`, which can be all of a document's, then the language and its score under `names`."""
     letter = F.coalesce(named(text_col).rlike(r"\p{L}"), F.lit(False))
-    source = df.select(*(named(c).alias(f"kg_{k}") for k, c in enumerate(keep)), F.when(letter, named(text_col)).alias("kg_text"))
+    # The text goes to the workers once, also where it is kept.
+    text = f"kg_{keep.index(text_col)}" if text_col in keep else "kg_text"
+    source = df.select(*(named(c).alias(f"kg_{k}") for k, c in enumerate(keep)), letter.alias("kg_letter"), *(named(c).alias("kg_text") for c in [text_col] if c not in keep))
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in portions(batches, "kg_text", 500_000):
-            there = part.column("kg_text").is_valid().to_pylist()
+        for part, texts in portions(batches, text, 500_000):
+            there = part.column("kg_letter").to_pylist()
             said, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
             at = [i for i, x in enumerate(there) if x and model]
             if at:

@@ -50,7 +50,7 @@ class Mixture:
     bic: float
 
 
-def fit_mixture(df: DataFrame, ks: tuple[int, ...] = (3, 4, 5), features: tuple[str, ...] = FEATURES, rows: int = 1_000_000, ident: str = "ping_id", seed: int = 42, least: int = 200) -> Mixture:
+def fit_mixture(df: DataFrame, ks: tuple[int, ...] = (3, 4, 5), features: tuple[str, ...] = FEATURES, rows: int = 2_000_000, ident: str = "ping_id", seed: int = 42, least: int = 200) -> Mixture:
     """The mixture with the largest 2 logLik - p ln n among ks, components by mean speed. Fitted on at most about `rows` rows
     (a documented sample, by a hash of the id), in Spark's own estimator."""
     count = df.count()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from multiprocessing.pool import ThreadPool
 from dataclasses import dataclass, field
 
 from pyspark.ml.classification import LogisticRegression
@@ -41,14 +42,24 @@ def check_classes(df: DataFrame, label: str, positives: int, negatives: int) ->
 
 
 def fit_ridge(df: DataFrame, label: str = "is_dredging", fold: str = "fold", signals: tuple[str, ...] = SIGNALS, strengths: tuple[float, ...] = (0.1, 0.01, 0.001), positives: int = 100, negatives: int = 1000, least_train: int = 100, least_test: int = 10, ident: str = "ping_id") -> Ridge:
-    """Leaves out one fold after another. The strength is the one with the best area under the curve in an inner split (by
-    a hash of the id, within each label); the model kept is that of the fold whose area is nearest the mean. A fold that
+    """Leaves out one fold after another. The strength is the one with the best mean area under the curve over five inner
+    folds (by a hash of the id; those without both labels do not count); the model kept is that of the fold whose area is nearest the mean. A fold that
     can't be trained or tested has no area and does not count."""
     check_classes(df, label, positives, negatives)
     inner = F.pmod(F.xxhash64(ident, F.lit(42)), F.lit(5))
     data = VectorAssembler(inputCols=list(signals), outputCol="kg_x").transform(df).select("kg_x", F.col(label).cast("double").alias("kg_y"), F.col(fold).alias("kg_f"), inner.alias("kg_i")).persist()
     auc = BinaryClassificationEvaluator(rawPredictionCol="kg_r", labelCol="kg_y")
     fit = lambda d, s: LogisticRegression(featuresCol="kg_x", labelCol="kg_y", rawPredictionCol="kg_r", predictionCol="kg_p", probabilityCol="kg_q", regParam=s, elasticNetParam=0.0, standardization=True, maxIter=50).fit(d)
+
+    def best_strength(train: DataFrame) -> float:
+        held = {r[0]: (r[1], r[2]) for r in train.groupBy("kg_i").agg(F.count("*"), F.sum("kg_y")).collect()}
+        n, y = sum(v[0] for v in held.values()), sum(v[1] for v in held.values())
+        good = sorted(i for i, (m, o) in held.items() if 0 < o < m and 0 < y - o < n - m)
+        area = lambda k: auc.evaluate(fit(train.where(F.col("kg_i") != k[1]), k[0]).transform(train.where(F.col("kg_i") == k[1])))
+        with ThreadPool(5) as pool:  # fits are many small jobs, which Spark runs side by side
+            areas = pool.map(area, keys := [(s, i) for s in strengths for i in good])
+        return max(strengths, key=lambda s: (sum(a for a, k in zip(areas, keys, strict=True) if k[0] == s), s))
+
     sizes = {r[0]: r for r in data.groupBy("kg_f").agg(F.count("*"), F.sum("kg_y")).collect()}
     total, ones = sum(r[1] for r in sizes.values()), sum(r[2] for r in sizes.values())
     out, models = {}, {}
@@ -57,7 +68,7 @@ def fit_ridge(df: DataFrame, label: str = "is_dredging", fold: str = "fold", sig
             out[f] = None
             continue
         train = data.where(F.col("kg_f") != f)
-        best = max(strengths, key=lambda s: (auc.evaluate(fit(train.where("kg_i <> 0"), s).transform(train.where("kg_i = 0"))), s)) if len(strengths) > 1 else strengths[0]
+        best = best_strength(train) if len(strengths) > 1 else strengths[0]
         models[f] = fit(train, best)
         out[f] = auc.evaluate(models[f].transform(data.where(F.col("kg_f") == f)))
     data.unpersist()

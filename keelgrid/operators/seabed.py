@@ -1,24 +1,72 @@
-"""Nearest seabed sample of a ping."""
+"""Nearest seabed sample of a ping, and a box of samples around the pings."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keelgrid.functions.scalar import EQUATOR_M, haversine_m
 
+#: Width of a bin in degrees at first, samples of a bin on average, and bins that are sent to the executors at most.
+BIN_DEG, BIN_SAMPLES, MOST_BINS = 0.5, 256, 1_000_000
+
+
+def _occupied(samples: DataFrame, width: float) -> tuple[np.ndarray, float]:
+    """The bins that have samples, at most MOST_BINS; bins are halved while they hold many samples each and doubled while there are
+    too many of them."""
+    n = samples.count()
+    bins = lambda w: samples.select(_bin("lon", w).alias("i"), _bin("lat", w).alias("j")).distinct()
+    many = bins(width).count()
+    while many > MOST_BINS:
+        width *= 2
+        many = bins(width).count()
+    while n > BIN_SAMPLES * many and width > 1 / 64:
+        finer = bins(width / 2).count()
+        if finer > MOST_BINS or finer < 2 * many:
+            break
+        width, many = width / 2, finer
+    return bins(width).toPandas().to_numpy(np.int64).reshape(-1, 2), width
+
+
+def _bin(c: str, width: float) -> Column:
+    return F.floor(F.col(c) / F.lit(width)).cast("long")
+
+
+def nearest(pings: DataFrame, samples: DataFrame, width: float = BIN_DEG) -> DataFrame:
+    """Adds the nearest sample in degrees at whatever distance (ties: the smallest seabed_id), and dist_km on the sphere.
+
+    Exact: the pings' distinct bins are compared with the samples' occupied bins, whose number is bounded by the globe
+    and checked. A bin's pings can have their nearest sample only in bins no farther than the least distance within
+    which some bin surely has one. Pings then meet the samples of these bins in equi joins whose large partitions Spark
+    splits, and only partial minima are shuffled by ping. Pings without a place, and all where there are no samples, get
+    none."""
+    places = samples.where("lon is not null and lat is not null and not isnan(lon) and not isnan(lat)")
+    bins, w = _occupied(places, width)
+
+    def reach(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            i, j, of = [], [], []
+            for k, (a, b) in enumerate(zip(pdf["pi"].to_numpy(), pdf["pj"].to_numpy(), strict=True)):
+                apart = np.abs(bins - (a, b))
+                least, most = np.maximum(apart - 1, 0), apart + 1
+                # Squares in units of a bin: whole numbers, so the comparison is exact.
+                at = np.flatnonzero((least * least).sum(axis=1) <= (most * most).sum(axis=1).min())
+                i.append(bins[at, 0])
+                j.append(bins[at, 1])
+                of.append(np.full(len(at), k))
+            rows = np.concatenate(of) if of else np.zeros(0, int)
+            yield pd.DataFrame({"pi": pdf["pi"].to_numpy()[rows], "pj": pdf["pj"].to_numpy()[rows], "bi": np.concatenate(i) if i else [], "bj": np.concatenate(j) if j else []})
 
-def nearest(pings: DataFrame, samples: DataFrame, within_deg: float = 0.5) -> DataFrame:
-    """Adds the nearest sample in degrees (ties: the smallest seabed_id), if there is one within within_deg, and dist_km on
-    the sphere. Samples are laid into square bins of that size and meet the pings of their nine bins; only partial minima
-    are shuffled by ping, and a bin with many pings is split by Spark's skew handling."""
-    bin_ = lambda c: F.floor(F.col(c) / F.lit(within_deg)).cast("long")
-    around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
-    grid = samples.select("seabed_id", F.col("lon").alias("s_lon"), F.col("lat").alias("s_lat"), "lithology", "pl_base", bin_("lon").alias("bi"), bin_("lat").alias("bj"))
-    grid = grid.withColumn("k", around).select("seabed_id", "s_lon", "s_lat", "lithology", "pl_base", (F.col("bi") + F.col("k.i")).alias("bi"), (F.col("bj") + F.col("k.j")).alias("bj"))
-    cells = pings.select("ping_id", "lon", "lat", bin_("lon").alias("bi"), bin_("lat").alias("bj"))
+    cells = pings.where("lon is not null and lat is not null and not isnan(lon) and not isnan(lat)").select("ping_id", "lon", "lat", _bin("lon", w).alias("pi"), _bin("lat", w).alias("pj"))
+    grid = places.select("seabed_id", F.col("lon").alias("s_lon"), F.col("lat").alias("s_lat"), "lithology", "pl_base", _bin("lon", w).alias("bi"), _bin("lat", w).alias("bj"))
+    kind = "pi long, pj long, bi long, bj long"
+    near = cells.select("pi", "pj").distinct().mapInPandas(reach, kind) if len(bins) else pings.sparkSession.createDataFrame([], kind)
     d2 = (F.col("lon") - F.col("s_lon")) * (F.col("lon") - F.col("s_lon")) + (F.col("lat") - F.col("s_lat")) * (F.col("lat") - F.col("s_lat"))
-    met = cells.join(grid, ["bi", "bj"]).withColumn("d2", d2).where(F.col("d2") <= within_deg * within_deg)
+    met = near.join(grid, ["bi", "bj"]).drop("bi", "bj").join(cells, ["pi", "pj"]).withColumn("d2", d2)
     best = met.groupBy("ping_id").agg(F.min(F.struct("d2", "seabed_id", "s_lon", "s_lat", "lithology", "pl_base")).alias("b")).select("ping_id", "b.*")
     dist = haversine_m(F.col("lat"), F.col("lon"), F.col("s_lat"), F.col("s_lon"), EQUATOR_M) / 1000
     return pings.join(best, "ping_id", "left").withColumn("dist_km", dist).drop("d2", "s_lon", "s_lat")
@@ -40,4 +88,5 @@ def box(df: DataFrame, margin_deg: float = 0.05) -> tuple[float, float, float, f
 
 
 def inside(df: DataFrame, bounds: tuple[float, float, float, float]) -> DataFrame:
-    return df.where(F.col("lon").between(*bounds[:2]) & F.col("lat").between(*bounds[2:]))
+    """Half-open: a point on the upper or right edge belongs to the next box, so boxes that touch count it once."""
+    return df.where((F.col("lon") >= bounds[0]) & (F.col("lon") < bounds[1]) & (F.col("lat") >= bounds[2]) & (F.col("lat") < bounds[3]))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from keelgrid.functions.scalar import EQUATOR_M
 
-MIN_POINTS, SAMPLE = 4, 2000
+MIN_POINTS, SAMPLE = 4, 5000
 
 
 def dbscan(xy: np.ndarray, eps: float, min_points: int = MIN_POINTS) -> np.ndarray:

@@ -346,8 +346,9 @@ def dbscan_stops(spark, d):
 
 @query()
 def ridge_loyo(spark, d):
-    rows = _labelled(spark, d).withColumn("fold", F.col("ping_id") % 5 + 1).withColumn("p_dredge", F.col("p")[1]).withColumn("is_dredging", (F.col("behaviour") == "dredging").cast("int"))
-    m = score.fit_ridge(rows, strengths=(0.01,), positives=10, negatives=50)
+    """The driver's events are of one month: six days stand for a year, as times are SCALE times as far apart."""
+    rows = score.year_folds(_labelled(spark, d).withColumn("year", F.floor((F.dayofmonth("ts") - 1) / 6))).withColumn("p_dredge", F.col("p")[1]).withColumn("is_dredging", (F.col("behaviour") == "dredging").cast("int"))
+    m = score.fit_ridge(rows, positives=10, negatives=50)
     return spark.createDataFrame([(int(f), v, m.mean) for f, v in m.folds.items()], "fold int, auc double, mean_auc double")
 
 
@@ -368,8 +369,10 @@ def roc_youden(spark, d):
     return rounded(score.roc(rows, "s", "y"))
 
 
-_NEAR = f"""WITH {a.PINGS_SQL}, {a.SEABED_SQL}, m AS (SELECT ping_id, p.lon, p.lat, s.lon AS s_lon, s.lat AS s_lat, seabed_id, lithology, pl_base, (p.lon - s.lon) * (p.lon - s.lon) + (p.lat - s.lat) * (p.lat - s.lat) AS d2 FROM pings p JOIN seabed s ON abs(p.lon - s.lon) <= 0.5e0 AND abs(p.lat - s.lat) <= 0.5e0),
-b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ping_id ORDER BY d2, seabed_id) AS n FROM m WHERE d2 <= 0.25e0) WHERE n = 1),
+#: Every ping with every sample: no cut by distance.
+_NEAR = f"""WITH {a.PINGS_SQL}, {a.SEABED_SQL},
+m AS (SELECT ping_id, min({{'d2': (p.lon - s.lon) * (p.lon - s.lon) + (p.lat - s.lat) * (p.lat - s.lat), 'seabed_id': seabed_id}}) AS k FROM pings p, seabed s GROUP BY ping_id),
+b AS (SELECT ping_id, s.lon AS s_lon, s.lat AS s_lat, s.seabed_id, lithology, pl_base FROM m JOIN seabed s ON s.seabed_id = k.seabed_id),
 near AS (SELECT p.ping_id, p.lon, p.lat, p.ts, seabed_id, lithology, pl_base, CASE WHEN seabed_id IS NOT NULL THEN {_hav('p.lat', 'p.lon', 's_lat', 's_lon')} * 1852e0 / 6371000e0 * 6378137e0 / 1000 END AS dist_km FROM pings p LEFT JOIN b ON b.ping_id = p.ping_id)"""
 
 

@@ -226,3 +226,20 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and e.entry(spark).count() > 0
+
+
+def test_nearest_sample_at_any_distance_and_latitude(spark):
+    import random
+
+    rng = random.Random(4)
+    place = lambda: (rng.choice([rng.uniform(-180, 180), rng.uniform(178, 180), 10.0]), rng.choice([rng.uniform(-90, 90), rng.uniform(84, 90), 5.0]))
+    points = [(i, *place()) for i in range(300)] + [(300, 0.0, 85.0), (301, None, 1.0), (302, 10.0, 5.0)]
+    spots = [(i, *place(), "mud", 0.1) for i in range(90)] + [(90, 0.6, 85.0, "sand", 0.2), (91, 10.0, 5.0, "mud", 0.1), (92, 10.0, 5.0, "mud", 0.1)]
+    p, s = spark.createDataFrame(points, "ping_id long, lon double, lat double"), spark.createDataFrame(spots, "seabed_id long, lon double, lat double, lithology string, pl_base double")
+    for width in (0.5, 7.0):
+        got = {r.ping_id: r for r in seabed.nearest(p, s, width).collect()}
+        for i, lon, lat in points:
+            want = None if lon is None else min(((lon - x) * (lon - x) + (lat - y) * (lat - y), k) for k, x, y, _, _ in spots)[1]
+            assert got[i].seabed_id == want
+    assert got[300].seabed_id == 90 and 5 < got[300].dist_km < 6
+    assert all(r.seabed_id is None for r in seabed.nearest(p, s.limit(0)).collect()) and seabed.nearest(p.limit(0), s).collect() == []

@@ -31,6 +31,21 @@ def project_y(lat: Column) -> Column:
     return F.lit(SEMI_MAJOR / (2 * K0)) * q
 
 
+def longitude(x: Column) -> Column:
+    return F.degrees(x / F.lit(SEMI_MAJOR * K0))
+
+
+#: What is added to the authalic latitude b: multiples of sin 2b, sin 4b and sin 6b.
+AUTHALIC = (E2 / 3 + 31 * E2**2 / 180 + 517 * E2**3 / 5040, 23 * E2**2 / 360 + 251 * E2**3 / 3780, 761 * E2**3 / 45360)
+Q_POLE = (1 - E2) * (1 / (1 - E2) - 1 / (2 * ECC) * math.log((1 - ECC) / (1 + ECC)))
+
+
+def latitude(y: Column) -> Column:
+    """The inverse of project_y, to about 1e-9 degrees, by the series in the authalic latitude."""
+    b = F.asin(F.least(F.greatest(y * F.lit(2 * K0 / SEMI_MAJOR / Q_POLE), F.lit(-1.0)), F.lit(1.0)))
+    return F.degrees(b + F.lit(AUTHALIC[0]) * F.sin(2 * b) + F.lit(AUTHALIC[1]) * F.sin(4 * b) + F.lit(AUTHALIC[2]) * F.sin(6 * b))
+
+
 def column_of(x: Column) -> Column:
     return F.floor((x - F.lit(XMIN)) / F.lit(CELL)).cast("long")
 

@@ -36,6 +36,12 @@ def sanitise(x: Column) -> Column:
     return F.regexp_replace(x, "[^A-Za-z0-9_-]", "_")
 
 
+def tile_of(path: Column) -> Column:
+    """The number in a file name like .../tile_0042.parquet; null where there is none."""
+    digits = F.regexp_extract(path, r"tile_(\d+)\.[^/]*$", 1)
+    return F.when(digits != "", digits.cast("int"))
+
+
 def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = SPHERE_M) -> Column:
     half_lat, half_lon = F.radians(lat2 - lat1) / 2, F.radians(lon2 - lon1) / 2
     a = F.pow(F.sin(half_lat), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(half_lon), 2)

@@ -159,6 +159,11 @@ def smooth(labels: list[str], speeds: list[float], least: float, dredge_max: flo
     return [names[i] for i, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) for _ in range(b - a)]
 
 
+def least_length(df: DataFrame, share: float = 0.75) -> float:
+    """The run length from which runs stay: the quantile of the pings' n_min, which comes from their vessel's cadence."""
+    return df.agg(F.percentile("n_min", F.lit(share))).first()[0] or 3.0
+
+
 def smoothed(df: DataFrame, least: float, key: str = "seg_id", label: str = "behaviour") -> DataFrame:
     """Adds behaviour_smooth (`unknown` where no neighbour could be taken) and is_dredging. A segment is one vessel's day."""
     fields = df.schema.simpleString()[len("struct<") : -1]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keelgrid.functions import grid as g
@@ -25,6 +25,22 @@ def decoded(df: DataFrame) -> DataFrame:
     return out.withColumn("x", g.centre_x(F.col("col"))).withColumn("y", g.centre_y(F.col("row")))
 
 
+def located(cells: DataFrame) -> DataFrame:
+    """Adds lon and lat of the centres of grid_id."""
+    return decoded(cells).withColumn("lon", g.longitude(F.col("x"))).withColumn("lat", g.latitude(F.col("y"))).drop("x", "y")
+
+
+def binned(df: DataFrame, value: str, size_deg: float = 1.0) -> DataFrame:
+    """Sums of a value by bins of lon and lat, for maps: lon_bin and lat_bin (lower edges), cells, total, mean."""
+    edge = lambda c: (F.floor(F.col(c) / F.lit(size_deg)) * F.lit(size_deg)).cast("double").alias(f"{c}_bin")
+    return df.groupBy(edge("lon"), edge("lat")).agg(F.count("*").alias("cells"), F.sum(value).alias("total"), F.avg(value).alias("mean"))
+
+
+def completed(cells: DataFrame, every: DataFrame, columns: list[str]) -> DataFrame:
+    """Every grid_id of `every`, with the cells' columns, 0 where a cell has none. The world's grid is not made."""
+    return every.select("grid_id").distinct().join(cells.select("grid_id", *columns), "grid_id", "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in columns})
+
+
 def daily_segments(df: DataFrame, most_m: float | None = None) -> DataFrame:
     """From projected pings: the straight ways between one vessel's consecutive pings of a day, each with the width and depth of the
     day's first ping. Longer ways than most_m are left out."""
@@ -65,8 +81,9 @@ def lability(pings: DataFrame, most_km: float = 10.0) -> DataFrame:
     return by.withColumn("p_l", F.try_divide("pl_sum", "n_with_pl"))
 
 
-def duration_years(pings: DataFrame) -> DataFrame:
-    return pings.where("grid_id is not null").select("grid_id", F.year("ts").alias("year")).distinct().groupBy("grid_id").agg(F.count("*").alias("years_trawled"))
+def duration_years(pings: DataFrame, period: Column | None = None) -> DataFrame:
+    """In how many different years (or other periods) a cell has pings."""
+    return pings.where("grid_id is not null").select("grid_id", (F.year("ts") if period is None else period).alias("year")).distinct().groupBy("grid_id").agg(F.count("*").alias("years_trawled"))
 
 
 def merged(*parts: DataFrame) -> DataFrame:

@@ -89,6 +89,17 @@ def fallback_stats(cells: DataFrame) -> DataFrame:
     return cells.agg(F.count("*").alias("cells"), share(F.col("k_fallback")).alias("k_fallback"), share(F.col("svr") == 0).alias("svr_zero"), share(F.col("p_l_eff") == 0).alias("p_l_zero"), share(F.col("f_i_full").isNull()).alias("f_i_null"))
 
 
+#: The fast rate of each ocean basin, and that of any other.
+BASIN_RATES, OTHER_RATE = {"Arctic": 0.275, "Gulf": 16.8, "Indian": 4.76, "Mediterranean": 12.3, "Pacific": 1.67, "Atlantic": 1.0}, 1.0
+
+
+def basin_rate(basin: Column) -> Column:
+    out = F.lit(OTHER_RATE)
+    for name, rate in BASIN_RATES.items():
+        out = F.when(basin == name, F.lit(rate)).otherwise(out)
+    return out
+
+
 def sampled(cells: DataFrame, raster: DataFrame, columns: list[str]) -> DataFrame:
     """A raster's values (row, col) at the cells; 0 where it has none."""
     return cells.join(raster, ["row", "col"], "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in columns})

@@ -12,13 +12,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MOST_VERTICES = 5_000_000
+MOST_VERTICES, BIN = 5_000_000, 4.0
 
 
 def in_rectangles(points: DataFrame, rectangles: DataFrame, x: str = "lon", y: str = "lat") -> DataFrame:
-    """Left join of points with half-open rectangles (lon0, lon1, lat0, lat1), a range condition."""
-    r = rectangles
-    return points.join(F.broadcast(r), (F.col(x) >= r["lon0"]) & (F.col(x) < r["lon1"]) & (F.col(y) >= r["lat0"]) & (F.col(y) < r["lat1"]), "left").drop("lon0", "lon1", "lat0", "lat1")
+    """Left join of points with half-open rectangles (lon0, lon1, lat0, lat1) in degrees. Rectangles are laid into bins of
+    BIN degrees and meet the points of their bins in an equi join; how they are sent is Spark's choice by their size."""
+    bin_ = lambda c: F.floor(c / F.lit(BIN)).cast("long")
+    span = lambda a, b: F.explode(F.sequence(bin_(F.col(a)), F.greatest(bin_(F.col(a)), F.ceil(F.col(b) / F.lit(BIN)).cast("long") - 1)))
+    r = rectangles.withColumn("kg_bi", span("lon0", "lon1")).withColumn("kg_bj", span("lat0", "lat1"))
+    p = points.withColumn("kg_pi", bin_(F.col(x))).withColumn("kg_pj", bin_(F.col(y)))
+    inside = (F.col(x) >= F.col("lon0")) & (F.col(x) < F.col("lon1")) & (F.col(y) >= F.col("lat0")) & (F.col(y) < F.col("lat1"))
+    met = p.join(r, (F.col("kg_pi") == F.col("kg_bi")) & (F.col("kg_pj") == F.col("kg_bj")) & inside, "left")
+    return met.drop("lon0", "lon1", "lat0", "lat1", "kg_bi", "kg_bj", "kg_pi", "kg_pj")
 
 
 def even_odd(x: np.ndarray, y: np.ndarray, rings: list[np.ndarray]) -> np.ndarray:

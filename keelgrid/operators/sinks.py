@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import yaml
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -46,6 +46,44 @@ def resolve_latest(paths: list[str], stamps: list[float] | None = None) -> str:
     return max(zip(stamps, paths, strict=True))[1] if stamps else max(paths)
 
 
+def discover(paths: list[str], named: str | None = None, preferred: str = "") -> str:
+    """The input to read: the named file if it is there; else a CSV file, first one whose name ends as `preferred` says; else
+    a Parquet file."""
+    if named and named in paths:
+        return named
+    tables = sorted(p for p in paths if p.lower().endswith(".csv"))
+    best = [p for p in tables if preferred and p.lower().endswith(preferred.lower())]
+    found = best or tables or sorted(p for p in paths if p.lower().rstrip("/").endswith(".parquet"))
+    if not found:
+        raise ValueError("no input was found")
+    return found[0]
+
+
+def records(spark: SparkSession, text: str, schema: str, key: str | None = None) -> DataFrame:
+    """A table from a YAML list of records, or the list under `key`; fields that a record lacks are null."""
+    from pyspark.sql.types import _parse_datatype_string
+
+    kind = _parse_datatype_string(schema)
+    rows = load_yaml(text)
+    rows = (rows.get(key) if key else rows) or []
+    return spark.createDataFrame([tuple(r.get(f.name) for f in kind.fields) for r in rows], kind)
+
+
+def write_ships(df: DataFrame, path: str, name: str = "ship") -> DataFrame:
+    """One folder a ship, named by its rank in rows (most first, then by name) and its name made safe; returns what was
+    written: ship, folder, rows."""
+    ranked_ = df.groupBy(name).agg(F.count("*").alias("rows")).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("rows"), name)))
+    ranked_ = ranked_.withColumn("folder", F.concat(F.lit("ship_"), F.format_string("%02d", "rank"), F.lit("_"), F.regexp_replace(F.col(name), "[^A-Za-z0-9_-]", "_")))
+    write_by(df.join(ranked_.select(name, "folder"), name), path, "folder", [name])
+    return ranked_.select(name, "folder", "rows")
+
+
+def write_qa(df: DataFrame, path: str, ident: str = "ping_id") -> None:
+    """The rows' id, time, posterior columns p1, p2, ... as there are, smoothed behaviour, score and flag."""
+    wanted = [c for c in df.columns if c[:1] == "p" and c[1:].isdigit()]
+    df.select(F.col(ident).alias("id"), "ts", *wanted, "behaviour_smooth", "drag_score", "drag_flag").write.mode("overwrite").option("compression", "zstd").parquet(path)
+
+
 class _Strict(yaml.SafeLoader):
     """A loader that takes a repeated key for an error."""
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keelgrid.functions import grid as g
-from keelgrid.functions.scalar import sanitise
+from keelgrid.functions.scalar import sanitise, tile_of
 from keelgrid.operators import behaviour, coverage, fleet, grid, iforest, impact, kinematics, provinces, quality, score, seabed, stops
 from keelgrid.sources import adapters as a
 
@@ -309,9 +309,16 @@ def runs_gaps_islands(spark, d):
     return rounded(behaviour.runs(_labelled(spark, d)))
 
 
+@query(_CAD + " SELECT quantile_cont(n_min, 0.75) AS least_length FROM kin LEFT JOIN cad USING (ssvid)")
+def least_run_length(spark, d):
+    rows = _kin(spark, d)
+    return rows.join(quality.cadence(rows, scale=SCALE).select("ssvid", "n_min"), "ssvid", "left").agg(F.percentile("n_min", F.lit(0.75)).alias("least_length"))
+
+
 @query()
 def smoothed_labels(spark, d):
-    return behaviour.smoothed(_labelled(spark, d).select("ping_id", "seg_id", "ts", "speed", "behaviour"), 3.0)
+    least = behaviour.least_length(quality.cadence_filtered(_kin(spark, d), scale=SCALE))
+    return behaviour.smoothed(_labelled(spark, d).select("ping_id", "seg_id", "ts", "speed", "behaviour"), least)
 
 
 @query(f"WITH {a.SHIP_DAYS_SQL} SELECT DISTINCT year(day) AS year, dense_rank() OVER (ORDER BY year(day)) AS fold FROM ship_days")
@@ -395,6 +402,20 @@ def lithology_counts(spark, d):
     return seabed.split(_near(spark, d))[0].groupBy("lithology").agg(F.count("*").alias("n"))
 
 
+@query(_NEAR + " SELECT p.ping_id, p.ssvid, n.lithology, n.pl_base FROM pings p LEFT JOIN (SELECT * FROM near WHERE dist_km <= 10) n ON n.ping_id = p.ping_id")
+def pings_with_lithology(spark, d):
+    kept = seabed.split(_near(spark, d))[0].select("ping_id", "lithology", "pl_base")
+    return a.pings(spark, d).select("ping_id", "ssvid").join(kept, "ping_id", "left")
+
+
+@query(f"SELECT n_nationkey, CASE n_nationkey % 8 WHEN 0 THEN 0.275e0 WHEN 1 THEN 16.8e0 WHEN 2 THEN 4.76e0 WHEN 3 THEN 12.3e0 WHEN 4 THEN 1.67e0 ELSE 1e0 END AS k_fast, CASE WHEN n_nationkey % 2 = 0 THEN CAST(n_nationkey AS INT) END AS tile FROM nation")
+def basin_rates(spark, d):
+    k = F.col("n_nationkey")
+    basin = F.element_at(F.array(*map(F.lit, ("Arctic", "Gulf", "Indian", "Mediterranean", "Pacific", "Atlantic", "Southern", "Baltic"))), (k % 8 + 1).cast("int"))
+    path = F.when(k % 2 == 0, F.concat(F.lit("out/tile_"), F.lpad(k.cast("string"), 4, "0"), F.lit(".parquet"))).otherwise("out/tile_x.parquet")
+    return a.table(spark, d, "nation").select("n_nationkey", impact.basin_rate(basin).alias("k_fast"), tile_of(path).alias("tile"))
+
+
 _PROJ_X = f"({g.SEMI_MAJOR * g.K0!r}e0 * radians(lon))"
 _SIN = "sin(radians(lat))"
 _PROJ_Y = f"({g.SEMI_MAJOR / (2 * g.K0)!r}e0 * {1 - g.E2!r}e0 * ({_SIN} / (1 - {g.E2!r}e0 * {_SIN} * {_SIN}) - {1 / (2 * g.ECC)!r}e0 * ln((1 - {g.ECC!r}e0 * {_SIN}) / (1 + {g.ECC!r}e0 * {_SIN}))))"
@@ -471,22 +492,34 @@ def province_join(spark, d):
     return provinces.in_rectangles(a.pings(spark, d), a.provinces(spark, d)).select("ping_id", "province")
 
 
-#: A cell's province stand-in: its column's share of the world, in 25 strips; the last two have no rate.
-_CELLS = _SAR + f""", pre AS (SELECT *, ((grid_id - 1) % {g.COLS}) // 1390 AS strip, ((grid_id % 100) + 1) / 213e0 AS p_l FROM sar),
-ce AS (SELECT p.*, CASE WHEN strip < 23 THEN 0.25e0 + strip % 7 END AS k_fast, CASE strip % 3 WHEN 0 THEN 1.5e0 WHEN 1 THEN 0.5e0 ELSE 1e0 END AS fresh_fact FROM pre p)"""
+_LON = f"degrees((({g.XMIN!r}e0) + ((grid_id - 1) % {g.COLS} + 0.5e0) * 1000e0) / {g.SEMI_MAJOR * g.K0!r}e0)"
+_BETA = f"asin((({g.YMIN!r}e0) + ((grid_id - 1) // {g.COLS} + 0.5e0) * 1000e0) * {2 * g.K0 / g.SEMI_MAJOR / g.Q_POLE!r})"
+_CENTRES = f"""ctr AS (SELECT *, {_LON} AS lon, degrees(beta + {g.AUTHALIC[0]!r} * sin(2 * beta) + {g.AUTHALIC[1]!r} * sin(4 * beta) + {g.AUTHALIC[2]!r} * sin(6 * beta)) AS lat FROM (SELECT *, {_BETA} AS beta FROM sar))"""
+#: Swept cells with their pings' lability, their periods with pings (two days stand for a year) and their province's rates.
+_CELLS = _SAR + ", " + _NEAR[_NEAR.index("m AS (SELECT ping_id") :] + f""", {_CENTRES},
+usable AS (SELECT s.grid_id, avg(n.pl_base * 0.65e0) FILTER (WHERE n.dist_km IS NULL OR n.dist_km <= 10) AS p_l FROM snap s JOIN near n ON n.ping_id = s.ping_id WHERE s.grid_id IS NOT NULL GROUP BY 1),
+dur AS (SELECT grid_id, count(DISTINCT dayofyear(ts) // 2) AS years_trawled FROM snap WHERE grid_id IS NOT NULL GROUP BY 1),
+ce AS (SELECT c.*, p_l, years_trawled, province, k_fast, fresh_fact FROM ctr c LEFT JOIN usable u ON u.grid_id = c.grid_id LEFT JOIN dur y ON y.grid_id = c.grid_id LEFT JOIN provinces r ON c.lon >= r.lon0 AND c.lon < r.lon1 AND c.lat >= r.lat0 AND c.lat < r.lat1)"""
 
 
 def _cells(spark, d):
-    strip = F.floor(F.pmod(F.col("grid_id") - 1, F.lit(g.COLS)) / 1390)
-    rows = _swept(spark, d).withColumn("strip", strip).withColumn("p_l", (F.col("grid_id") % 100 + 1) / F.lit(213.0))
-    return rows.withColumn("k_fast", F.when(F.col("strip") < 23, 0.25 + F.col("strip") % 7)).withColumn("fresh_fact", F.when(F.col("strip") % 3 == 0, 1.5).when(F.col("strip") % 3 == 1, 0.5).otherwise(1.0))
+    """The chain up to the index: swept area, joined with lability, history and the centre's province."""
+    lability = grid.lability(_ping_pl(spark, d)).select("grid_id", "p_l")
+    history = grid.duration_years(_snapped(spark, d), F.floor(F.dayofyear("ts") / 2))
+    cells = grid.located(_swept(spark, d).join(lability, "grid_id", "left").join(history, "grid_id", "left"))
+    return provinces.in_rectangles(cells, a.provinces(spark, d))
+
+
+@query(_CELLS + " SELECT grid_id, round(lon, 6) AS lon, round(lat, 6) AS lat, province, round(p_l, 6) AS p_l, years_trawled, k_fast FROM ce")
+def cell_facts(spark, d):
+    return rounded(_cells(spark, d).select("grid_id", "lon", "lat", "province", "p_l", "years_trawled", "k_fast"))
 
 
 def _fi_sql(name: str) -> str:
     s = impact.resolve(name)
-    f = lambda k, slow, pl: f"least(greatest(svr * {pl} * {s.preservation_factor}e0 * ({s.fast_fraction}e0 * (1 - exp(-k_used * {k}e0)) + {1 - s.fast_fraction}e0 * (1 - exp({-slow}e0))), 0), 1)"
+    f = lambda k, slow, pl: f"CASE WHEN p_l_corr IS NOT NULL AND svr IS NOT NULL THEN least(greatest(svr * {pl} * {s.preservation_factor}e0 * ({s.fast_fraction}e0 * (1 - exp(-k_used * {k}e0)) + {1 - s.fast_fraction}e0 * (1 - exp({-slow}e0))), 0), 1) END"
     return _CELLS + f""", e1 AS (SELECT *, CASE WHEN p_d > 0 THEN (least(p_d, 0.05e0) * p_l + greatest(p_d - 0.05e0, 0) * {s.alpha_dep}e0 * p_l) / p_d END AS p_l_eff, k_fast IS NULL AS k_fallback, coalesce(k_fast, 1.67e0) AS k_used FROM ce),
-e2 AS (SELECT *, least(greatest(p_l_eff * fresh_fact, 0), 1) AS p_l_corr FROM e1),
+e2 AS (SELECT *, CASE WHEN p_l_eff IS NOT NULL THEN least(greatest(p_l_eff * coalesce(fresh_fact, 1), 0), 1) END AS p_l_corr FROM e1),
 fi AS (SELECT *, {f(s.k_fast_multiplier, s.slow_k, 'p_l_corr')} AS f_i_full, {f(s.k_fast_multiplier / 2, s.slow_k / 2, '(p_l_corr / 2)')} AS f_i_conservative FROM e2)"""
 
 
@@ -494,11 +527,11 @@ def _fi(spark, d, name):
     return impact.indexed(_cells(spark, d), impact.resolve(name), 1.67)
 
 
-_FI_OUT = " SELECT grid_id, round(p_l_eff, 6) AS p_l_eff, round(p_l_corr, 6) AS p_l_corr, k_used, round(f_i_full, 6) AS f_i_full, round(f_i_conservative, 6) AS f_i_conservative FROM fi"
+_FI_OUT = " SELECT grid_id, round(p_l_eff + 2e-9, 6) AS p_l_eff, round(p_l_corr + 2e-9, 6) AS p_l_corr, k_used, round(f_i_full + 2e-9, 6) AS f_i_full, round(f_i_conservative + 2e-9, 6) AS f_i_conservative FROM fi"
 
 
 def _fi_out(df):
-    return rounded(df.select("grid_id", "p_l_eff", "p_l_corr", "k_used", "f_i_full", "f_i_conservative"))
+    return rounded(df.select("grid_id", "p_l_eff", "p_l_corr", "k_used", "f_i_full", "f_i_conservative"), 6, 2e-9)
 
 
 @query(_fi_sql("default") + _FI_OUT)
@@ -516,7 +549,7 @@ def fi_upper_bound(spark, d):
     return _fi_out(_fi(spark, d, "upper_bound"))
 
 
-@query(_CELLS + " SELECT grid_id, round(least(svr * p_l * 0.87e0 * (0.3e0 * (1 - exp(-4.76e0)) + 0.7e0 * (1 - exp(-0.05e0))), 1), 6) AS f_i, round(least(svr * p_l * 0.87e0 * (0.3e0 * (1 - exp(-0.952e0)) + 0.7e0 * (1 - exp(-0.05e0))), 1), 6) AS f_i_reduced FROM ce")
+@query(_CELLS + " SELECT grid_id, CASE WHEN p_l IS NOT NULL AND svr IS NOT NULL THEN round(least(svr * p_l * 0.87e0 * (0.3e0 * (1 - exp(-4.76e0)) + 0.7e0 * (1 - exp(-0.05e0))), 1), 6) END AS f_i, CASE WHEN p_l IS NOT NULL AND svr IS NOT NULL THEN round(least(svr * p_l * 0.87e0 * (0.3e0 * (1 - exp(-0.952e0)) + 0.7e0 * (1 - exp(-0.05e0))), 1), 6) END AS f_i_reduced FROM ce")
 def fi_reduced(spark, d):
     return rounded(impact.reduced(_cells(spark, d)).select("grid_id", "f_i", "f_i_reduced"))
 
@@ -526,17 +559,28 @@ def fallback_stats(spark, d):
     return rounded(impact.fallback_stats(_fi(spark, d, "default")))
 
 
+@query(_fi_sql("default") + ", every AS (SELECT grid_id FROM sar UNION SELECT grid_id FROM snap WHERE grid_id IS NOT NULL) SELECT e.grid_id, round(coalesce(f_i_full, 0), 6) AS f_i_full, round(coalesce(svr, 0), 6) AS svr FROM every e LEFT JOIN fi ON fi.grid_id = e.grid_id")
+def cells_completed(spark, d):
+    every = _swept(spark, d).select("grid_id").union(_snapped(spark, d).where("grid_id is not null").select("grid_id"))
+    return rounded(grid.completed(_fi(spark, d, "default"), every, ["f_i_full", "svr"]))
+
+
+@query(_fi_sql("default") + " SELECT floor(lon / 5e0) * 5e0 AS lon_bin, floor(lat / 5e0) * 5e0 AS lat_bin, count(*) AS cells, round(sum(f_i_full), 5) AS total, round(avg(f_i_full), 5) AS mean FROM fi GROUP BY ALL")
+def map_bins(spark, d):
+    return rounded(grid.binned(_fi(spark, d, "default"), "f_i_full", 5.0), 5)
+
+
 _CARBON = f""", de AS (SELECT *, (grid_id - 1) % {g.COLS} AS col, (grid_id - 1) // {g.COLS} AS row FROM fi),
 ra AS (SELECT p_partkey % {g.ROWS} AS row, max(p_retailprice) AS c0 FROM part GROUP BY 1),
-sa AS (SELECT d.*, coalesce(c0, 0) AS c0, coalesce(c0, 0) * 0.8e0 AS c0_lower, coalesce(c0, 0) * 1.2e0 AS c0_upper, CASE WHEN grid_id % 17 > 10 THEN 0.272e0 ELSE 1e0 END AS di FROM de d LEFT JOIN ra ON ra.row = d.row)"""
+sa AS (SELECT d.*, coalesce(c0, 0) AS c0, coalesce(c0, 0) * 0.8e0 AS c0_lower, coalesce(c0, 0) * 1.2e0 AS c0_upper, CASE WHEN years_trawled > 1 THEN 0.272e0 ELSE 1e0 END AS di FROM de d LEFT JOIN ra ON ra.row = d.row)"""
 
 
 def _stock(spark, d):
-    cells = grid.decoded(_fi(spark, d, "default"))
+    cells = _fi(spark, d, "default")
     raster = a.table(spark, d, "part").groupBy((F.col("p_partkey") % g.ROWS).alias("row")).agg(F.max("p_retailprice").alias("c0"))
     rows = cells.select("row", "col").distinct().join(raster, "row")
     out = impact.sampled(cells, rows, ["c0"])
-    return out.withColumns({"c0_lower": F.col("c0") * 0.8, "c0_upper": F.col("c0") * 1.2, "di": impact.depletion(F.col("grid_id") % 17)})
+    return out.withColumns({"c0_lower": F.col("c0") * 0.8, "c0_upper": F.col("c0") * 1.2, "di": impact.depletion(F.col("years_trawled"), after=1)})
 
 
 @query(_fi_sql("default") + _CARBON + " SELECT grid_id, round(c0, 4) AS c0 FROM sa")

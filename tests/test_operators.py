@@ -243,3 +243,41 @@ def test_nearest_sample_at_any_distance_and_latitude(spark):
             assert got[i].seabed_id == want
     assert got[300].seabed_id == 90 and 5 < got[300].dist_km < 6
     assert all(r.seabed_id is None for r in seabed.nearest(p, s.limit(0)).collect()) and seabed.nearest(p.limit(0), s).collect() == []
+
+
+def test_projection_and_its_inverse(spark):
+    from keelgrid.functions import grid as gf
+
+    df = spark.createDataFrame([(float(x), float(y)) for x in (-180, -77.7, 0, 13, 179.9) for y in (-89.9, -60, -1e-3, 0, 33.3, 71, 89)], "lon double, lat double")
+    for r in df.withColumn("a", gf.longitude(gf.project_x(F.col("lon")))).withColumn("b", gf.latitude(gf.project_y(F.col("lat")))).collect():
+        assert abs(r.a - r.lon) < 1e-9 and abs(r.b - r.lat) < 1e-6
+
+
+def test_rectangles_in_bins(spark):
+    import random
+
+    rng = random.Random(8)
+    boxes = [("all", -180.0, 180.0, -90.0, 90.0), ("one", 3.5, 3.75, 1.0, 1.5), ("edge", 4.0, 8.0, 0.0, 4.0), ("none", 2.0, 2.0, 0.0, 1.0)]
+    points = [(i, rng.choice([4.0, 8.0, 3.6, rng.uniform(-180, 180)]), rng.choice([0.0, 4.0, 1.2, rng.uniform(-90, 90)])) for i in range(200)] + [(200, None, 1.0), (201, 200.0, 0.0)]
+    p, r = spark.createDataFrame(points, "id long, lon double, lat double"), spark.createDataFrame(boxes, "province string, lon0 double, lon1 double, lat0 double, lat1 double")
+    got = sorted((x.id, x.province or "") for x in provinces.in_rectangles(p, r).collect())
+    want = [(i, n) for i, x, y in points for n in ([b[0] for b in boxes if x is not None and b[1] <= x < b[2] and b[3] <= y < b[4]] or [""])]
+    assert got == sorted(want)
+
+
+def test_inputs_records_and_written_ships(spark, tmp_path):
+    assert sinks.discover(["b.csv", "a.csv", "z_main.csv"], preferred="_main.csv") == "z_main.csv" and sinks.discover(["b.csv", "a.csv"]) == "a.csv"
+    assert sinks.discover(["x.parquet", "y.parquet"], named="y.parquet") == "y.parquet" and sinks.discover(["x.parquet"], named="gone") == "x.parquet"
+    with pytest.raises(ValueError):
+        sinks.discover(["a.txt"])
+    text = "ships:\n- {name: A b, width: 2.5}\n- {name: C}\n"
+    assert [tuple(r) for r in sinks.records(spark, text, "name string, width double, pipes int", "ships").collect()] == [("A b", 2.5, None), ("C", None, None)]
+    assert sinks.records(spark, "", "name string").collect() == []
+    df = spark.createDataFrame([("A/b c", 1), ("D", 2), ("D", 3)], "ship string, n int")
+    assert sorted(tuple(r) for r in sinks.write_ships(df, f"{tmp_path}/s").collect()) == [("A/b c", "ship_02_A_b_c", 1), ("D", "ship_01_D", 2)]
+    assert spark.read.parquet(f"{tmp_path}/s/folder=ship_01_D").count() == 2
+    qa = spark.createDataFrame([(1, "t", 0.1, 0.9, "x", "dredging", 0.5, 1)], "ping_id long, ts string, p1 double, p2 double, pier string, behaviour_smooth string, drag_score double, drag_flag int")
+    sinks.write_qa(qa, f"{tmp_path}/q")
+    assert spark.read.parquet(f"{tmp_path}/q").columns == ["id", "ts", "p1", "p2", "behaviour_smooth", "drag_score", "drag_flag"]
+    df.limit(0).write.parquet(f"{tmp_path}/e")
+    assert spark.read.parquet(f"{tmp_path}/e").schema == df.schema and spark.read.parquet(f"{tmp_path}/e").count() == 0

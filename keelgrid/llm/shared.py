@@ -121,6 +121,11 @@ def portions(batches: Iterator[pa.RecordBatch], column: str, chars: int = 2_000_
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def constants(values: list, kind: str) -> Column:
+    """The numbers as one array literal: Spark folds it once, where an array of a thousand literals slows its planner."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
+
+
 def block_of(column: str, width: int = BLOCK) -> Column:
     """The integer divided by width, rounded down."""
     return F.expr(f"(`{column}` - pmod(`{column}`, {width})) div {width}").cast("long")
@@ -139,9 +144,11 @@ def with_blocks(df: DataFrame, id_col: str, tie: Column, out: str, width: int =
     ids = df.where(id_.isNotNull()).select(id_.alias("id"))
     cuts = ids.agg(F.percentile_approx("id", [k / COARSE for k in range(1, COARSE)], 10 * COARSE)).first()[0] or [0] * (COARSE - 1)
 
+    borders = constants(cuts, "bigint")
+
     def coarse(value: Column) -> Column:
         """How many cuts are not above the value, by halving."""
-        return F.aggregate(F.lit(steps), F.lit(0), lambda at, s: F.when(F.get(F.lit(cuts), at + s - 1) <= value, at + s).otherwise(at))
+        return F.aggregate(F.lit(steps), F.lit(0), lambda at, s: F.when(F.get(borders, at + s - 1) <= value, at + s).otherwise(at))
 
     base, low, factor, most = ([0] * COARSE, [0] * COARSE, [0.0] * COARSE, [0] * COARSE)
     blocks = 0
@@ -149,9 +156,9 @@ def with_blocks(df: DataFrame, id_col: str, tie: Column, out: str, width: int =
         parts = -(-n // width)
         base[k], low[k], factor[k], most[k] = blocks, least, parts / (largest - least + 1), parts - 1
         blocks += parts
-    of = lambda values, k: F.get(F.lit(values), k)
-    beyond = lambda k: (id_.cast("decimal(20,0)") - of(low, k).cast("decimal(20,0)")).cast("double")
-    number = let(coarse(id_), lambda k: of(base, k) + F.least(F.floor(beyond(k) * of(factor, k)), of(most, k)))
+    base_, low_, factor_, most_ = constants(base, "bigint"), constants(low, "bigint"), constants(factor, "double"), constants(most, "bigint")
+    beyond = lambda k: (id_.cast("decimal(20,0)") - F.get(low_, k).cast("decimal(20,0)")).cast("double")
+    number = let(coarse(id_), lambda k: F.get(base_, k) + F.least(F.floor(beyond(k) * F.get(factor_, k)), F.get(most_, k)))
     # Never null, and known to be: a join on it then asks no filter of one side, and both sides can share an exchange.
     return df.withColumn(out, F.coalesce(F.when(id_.isNull(), tie - 4096).otherwise(number), F.lit(0)).cast("long"))
 

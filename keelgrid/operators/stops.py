@@ -12,42 +12,74 @@ from keelgrid.functions.scalar import EQUATOR_M
 MIN_POINTS, SAMPLE = 4, 5000
 
 
+def meet(a: np.ndarray, b: np.ndarray, eps: float) -> bool:
+    """Whether a point of a is within eps of a point of b. Boxes around halves of both decide for most pairs."""
+    work = [(a, b)]
+    while work:
+        a, b = work.pop()
+        low_a, high_a, low_b, high_b = a.min(axis=0), a.max(axis=0), b.min(axis=0), b.max(axis=0)
+        if (np.maximum(0, np.maximum(low_a - high_b, low_b - high_a)) ** 2).sum() > eps * eps:
+            continue
+        if (np.maximum(high_a - low_b, high_b - low_a) ** 2).sum() <= eps * eps:
+            return True
+        if len(a) * len(b) <= 4096:
+            if (((a[:, None] - b) ** 2).sum(axis=2) <= eps * eps).any():
+                return True
+            continue
+        if len(a) < len(b):
+            a, b = b, a
+        axis, half = int(np.argmax(np.ptp(a, axis=0))), len(a) // 2
+        order = np.argpartition(a[:, axis], half)
+        work += [(a[order[:half]], b), (a[order[half:]], b)]
+    return False
+
+
 def dbscan(xy: np.ndarray, eps: float, min_points: int = MIN_POINTS) -> np.ndarray:
-    """Cluster numbers from 1 in the order of the points, 0 for noise. Neighbours come from a grid of eps-wide cells."""
+    """Cluster numbers from 1 in the order of their first core points, 0 for noise; a border point goes to the cluster of
+    the least number. All points of a grid cell are within eps of each other, so the points of a full cell are core without
+    a look at pairs, and cells, not points, are joined: a crowded place costs no more than its number of points."""
     n = len(xy)
-    cell = np.floor(xy / eps).astype(np.int64)
+    label, core = np.zeros(n, np.int64), np.zeros(n, bool)
+    if not n:
+        return label
+    cell = np.floor(xy / (eps / np.sqrt(2) * (1 - 1e-9))).astype(np.int64)
     order = np.lexsort((cell[:, 1], cell[:, 0]))
-    groups: dict[tuple[int, int], np.ndarray] = {}
     cuts = np.flatnonzero((np.diff(cell[order], axis=0) != 0).any(axis=1)) + 1
-    for part in np.split(order, cuts):
-        groups[tuple(cell[part[0]])] = part
-
-    def near(i: int) -> np.ndarray:
-        a, b = cell[i]
-        found = np.concatenate([groups[k] for k in ((a + p, b + q) for p in (-1, 0, 1) for q in (-1, 0, 1)) if k in groups])
-        return found[((xy[found] - xy[i]) ** 2).sum(axis=1) <= eps * eps]
-
-    label, number = np.zeros(n, np.int64), 0
-    done = np.zeros(n, bool)
-    for i in range(n):
-        if done[i]:
+    groups = {tuple(cell[part[0]].tolist()): part for part in np.split(order, cuts)}
+    beside = [(p, q) for p in range(-2, 3) for q in range(-2, 3) if (p, q) != (0, 0)]
+    around = lambda k, of: [of[c] for p, q in beside if (c := (k[0] + p, k[1] + q)) in of]
+    near = lambda i, part: ((xy[part] - xy[i]) ** 2).sum(axis=1) <= eps * eps
+    for k, part in groups.items():
+        if len(part) >= min_points:
+            core[part] = True
             continue
-        done[i] = True
-        around = near(i)
-        if len(around) < min_points:
-            continue
-        number += 1
-        label[i] = number
-        work = list(around)
-        while work:
-            j = work.pop()
-            if label[j] == 0:
-                label[j] = number
-            if done[j]:
-                continue
-            done[j] = True
-            if len(more := near(j)) >= min_points:
-                work.extend(more[label[more] == 0])
+        others = around(k, groups)
+        for i in part.tolist():
+            core[i] = len(part) + sum(int(near(i, other).sum()) for other in others) >= min_points
+    cores = {k: own for k, part in groups.items() if len(own := part[core[part]])}
+    parent = {k: k for k in cores}
+
+    def root(k: tuple[int, int]) -> tuple[int, int]:
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    for k, own in cores.items():
+        for p, q in beside:
+            c = (k[0] + p, k[1] + q)
+            if c > k and c in cores and root(k) != root(c) and meet(xy[own], xy[cores[c]], eps):
+                parent[root(c)] = root(k)
+    first: dict[tuple[int, int], int] = {}
+    for k, own in cores.items():
+        first[root(k)] = min(first.get(root(k), n), int(own.min()))
+    number = {k: at + 1 for at, k in enumerate(sorted(first, key=first.__getitem__))}
+    for k, own in cores.items():
+        label[own] = number[root(k)]
+    for i in np.flatnonzero(~core).tolist():
+        k = tuple(cell[i].tolist())
+        reached = [label[own[0]] for own in [*around(k, cores), *([cores[k]] if k in cores else [])] if near(i, own).any()]
+        label[i] = min(reached, default=0)
     return label
 
 
@@ -69,7 +101,7 @@ def auto_eps(lon: np.ndarray, lat: np.ndarray, k: int = MIN_POINTS, sample: int
 def spatial_stops(df: DataFrame, key: str = "ssvid", min_points: int = MIN_POINTS) -> DataFrame:
     """Adds stop_cluster (null for pings that are no stops, 0 for noise) and is_stop_spatial. A vessel-year with too few or
     coinciding stops has no clusters; where none is found the radius is tried once half as wide again. One vessel-year's
-    stops are one task's group: a few hundred thousand points."""
+    stops are one task's group."""
     stops = df.where(F.col("is_stop") & F.col("lon").isNotNull() & F.col("lat").isNotNull()).select(key, F.year("ts").alias("year"), "ping_id", "lon", "lat")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -231,8 +231,9 @@ def speed_spikes(spark, d):
     return quality.speed_spikes(_kin(spark, d), 1.5).select("ping_id", "speed_spike")
 
 
-_CAD = _KIN + """, q AS (SELECT ssvid, least(quantile_cont(dt_s, 0.5), 60000e0) AS p50_s, quantile_cont(dt_s, 0.95) AS p95_s, count(*) AS n_obs, avg(CASE WHEN dt_s >= 30000 THEN 1e0 ELSE 0e0 END) AS long_share FROM kin WHERE dt_s IS NOT NULL GROUP BY 1),
+_RHYTHM = """, q AS (SELECT ssvid, least(quantile_cont(dt_s, 0.5), 60000e0) AS p50_s, quantile_cont(dt_s, 0.95) AS p95_s, count(*) AS n_obs, avg(CASE WHEN dt_s >= 30000 THEN 1e0 ELSE 0e0 END) AS long_share FROM kin WHERE dt_s IS NOT NULL GROUP BY 1),
 cad AS (SELECT *, CASE WHEN long_share > 0.5 THEN least(120000e0, 5 * p50_s) ELSE least(90000e0, greatest(18000e0, 3 * p50_s)) END AS threshold_s, least(8e0, greatest(3e0, ceil(3000e0 / p50_s))) AS n_min FROM q)"""
+_CAD = _KIN + _RHYTHM
 
 
 @query(_CAD + " SELECT ssvid, round(p50_s + 1e-5, 3) AS p50_s, round(p95_s + 1e-5, 3) AS p95_s, n_obs, round(long_share + 1e-5, 3) AS long_share, round(threshold_s + 1e-5, 3) AS threshold_s, n_min FROM cad")
@@ -302,8 +303,11 @@ def gmm_posterior_fixed(spark, d):
     return rounded(_labelled(spark, d).select("ping_id", *(F.col("p")[i].alias(f"p{i + 1}") for i in range(5)), "behaviour"))
 
 
-@query(_POST + """, st AS (SELECT *, CASE WHEN behaviour IS DISTINCT FROM lag(behaviour) OVER w OR row_number() OVER w = 1 THEN 1 ELSE 0 END AS s FROM lab WINDOW w AS (PARTITION BY ssvid ORDER BY ts, ping_id)),
-nu AS (SELECT *, sum(s) OVER (PARTITION BY ssvid ORDER BY ts, ping_id) AS run FROM st)
+_NUMBERED = _POST + """, st AS (SELECT *, CASE WHEN behaviour IS DISTINCT FROM lag(behaviour) OVER w OR row_number() OVER w = 1 THEN 1 ELSE 0 END AS s FROM lab WINDOW w AS (PARTITION BY ssvid ORDER BY ts, ping_id)),
+nu AS (SELECT *, sum(s) OVER (PARTITION BY ssvid ORDER BY ts, ping_id) AS run FROM st)"""
+
+
+@query(_NUMBERED + """
 SELECT CAST(ssvid AS VARCHAR) AS seg_id, CAST(run AS BIGINT) AS run, any_value(behaviour) AS label, count(*) AS length, round(avg(speed), 6) AS mean_speed, arg_min(ping_id, ts) AS first_ping, arg_max(ping_id, ts) AS last_ping FROM nu GROUP BY ssvid, run""")
 def runs_gaps_islands(spark, d):
     return rounded(behaviour.runs(_labelled(spark, d)))
@@ -315,10 +319,19 @@ def least_run_length(spark, d):
     return rows.join(quality.cadence(rows, scale=SCALE).select("ssvid", "n_min"), "ssvid", "left").agg(F.percentile("n_min", F.lit(0.75)).alias("least_length"))
 
 
-@query()
+def _cost(a: str, b: str) -> str:
+    return f"CASE WHEN {a} = {b} THEN 0 WHEN 'dredging' IN ({a}, {b}) THEN {behaviour.DREDGE_COST} WHEN 'stops' IN ({a}, {b}) THEN {behaviour.STOP_COST} ELSE {behaviour.OTHER_COST} END"
+
+
+@query(_NUMBERED.replace("WITH ", "WITH RECURSIVE ", 1) + _RHYTHM + f""", lim AS (SELECT quantile_cont(n_min, 0.75) AS least FROM kin LEFT JOIN cad USING (ssvid) WHERE dt_s IS NULL OR (dt_s > 0 AND dt_s < threshold_s)),
+ru AS (SELECT ssvid, run, any_value(behaviour) AS label, count(*) AS length, avg(speed) AS v FROM nu GROUP BY 1, 2),
+nx AS (SELECT *, lead(label) OVER (PARTITION BY ssvid ORDER BY run) AS nxt, length >= least OR NOT v <= 3.5e0 AS stays FROM ru, lim),
+sm AS (SELECT ssvid, run, CASE WHEN stays THEN label ELSE nxt END AS name FROM nx WHERE run = 1 UNION ALL
+ SELECT n.ssvid, n.run, CASE WHEN stays THEN n.label WHEN s.name IS NOT NULL AND (n.nxt IS NULL OR {_cost('s.name', 'n.label')} < {_cost('n.nxt', 'n.label')}) THEN s.name ELSE n.nxt END FROM sm s JOIN nx n ON n.ssvid = s.ssvid AND n.run = s.run + 1)
+SELECT ping_id, CAST(ssvid AS VARCHAR) AS seg_id, behaviour, coalesce(name, 'unknown') AS behaviour_smooth, CAST(name IS NOT DISTINCT FROM 'dredging' AS INTEGER) AS is_dredging FROM nu JOIN sm USING (ssvid, run)""")
 def smoothed_labels(spark, d):
     least = behaviour.least_length(quality.cadence_filtered(_kin(spark, d), scale=SCALE))
-    return behaviour.smoothed(_labelled(spark, d).select("ping_id", "seg_id", "ts", "speed", "behaviour"), least)
+    return behaviour.smoothed(_labelled(spark, d).select("ping_id", "seg_id", "ts", "speed", "behaviour"), least).drop("ts", "speed")
 
 
 @query(f"WITH {a.SHIP_DAYS_SQL} SELECT DISTINCT year(day) AS year, dense_rank() OVER (ORDER BY year(day)) AS fold FROM ship_days")
@@ -345,7 +358,26 @@ def isolation_forest(spark, d):
     return iforest.outliers(_kin(spark, d)).select("ping_id", "ssvid", "is_outlier")
 
 
-@query()
+#: Radius by the vessel-year's own distances, pairs within it, core points, their components, border points.
+_DENSITY = _KIN.replace("WITH ", "WITH RECURSIVE ", 1) + f""", pt AS (SELECT *, coalesce(speed < 1 OR dt_s > 30000, false) AS is_stop, year(ts) AS yr FROM kin),
+st AS (SELECT ssvid, yr, ping_id, lon, lat FROM pt WHERE is_stop AND lon IS NOT NULL AND lat IS NOT NULL),
+fit AS (SELECT ssvid, yr, count(*) AS n FROM st GROUP BY 1, 2 HAVING count(*) >= {stops.MIN_POINTS} AND var_samp(lon) >= 1e-8 AND var_samp(lat) >= 1e-8),
+pr AS (SELECT a.ssvid, a.yr, n, a.ping_id AS i, b.ping_id AS j, pow(a.lon - b.lon, 2) + pow(a.lat - b.lat, 2) AS sq,
+ pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2) AS h FROM st a JOIN fit USING (ssvid, yr) JOIN st b USING (ssvid, yr)),
+kth AS (SELECT ssvid, yr, i, list_sort(list({2 * stops.EQUATOR_M}e0 * asin(sqrt(least(h, 1e0)))))[least({stops.MIN_POINTS}, any_value(n) - 1) + 1] AS d FROM pr GROUP BY 1, 2, 3),
+ep AS (SELECT ssvid, yr, greatest(200e0, 0.01e0 * median(d)) / 111000e0 AS eps FROM kth GROUP BY 1, 2),
+dn AS (SELECT ssvid, yr, i, eps, count(*) FILTER (WHERE sq <= eps * eps) AS n1 FROM pr JOIN ep USING (ssvid, yr) GROUP BY 1, 2, 3, 4),
+ef AS (SELECT ssvid, yr, CASE WHEN max(n1) >= {stops.MIN_POINTS} THEN 1e0 ELSE 1.5e0 END * any_value(eps) AS e FROM dn GROUP BY 1, 2),
+ln AS (SELECT ssvid, yr, i, j FROM pr JOIN ef USING (ssvid, yr) WHERE sq <= e * e),
+co AS (SELECT ssvid, yr, i FROM ln GROUP BY 1, 2, 3 HAVING count(*) >= {stops.MIN_POINTS}),
+rc AS (SELECT ssvid, yr, i AS r, i AS k FROM co UNION SELECT rc.ssvid, rc.yr, r, j FROM rc JOIN ln ON ln.i = rc.k JOIN co ON co.i = ln.j),
+ow AS (SELECT ssvid, yr, k, min(r) AS r FROM rc GROUP BY 1, 2, 3),
+cl AS (SELECT k, dense_rank() OVER (PARTITION BY ssvid, yr ORDER BY r) AS c FROM ow),
+lb AS (SELECT i, min(c) AS c FROM ln JOIN cl ON cl.k = ln.j WHERE i = j OR i NOT IN (SELECT i FROM co) GROUP BY 1),
+res AS (SELECT ping_id, ssvid, is_stop, CASE WHEN st.ping_id IS NOT NULL THEN coalesce(c, 0) END AS stop_cluster FROM pt LEFT JOIN (SELECT ping_id FROM st) st USING (ping_id) LEFT JOIN lb ON lb.i = pt.ping_id)"""
+
+
+@query(_DENSITY + " SELECT *, coalesce(stop_cluster > 0, false) AS is_stop_spatial FROM res")
 def dbscan_stops(spark, d):
     rows = _kin(spark, d).withColumn("is_stop", kinematics.stop_flag(F.col("speed"), F.col("dt_s"), 1.0, 300.0 * SCALE))
     return stops.spatial_stops(rows).select("ping_id", "ssvid", "is_stop", "stop_cluster", "is_stop_spatial")

@@ -120,6 +120,30 @@ def test_dbscan_against_a_plain_version():
         assert (label[i] == 0) == (not core[i] and not (near[i] & core).any())
 
 
+def test_dbscan_numbers_clusters_in_order_and_gives_border_points_to_the_first():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 5, 60, 150):
+        xy = np.round(rng.random((n, 2)), 1 if n == 60 else 9)
+        near = ((xy[:, None] - xy) ** 2).sum(axis=2) <= 0.1**2
+        core, want, number = near.sum(axis=1) >= 4, np.zeros(n, int), 0
+        for i in np.flatnonzero(core):
+            if not want[i]:
+                number += 1
+                work = [i]
+                while work:
+                    want[j := work.pop()] = number
+                    work += [k for k in np.flatnonzero(near[j] & core) if not want[k]]
+        for i in np.flatnonzero(~core):
+            want[i] = min(want[near[i] & core], default=0)
+        assert stops.dbscan(xy, 0.1).tolist() == want.tolist()
+
+
+def test_dbscan_of_a_crowded_place():
+    xy = np.concatenate([np.zeros((60_000, 2)), np.full((60_000, 2), 1.0), [[0.5, 0.5]]])
+    label = stops.dbscan(xy, 0.1)
+    assert (label[:60_000] == 1).all() and (label[60_000:-1] == 2).all() and label[-1] == 0
+
+
 def test_isolation_finds_the_outliers():
     rng = np.random.default_rng(2)
     x = np.concatenate([rng.normal(0, 1, (500, 4)), [[9, 9, 9, 9], [-8, 8, -8, 8]]])

@@ -1,4 +1,4 @@
-"""The ten operators as queries over the whole tables, with production parameters, and SQL where SQL can say the same."""
+"""The operators as queries over the whole tables, with production parameters, and SQL where SQL can say the same."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelgrid.llm import decontam, langid, linededup, packing, quality, simhash, tokenstore, urlfilter, warc, winnow
+from keelgrid.llm import decontam, langid, linededup, packing, quality, secrets, simhash, tokenstore, urlfilter, warc, winnow
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,9 +56,13 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.TokenStore.write(_table(spark, sf_dir, "documents")).documents(with_ids=False)
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_packing, op2_line_dedup, op3_quality, op4_winnowing, op5_url_filter, op6_simhash, op7_warc, op8_decontamination, op9_language_id, op10_token_store)
+    for f in (op1_packing, op2_line_dedup, op3_quality, op4_winnowing, op5_url_filter, op6_simhash, op7_warc, op8_decontamination, op9_language_id, op10_token_store, op11_secrets)
 }
 
 #: Operators that SQL cannot say are tested against plain versions in tests/llm instead.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelgrid.llm import decontam, langid, linededup, packing, quality, secrets, simhash, tokenstore, urlfilter, warc, winnow
+from keelgrid.llm import decontam, langid, linededup, packing, phrases, quality, secrets, simhash, tokenstore, urlfilter, warc, winnow
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,9 +60,13 @@ def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine_phrases(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_packing, op2_line_dedup, op3_quality, op4_winnowing, op5_url_filter, op6_simhash, op7_warc, op8_decontamination, op9_language_id, op10_token_store, op11_secrets)
+    for f in (op1_packing, op2_line_dedup, op3_quality, op4_winnowing, op5_url_filter, op6_simhash, op7_warc, op8_decontamination, op9_language_id, op10_token_store, op11_secrets, op12_phrases)
 }
 
 #: Operators that SQL cannot say are tested against plain versions in tests/llm instead.
@@ -100,4 +104,20 @@ items AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS
 SELECT dw.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
 FROM dw LEFT JOIN hits ON hits.doc_id = dw.doc_id LEFT JOIN items ON items.doc_id = dw.doc_id""",
+    "op12_phrases": r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM d),
+totals AS (SELECT lang, sum(len(ws)) AS n FROM w GROUP BY lang),
+places AS (SELECT lang, ws, s, unnest(range(1, len(ws) - s + 2)) AS i FROM w, (VALUES (1), (2), (3)) AS t(s) WHERE len(ws) >= s),
+f AS (SELECT lang, s AS words, array_to_string(ws[i : i + s - 1], ' ') AS phrase, count(*) AS n FROM places GROUP BY ALL),
+c AS (SELECT lang, words, phrase, string_split(phrase, ' ') AS ws, n AS a FROM f WHERE words > 1 AND n >= 10),
+k AS (SELECT *, unnest(range(1, words)) AS k FROM c),
+cuts AS (SELECT k.*, p.n AS l, q.n AS r, (CAST(1000000 AS HUGEINT) * a * a) // (CAST(p.n AS HUGEINT) * q.n) AS score
+         FROM k JOIN f p ON p.lang = k.lang AND p.phrase = array_to_string(k.ws[1 : k], ' ') JOIN f q ON q.lang = k.lang AND q.phrase = array_to_string(k.ws[k + 1 :], ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+parts AS (SELECT lang, array_to_string(ws[i : i + 1], ' ') AS phrase, a FROM (SELECT lang, ws, a, unnest([1, 2]) AS i FROM c WHERE words = 3)),
+longer AS (SELECT lang, phrase, max(a) AS a FROM parts GROUP BY ALL),
+kept AS (SELECT b.* FROM best b LEFT JOIN longer g ON g.lang = b.lang AND g.phrase = b.phrase WHERE g.a IS NULL OR 100 * g.a < 50 * b.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT r.lang, r.rank, r.phrase, r.a, r.l, r.r, CAST(t.n AS BIGINT) AS n, CAST(r.score AS BIGINT) AS score FROM ranked r JOIN totals t ON t.lang = r.lang WHERE r.rank <= 2000""",
 }

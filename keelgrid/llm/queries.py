@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelgrid.llm import decontam, langid, linededup, packing, phrases, quality, secrets, simhash, tokenstore, urlfilter, warc, winnow
+from keelgrid.llm import decontam, langid, linededup, negatives, packing, phrases, quality, secrets, simhash, tokenstore, urlfilter, warc, winnow
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,9 +64,15 @@ def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mine_phrases(_table(spark, sf_dir, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label")))
+    return negatives.hard_negatives(rows, lambda i: i % negatives.EVERY == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_packing, op2_line_dedup, op3_quality, op4_winnowing, op5_url_filter, op6_simhash, op7_warc, op8_decontamination, op9_language_id, op10_token_store, op11_secrets, op12_phrases)
+    for f in (op1_packing, op2_line_dedup, op3_quality, op4_winnowing, op5_url_filter, op6_simhash, op7_warc, op8_decontamination, op9_language_id, op10_token_store, op11_secrets, op12_phrases, op13_hard_negatives)
 }
 
 #: Operators that SQL cannot say are tested against plain versions in tests/llm instead.
@@ -120,4 +126,14 @@ longer AS (SELECT lang, phrase, max(a) AS a FROM parts GROUP BY ALL),
 kept AS (SELECT b.* FROM best b LEFT JOIN longer g ON g.lang = b.lang AND g.phrase = b.phrase WHERE g.a IS NULL OR 100 * g.a < 50 * b.a),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
 SELECT r.lang, r.rank, r.phrase, r.a, r.l, r.r, CAST(t.n AS BIGINT) AS n, CAST(r.score AS BIGINT) AS score FROM ranked r JOIN totals t ON t.lang = r.lang WHERE r.rank <= 2000""",
+    "op13_hard_negatives": """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label, embedding FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+r AS (SELECT vec_id, label, [floor(256 * CAST(x AS DOUBLE)) for x in embedding] AS v FROM e QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY label, embedding) = 1),
+s AS (SELECT a.vec_id AS anchor_id, r.vec_id AS id, r.label = a.label AS same, CAST(list_inner_product(a.v, r.v) AS BIGINT) AS score
+      FROM r a JOIN r ON r.vec_id <> a.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id) AS rank, id AS negative_id, positive_score, score AS negative_score
+      FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3""",
 }

@@ -39,7 +39,7 @@ from keelgrid.llm.shared import named, staged
 
 DEPTH, MIN_WIDTH, MAX_WIDTH, BLOCK = 2, 1 << 16, 1 << 26, 4096
 LEAST, MAX_WORDS, SHARE, KEEP = 10, 3, 50, 2000
-WINDOW, LONG, SALTS = 1 << 22, 1024, 64
+WINDOW, LONG, SALTS, HELD = 1 << 20, 1024, 64, 400_000
 
 _KIND = np.zeros(256, np.uint8)
 _KIND[[0x20, 0x09]] = 1
@@ -274,10 +274,14 @@ def phrase_counts(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("words", T.IntegerType()), T.StructField("phrase", T.StringType()), T.StructField("n", T.LongType())])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Counts()
         for batch in batches:
             langs = batch.column(0).to_pylist()
             for words in windows(batch.column(1), _seeds(batch.column(0)), max_words - 1, 2):
-                yield from _exact(words, langs, shared.value, max_words)
+                held.add(words, langs, shared.value, max_words)
+                if len(held.at) > HELD:
+                    yield held.out()
+        yield held.out()
 
     counts = source.mapInArrow(counted, schema).groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
     counts = staged(counts.where((F.col("words") == 0) | (F.col("n") >= least)), "phrases")
@@ -285,24 +289,44 @@ def phrase_counts(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
     return counts
 
 
-def _exact(words: Words, langs: list[str], filters: list[Filter], max_words: int) -> Iterator[pa.RecordBatch]:
-    """Counts of the window's phrases that can be frequent. Equal keys of 128 bits are equal phrases."""
-    docs, n = np.unique(words.doc[words.new], return_counts=True)
-    rows = [([langs[d] for d in docs], [0] * len(docs), [b""] * len(docs), n)]
-    second, raw = None, words.part.tobytes()
-    for size, keys, there in _phrases(words, filters, max_words):
-        second = words.keys(1, size, second)
-        at = np.flatnonzero(there & words.new)
-        if not len(at):
-            continue
-        at = at[np.argsort(keys[at], kind="stable")]
-        a, b = keys[at], second[at]
-        heads = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-        ends = at[heads]
-        found = [b" ".join(raw[i:j].lower().split()) for i, j in zip(words.start[ends - size + 1].tolist(), words.end[ends].tolist(), strict=True)]
-        rows.append(([langs[d] for d in words.doc[ends]], [size] * len(found), found, np.diff(np.append(heads, len(at)))))
-    for lang, size, phrase, count in rows:
-        yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(size, pa.int32()), pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(count, pa.int64())], names=["lang", "words", "phrase", "n"])
+class Counts:
+    """Counts of phrases that can be frequent, by keys of 128 bits: equal keys are equal phrases."""
+
+    def __init__(self):
+        self.at: dict[bytes, int] = {}
+        self.rows: tuple[list[str], list[int], list[bytes], list[int]] = [], [], [], []
+
+    def add(self, words: Words, langs: list[str], filters: list[Filter], max_words: int) -> None:
+        docs, n = np.unique(words.doc[words.new], return_counts=True)
+        totals: dict[str, int] = {}
+        for d, k in zip(docs.tolist(), n.tolist(), strict=True):
+            totals[langs[d]] = totals.get(langs[d], 0) + k
+        for lang, k in totals.items():
+            self._count(bytes(17) + lang.encode(), k, lambda lang=lang: (lang, 0, b""))
+        second, raw = None, words.part.tobytes()
+        for size, keys, there in _phrases(words, filters, max_words):
+            second = words.keys(1, size, second)
+            at = np.flatnonzero(there & words.new)
+            at = at[np.argsort(keys[at], kind="stable")]
+            a, b = keys[at], second[at]
+            heads = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(at) else at
+            both = np.column_stack([a[heads], b[heads]]).tobytes()
+            for k, (place, count) in enumerate(zip(at[heads].tolist(), np.diff(np.append(heads, len(at))).tolist(), strict=True)):
+                self._count(both[16 * k : 16 * k + 16], count, lambda e=place, size=size: (langs[words.doc[e]], size, b" ".join(raw[words.start[e - size + 1] : words.end[e]].lower().split())))
+
+    def _count(self, key: bytes, count: int, row) -> None:
+        k = self.at.setdefault(key, len(self.at))
+        if k < len(self.rows[3]):
+            self.rows[3][k] += count
+        else:
+            for column, value in zip(self.rows, (*row(), count), strict=True):
+                column.append(value)
+
+    def out(self) -> pa.RecordBatch:
+        """The counts so far, which are then forgotten."""
+        lang, size, phrase, n = self.rows
+        self.__init__()
+        return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(size, pa.int32()), pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], names=["lang", "words", "phrase", "n"])
 
 
 def _whole(x: Column) -> Column:

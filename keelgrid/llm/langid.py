@@ -3,12 +3,12 @@
 Counts of hashed 1- to 3-grams of the whole lower-cased text, times the inverse document frequency, scaled to length 1,
 are the inputs. Document frequencies are counted over all learning rows. The weights are fitted by follow-the-regularised-
 leader (FTRL-proximal) with L1 and L2 penalties on a bounded sample of the learning rows (SAMPLE_ROWS, SAMPLE_CHARS, as
-many of each language where there are enough); a fifth of it fits the temperature by which the scores are calibrated,
+many of each language where there are enough; rows of one id and text count once); a fifth of it fits the temperature by which the scores are calibrated,
 each row weighted back to its language's share of the learning rows.
 
 A null text, or one without a letter, is `und` with score 0. Rows with a null label are not learned from. Without any
-learning row every text is `und`; with one language all are of it. A null id hashes as the empty text. Repeated rows get
-equal results. Other columns are ignored. An empty table gives no rows. The model (two tables of BUCKETS rows) goes to
+learning row every text is `und`; with one language all are of it. A null id hashes as the empty text in the fold, and rows
+without ids, or of one id, are drawn by their texts. Repeated rows get equal results. Other columns are ignored. An empty table gives no rows. The model (two tables of BUCKETS rows) goes to
 the executors with the function; texts are read where they lie and nothing but frequencies is shuffled.
 """
 
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keelgrid.llm.features import gram_counts
-from keelgrid.llm.sampling import chosen, share_of, shares
+from keelgrid.llm.sampling import chosen, key_of, shares
 from keelgrid.llm.shared import fold, named, portions
 
 BUCKETS, SAMPLE_ROWS, SAMPLE_CHARS = 1 << 13, 6000, 20_000_000
@@ -105,13 +105,17 @@ def document_frequencies(df: DataFrame, text_col: str, buckets: int = BUCKETS) -
 def fit(learn: DataFrame, text_col: str, label_col: str, id_col: str, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, buckets: int = BUCKETS, epochs: int = 3) -> LanguageModel | None:
     """The model from rows with a label and a text; None where there are none."""
     learn = learn.where(named(label_col).isNotNull() & named(text_col).isNotNull()).select(named(id_col).alias("kg_id"), named(text_col).alias("kg_text"), named(label_col).alias("kg_label"))
-    id_col, text_col, label_col = "kg_id", "kg_text", "kg_label"
-    by = shares(learn, label_col, F.length(text_col), rows, chars)
+    learn = learn.withColumn("kg_key", key_of(F.col("kg_id").cast("string"), F.col("kg_text")))
+    text_col, label_col = "kg_text", "kg_label"
+    by = shares(learn, label_col, F.col("kg_key"), F.length(text_col), rows, chars)
     if not by:
         return None
     frequency, count = document_frequencies(learn, text_col, buckets)
-    sample = learn.where(chosen(id_col, share_of(label_col, by))).select(text_col, label_col).toArrow()
-    texts, names = sample.column(text_col).to_pylist(), sample.column(label_col).to_pylist()
+    drawn = learn.where(chosen(F.col("kg_key"), label_col, by)).select(text_col, label_col, "kg_key").dropDuplicates([label_col, "kg_key"]).toArrow()
+    texts, names = drawn.column(text_col).to_pylist(), drawn.column(label_col).to_pylist()
+    for label in by.keys() - set(names):  # a label of which chance drew nothing: its first keys
+        few = learn.where(F.col(label_col) == F.lit(label)).select(text_col, "kg_key").dropDuplicates(["kg_key"]).orderBy("kg_key").limit(max(1, rows // len(by) // 10)).collect()
+        texts, names, by[label] = [*texts, *(r[0] for r in few)], [*names, *[label] * len(few)], min(1.0, 2 * by[label])
     labels = sorted(by)
     model = LanguageModel(labels, np.log((1 + count) / (1 + frequency)).astype(np.float32), np.zeros((buckets, len(labels)), np.float32), np.zeros(len(labels), np.float32))
     order = sorted(range(len(texts)), key=lambda i: (hash_of(texts[i]), names[i]))

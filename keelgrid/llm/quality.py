@@ -8,7 +8,7 @@ SAMPLE_CHARS), the same number of each label where there are enough, each row we
 
 Null and empty texts get the score of an empty text. Rows without a label, or with one other than 0 and 1, are not
 learned from; with no labelled row every score is 0.5. Null metadata count as 0. A null id hashes as the empty text and
-has no label. Repeated rows get equal scores; a document with several label rows is learned from once for each. Other
+has no label. Repeated rows get equal scores and are learned from once; a document of both labels is learned from with each. Other
 columns are ignored. An empty table gives no rows. Only the sample is joined (its ids, SAMPLE_ROWS at most, are
 broadcast); scoring reads each text where it lies.
 """
@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from keelgrid.llm.features import STATISTICS, joined, structure, word_counts
 from keelgrid.llm.langid import hash_of
-from keelgrid.llm.sampling import chosen, share_of, shares
+from keelgrid.llm.sampling import chosen, key_of, shares
 from keelgrid.llm.shared import fold, named, portions
 
 BUCKETS, FACTORS, SAMPLE_ROWS, SAMPLE_CHARS, CHARS_A_ROW = 1 << 12, 8, 6000, 20_000_000, 4000
@@ -99,19 +99,21 @@ def fit_machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, buckets: int,
 
 
 def learn(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, metadata: tuple[str, ...] = (), rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, buckets: int = BUCKETS) -> FactorisationMachine | None:
-    """The machine from df's rows that `labels` marks 0 or 1; None without any. The sample holds about as many rows as
-    `rows` and as `chars` allows at CHARS_A_ROW; only the part of its texts that exceeds `chars` twice is left out."""
+    """The machine from df's rows that `labels` marks 0 or 1; None without any. The sample holds about as many ids as
+    `rows` and as `chars` allows at CHARS_A_ROW; where their texts are more than twice `rows` or `chars`, fewer texts, by their hash."""
     marked = labels.where(named(label_col).isin(0, 1) & named(id_col).isNotNull()).select(named(id_col).alias("kg_id"), named(label_col).cast("int").alias("kg_label"))
-    by = shares(marked, "kg_label", F.lit(CHARS_A_ROW), rows, chars)
+    drawn = key_of(F.col("kg_id").cast("string"))
+    by = shares(marked, "kg_label", drawn, F.lit(CHARS_A_ROW), rows, chars)
     if not by:
         return None
-    sample = marked.where(chosen("kg_id", share_of("kg_label", by))).limit(2 * rows)
+    sample = marked.where(chosen(drawn, "kg_label", by)).distinct()
     joined_ = df.select(named(id_col).alias("kg_own"), named(text_col).alias("kg_text"), *(_metadata(c).alias(f"kg_m{k}") for k, c in enumerate(metadata))).join(F.broadcast(sample), F.col("kg_own") == F.col("kg_id"))
-    size = F.length(F.coalesce("kg_text", F.lit("")))
-    total = joined_.agg(F.sum(size)).first()[0] or 0
-    if total > 2 * chars:  # far longer texts than planned for: fewer of them, by the same hash
-        joined_ = joined_.where(chosen("kg_id", share_of("kg_label", {k: v * chars / total for k, v in by.items()})))
-    table = joined_.select("kg_text", "kg_label", *(f"kg_m{k}" for k in range(len(metadata)))).toArrow()
+    joined_ = joined_.withColumn("kg_key", key_of(F.col("kg_own").cast("string"), F.col("kg_text"), salt="text"))
+    keys, size = joined_.agg(F.approx_count_distinct("kg_key", 0.02), F.avg(F.length(F.coalesce("kg_text", F.lit(""))))).first()
+    # Far longer texts, or far more of an id, than planned for: fewer of them.
+    less = min(1.0, *(most / now for most, now in ((rows, keys), (chars, keys * (size or 0))) if now > 2 * most), 1.0)
+    columns = ["kg_text", "kg_label", *(f"kg_m{k}" for k in range(len(metadata)))]
+    table = joined_.where(chosen(F.col("kg_key"), "kg_label", dict.fromkeys(by, less))).dropDuplicates(["kg_key", "kg_label"]).select(*columns).toArrow()
     if not table.num_rows:
         return None
     texts, y = [t or "" for t in table.column(0).to_pylist()], np.array(table.column(1).to_pylist(), float)

@@ -39,7 +39,7 @@ from keelgrid.llm.shared import named, staged
 
 DEPTH, MIN_WIDTH, MAX_WIDTH, BLOCK = 2, 1 << 16, 1 << 26, 4096
 LEAST, MAX_WORDS, SHARE, KEEP = 10, 3, 50, 2000
-WINDOW, LONG, SALTS, HELD = 1 << 20, 1024, 64, 400_000
+WINDOW, LONG, SALTS, HELD, MERGE = 1 << 20, 1024, 64, 2_000_000, 100_000
 
 _KIND = np.zeros(256, np.uint8)
 _KIND[[0x20, 0x09]] = 1
@@ -213,7 +213,7 @@ def _source(df: DataFrame, text_col: str, lang_col: str) -> DataFrame:
 
 
 def _few(df: DataFrame) -> DataFrame:
-    """Twice as many tasks as the cluster runs at once at most: each has a sketch of its own."""
+    """Twice as many tasks as the cluster runs at once at most: each has a sketch, or counts, of its own."""
     return df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
 
 
@@ -279,54 +279,82 @@ def phrase_counts(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
             langs = batch.column(0).to_pylist()
             for words in windows(batch.column(1), _seeds(batch.column(0)), max_words - 1, 2):
                 held.add(words, langs, shared.value, max_words)
-                if len(held.at) > HELD:
-                    yield held.out()
-        yield held.out()
+                if len(held) > HELD:
+                    yield from held.out()
+        yield from held.out()
 
-    counts = source.mapInArrow(counted, schema).groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
+    counts = _few(source).mapInArrow(counted, schema).groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
     counts = staged(counts.where((F.col("words") == 0) | (F.col("n") >= least)), "phrases")
     shared.unpersist()
     return counts
 
 
 class Counts:
-    """Counts of phrases that can be frequent, by keys of 128 bits: equal keys are equal phrases."""
+    """Counts of phrases that can be frequent, by keys of 128 bits: equal keys are equal phrases.
+
+    What was counted lies in arrays in the order of the keys; new phrases wait, and are sorted in when they are many."""
 
     def __init__(self):
-        self.at: dict[bytes, int] = {}
-        self.rows: tuple[list[str], list[int], list[bytes], list[int]] = [], [], [], []
+        self.langs: list[str] = []
+        self.totals: dict[str, int] = {}
+        self.columns = [np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)]
+        self.phrases = pa.array([], pa.large_binary())
+        self.new: list[tuple] = []
+        self.waiting = 0
+
+    def __len__(self) -> int:
+        return len(self.phrases) + self.waiting
 
     def add(self, words: Words, langs: list[str], filters: list[Filter], max_words: int) -> None:
+        code = {x: k for k, x in enumerate(self.langs)}
         docs, n = np.unique(words.doc[words.new], return_counts=True)
-        totals: dict[str, int] = {}
         for d, k in zip(docs.tolist(), n.tolist(), strict=True):
-            totals[langs[d]] = totals.get(langs[d], 0) + k
-        for lang, k in totals.items():
-            self._count(bytes(17) + lang.encode(), k, lambda lang=lang: (lang, 0, b""))
+            self.totals[langs[d]] = self.totals.get(langs[d], 0) + k
         second, raw = None, words.part.tobytes()
         for size, keys, there in _phrases(words, filters, max_words):
             second = words.keys(1, size, second)
             at = np.flatnonzero(there & words.new)
+            if not len(at):
+                continue
             at = at[np.argsort(keys[at], kind="stable")]
             a, b = keys[at], second[at]
-            heads = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(at) else at
-            both = np.column_stack([a[heads], b[heads]]).tobytes()
-            for k, (place, count) in enumerate(zip(at[heads].tolist(), np.diff(np.append(heads, len(at))).tolist(), strict=True)):
-                self._count(both[16 * k : 16 * k + 16], count, lambda e=place, size=size: (langs[words.doc[e]], size, b" ".join(raw[words.start[e - size + 1] : words.end[e]].lower().split())))
-
-    def _count(self, key: bytes, count: int, row) -> None:
-        k = self.at.setdefault(key, len(self.at))
-        if k < len(self.rows[3]):
-            self.rows[3][k] += count
-        else:
-            for column, value in zip(self.rows, (*row(), count), strict=True):
-                column.append(value)
-
-    def out(self) -> pa.RecordBatch:
+            heads = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+            a, b, counts, ends = a[heads], b[heads], np.diff(np.append(heads, len(at))), at[heads]
+            place = np.minimum(np.searchsorted(self.columns[0], a), max(0, len(self.columns[0]) - 1))
+            known = (self.columns[0][place] == a) & (self.columns[1][place] == b) if len(self.phrases) else np.zeros(len(a), bool)
+            np.add.at(self.columns[2], place[known], counts[known])
+            ends = ends[~known]
+            found = [b" ".join(raw[i:j].lower().split()) for i, j in zip(words.start[ends - size + 1].tolist(), words.end[ends].tolist(), strict=True)]
+            of = np.array([code.setdefault(langs[d], len(code)) for d in words.doc[ends].tolist()], np.int32)
+            self.new.append((a[~known], b[~known], counts[~known], of, np.full(len(ends), size, np.int32), pa.array(found, pa.large_binary())))
+            self.waiting += len(ends)
+        self.langs = list(code)
+        if self.waiting > max(MERGE, len(self.phrases) // 2):
+            self.merge()
+
+    def merge(self) -> None:
+        parts = list(zip(*self.new, strict=True))
+        if not parts:
+            return
+        columns = [np.concatenate([own, *more]) for own, more in zip(self.columns, parts[:5], strict=True)]
+        order = np.lexsort((columns[1], columns[0]))
+        a, b = columns[0][order], columns[1][order]
+        heads = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+        first = order[heads]
+        self.columns = [c[first] for c in columns]
+        self.columns[2] = np.add.reduceat(columns[2][order], heads)
+        self.phrases = pa.concat_arrays([self.phrases, *parts[5]]).take(pa.array(first))
+        self.new, self.waiting = [], 0
+
+    def out(self) -> Iterator[pa.RecordBatch]:
         """The counts so far, which are then forgotten."""
-        lang, size, phrase, n = self.rows
+        self.merge()
+        names, (_, _, n, of, size) = np.array([*self.langs, ""], object), self.columns
+        yield pa.RecordBatch.from_arrays([pa.array(list(self.totals), pa.string()), pa.array([0] * len(self.totals), pa.int32()), pa.array([""] * len(self.totals), pa.string()), pa.array(list(self.totals.values()), pa.int64())], names=["lang", "words", "phrase", "n"])
+        for at in range(0, len(n), 50_000):
+            part = slice(at, at + 50_000)
+            yield pa.RecordBatch.from_arrays([pa.array(names[of[part]], pa.string()), pa.array(size[part]), self.phrases[part].cast(pa.binary()).cast(pa.string()), pa.array(n[part])], names=["lang", "words", "phrase", "n"])
         self.__init__()
-        return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(size, pa.int32()), pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], names=["lang", "words", "phrase", "n"])
 
 
 def _whole(x: Column) -> Column:

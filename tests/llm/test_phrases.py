@@ -80,14 +80,14 @@ def test_windows_give_each_word_and_phrase_once(monkeypatch):
             want.update(" ".join(ws[i : i + s]) for s in (1, 2, 3) for i in range(len(ws) - s + 1))
     for size in (1, 7, 64, 1000):
         monkeypatch.setattr(phrases, "WINDOW", size)
+        monkeypatch.setattr(phrases, "MERGE", 5 * size)
         held = phrases.Counts()
         everything = [phrases.Filter(np.full((phrases.DEPTH, 8192), 255, np.uint8), 1 << 16)] * 2
         seeds = [np.zeros(len(rows), np.uint64)] * 2
         for words in phrases.windows(texts, seeds, 2, 2):
             held.add(words, [""] * len(rows), everything, 3)
-        _, size_, phrase, n = (c.to_pylist() for c in held.out().columns)
-        got = Counter({p: c for s, p, c in zip(size_, phrase, n, strict=True) if s})
-        assert held.at == {}
+        got = Counter({p: c for batch in held.out() for s, p, c in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True) if s})
+        assert len(held) == 0
         assert got == want
 
 

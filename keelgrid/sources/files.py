@@ -1,8 +1,12 @@
-"""Byte ranges of files where Spark's addresses point, through pyarrow's file systems."""
+"""Byte ranges of files, and folders that all executors see, where Spark's addresses point, through pyarrow's file systems."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 import pyarrow.fs as pafs
+from pyspark.sql import SparkSession
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -30,3 +34,20 @@ def file_size(uri: str) -> int:
 def exists(uri: str) -> bool:
     fs, path = filesystem(uri)
     return fs.get_file_info(path).type == pafs.FileType.File
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name below spark.checkpoint.dir, which all executors see; it goes when the session ends.
+
+    Where that is unset a local master gets a temporary folder, which is then set; another gets an error."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
+        root = "file://" + tempfile.mkdtemp(prefix="keelgrid-")
+        spark.sparkContext.setCheckpointDir(root)
+    path = spark._jvm.org.apache.hadoop.fs.Path(root, f"{name}-{uuid.uuid4().hex}")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return fs.makeQualified(path).toString()

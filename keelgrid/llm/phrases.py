@@ -35,11 +35,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keelgrid.llm.shared import named, staged
+from keelgrid.llm.shared import give_back, named, staged
 
-DEPTH, MIN_WIDTH, MAX_WIDTH, BLOCK = 2, 1 << 16, 1 << 26, 4096
+DEPTH, MIN_WIDTH, MAX_WIDTH, BLOCK = 2, 1 << 16, 1 << 25, 4096
 LEAST, MAX_WORDS, SHARE, KEEP = 10, 3, 50, 2000
-WINDOW, LONG, SALTS, HELD, MERGE = 1 << 20, 1024, 64, 2_000_000, 100_000
+WINDOW, LONG, SALTS, HELD, MERGE = 1 << 20, 1024, 64, 1_500_000, 100_000
 
 _KIND = np.zeros(256, np.uint8)
 _KIND[[0x20, 0x09]] = 1
@@ -234,6 +234,8 @@ def _filter(source: DataFrame, filters: list[Filter], width: int, least: int, ma
         for at in range(0, len(used), 1024):
             some = used[at : at + 1024]
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([blocks[k].tobytes() for k in some], pa.binary())], names=["block", "counters"])
+        del sketch, blocks
+        give_back()
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, total = None, None
@@ -297,7 +299,7 @@ class Counts:
     def __init__(self):
         self.langs: list[str] = []
         self.totals: dict[str, int] = {}
-        self.columns = [np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)]
+        self.columns = [np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int8)]
         self.phrases = pa.array([], pa.large_binary())
         self.new: list[tuple] = []
         self.waiting = 0
@@ -326,7 +328,7 @@ class Counts:
             ends = ends[~known]
             found = [b" ".join(raw[i:j].lower().split()) for i, j in zip(words.start[ends - size + 1].tolist(), words.end[ends].tolist(), strict=True)]
             of = np.array([code.setdefault(langs[d], len(code)) for d in words.doc[ends].tolist()], np.int32)
-            self.new.append((a[~known], b[~known], counts[~known], of, np.full(len(ends), size, np.int32), pa.array(found, pa.large_binary())))
+            self.new.append((a[~known], b[~known], counts[~known], of, np.full(len(ends), size, np.int8), pa.array(found, pa.large_binary())))
             self.waiting += len(ends)
         self.langs = list(code)
         if self.waiting > max(MERGE, len(self.phrases) // 2):
@@ -336,13 +338,16 @@ class Counts:
         parts = list(zip(*self.new, strict=True))
         if not parts:
             return
-        columns = [np.concatenate([own, *more]) for own, more in zip(self.columns, parts[:5], strict=True)]
-        order = np.lexsort((columns[1], columns[0]))
-        a, b = columns[0][order], columns[1][order]
+        a, b = (np.concatenate([self.columns[k], *parts[k]]) for k in range(2))
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
         heads = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
         first = order[heads]
-        self.columns = [c[first] for c in columns]
-        self.columns[2] = np.add.reduceat(columns[2][order], heads)
+        self.columns[:2] = a[heads], b[heads]
+        del a, b
+        self.columns[2] = np.add.reduceat(np.concatenate([self.columns[2], *parts[2]])[order], heads)
+        for k in (3, 4):
+            self.columns[k] = np.concatenate([self.columns[k], *parts[k]])[first]
         self.phrases = pa.concat_arrays([self.phrases, *parts[5]]).take(pa.array(first))
         self.new, self.waiting = [], 0
 
@@ -353,8 +358,9 @@ class Counts:
         yield pa.RecordBatch.from_arrays([pa.array(list(self.totals), pa.string()), pa.array([0] * len(self.totals), pa.int32()), pa.array([""] * len(self.totals), pa.string()), pa.array(list(self.totals.values()), pa.int64())], names=["lang", "words", "phrase", "n"])
         for at in range(0, len(n), 50_000):
             part = slice(at, at + 50_000)
-            yield pa.RecordBatch.from_arrays([pa.array(names[of[part]], pa.string()), pa.array(size[part]), self.phrases[part].cast(pa.binary()).cast(pa.string()), pa.array(n[part])], names=["lang", "words", "phrase", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(names[of[part]], pa.string()), pa.array(size[part].astype(np.int32)), self.phrases[part].cast(pa.binary()).cast(pa.string()), pa.array(n[part])], names=["lang", "words", "phrase", "n"])
         self.__init__()
+        give_back()
 
 
 def _whole(x: Column) -> Column:

@@ -116,6 +116,11 @@ def portions(batches: Iterator[pa.RecordBatch], column: str, chars: int = 2_000_
             yield part, [x or "" for x in part.column(column).to_pylist()]
             first = last
         del batch
+    give_back()
+
+
+def give_back() -> None:
+    """A worker, which lives on after its task, gives free memory back to the machine."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # a C library without it
         ctypes.CDLL(None).malloc_trim(0)

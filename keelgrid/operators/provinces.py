@@ -1,6 +1,7 @@
-"""Points in polygons: provinces and land masks.
+"""Points in polygons: provinces and land masks of few vertices, and rectangles.
 
-Polygons are a small reference table (rings of vertices); it is collected behind a size check and sent to the executors.
+Polygons of at most MOST_VERTICES vertices are collected behind that check and sent to the executors; larger layers go
+through the index of `operators/polygons.py`, which gives the same answers.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keelgrid.operators import polygons as named_polygons
+
 MOST_VERTICES, BIN = 5_000_000, 4.0
 
 
@@ -40,13 +43,14 @@ def even_odd(x: np.ndarray, y: np.ndarray, rings: list[np.ndarray]) -> np.ndarra
     return inside
 
 
-def load_polygons(polygons: DataFrame, name: str = "province", rings: str = "rings") -> list[tuple[str, tuple[float, float, float, float], list[np.ndarray]]]:
-    size = polygons.agg(F.sum(F.aggregate(rings, F.lit(0), lambda a, r: a + F.size(r)))).first()[0] or 0
+def load_polygons(polygons: DataFrame, name: str = "province", rings: str = "rings") -> list[tuple[str, tuple[float, float, float, float], list[np.ndarray]]] | None:
+    """Name, box and rings of each polygon; None if they are too large to be sent."""
+    size = polygons.agg(F.sum(F.aggregate(rings, F.lit(0), lambda a, r: a + F.coalesce(F.size(r), F.lit(0))))).first()[0] or 0
     if size > MOST_VERTICES:
-        raise ValueError(f"the polygons have {size} vertices; {MOST_VERTICES} at most are sent to the executors")
+        return None
     out = []
     for row in polygons.select(name, rings).orderBy(name).collect():
-        parts = [np.array([(p["x"], p["y"]) for p in ring], float) for ring in row[1] if len(ring) >= 3]
+        parts = [np.array([(p["x"], p["y"]) for p in ring], float) for ring in row[1] or [] if len(ring) >= 3]
         if parts:
             every = np.concatenate(parts)
             out.append((row[0], (*every.min(axis=0), *every.max(axis=0)), parts))
@@ -56,6 +60,9 @@ def load_polygons(polygons: DataFrame, name: str = "province", rings: str = "rin
 def in_polygons(points: DataFrame, polygons: DataFrame, x: str = "lon", y: str = "lat", name: str = "province") -> DataFrame:
     """Adds the name of the first polygon (by name) that holds the point, or null."""
     shapes = load_polygons(polygons, name)
+    if shapes is None:
+        found = named_polygons.names_at(points, named_polygons.index_of(polygons, name), x, y, out="kg_names")
+        return found.withColumn(name, F.get("kg_names", F.lit(0))).drop("kg_names")
 
     def find(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for xs, ys in batches:
@@ -88,6 +95,8 @@ def land_flags(steps: DataFrame, land: DataFrame | None) -> DataFrame:
     if land is None:
         return steps.withColumn("on_land", F.lit(False)).withColumn("crosses_land", F.lit(False))
     shapes = load_polygons(land, "name")
+    if shapes is None:
+        return named_polygons.land_flags(steps, named_polygons.index_of(land))
 
     def on(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for xs, ys in batches:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from keelgrid.plans import vessel
+from keelgrid.plans import shapes, vessel
 
-QUERIES = dict(vessel.QUERIES)
-ORACLES = dict(vessel.ORACLES)
+QUERIES = vessel.QUERIES | shapes.QUERIES
+ORACLES = vessel.ORACLES | shapes.ORACLES

@@ -21,10 +21,11 @@ have that Jaccard index at least, counted exactly. 64 bits can't find such pairs
 more), so candidates are texts that agree on one of BANDS bands of ROWS min-hashes: a pair of likeness 0.8 is missed with
 a chance of 6 in 10^5, one of 0.85 with 3 in 10^7. Texts of equal sets are one candidate. Each text is first compared with
 two others at most, heads of its buckets: of a bucket's texts the head is the one that meets most others in all its
-buckets, so that the copies of a text meet that text. Of the texts that are then not joined, those of a bucket are
-compared whose numbers of common shingles (those that more than RARE of the open texts have) allow the likeness, and
-those that share a rarer one: of two alike texts either is true. So copies with edits of their own are told apart without
-being compared in pairs.
+buckets, so that the copies of a text meet that text. Of the texts that are then in different classes, those of a
+bucket are compared whose numbers of common shingles (those that more than RARE of the open texts have) allow the
+likeness, and those that share a rarer one: of two alike texts either is true. Texts of one class are not paired with each
+other, and of those with the same common shingles one meets the other classes, so copies of one template, with edits of
+their own, cost in proportion to their number.
 """
 
 from __future__ import annotations
@@ -283,17 +284,19 @@ def alike(df: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "
     texts = now.select("fp", "size", "root").distinct()
     each = sets.join(texts, "fp").select("fp", "size", "root", F.explode("kg_set").alias("shingle"))
     each = each.join(each.groupBy(F.col("shingle").alias("s")).agg(F.count("*").alias("n")), F.col("shingle") == F.col("s"))
-    facts = ("fp", "size", "root", "common", "parts")
-    left = lambda df: df.withColumnsRenamed({c: f"kg_{c}" for c in facts})
+    left = lambda df: df.withColumnsRenamed({c: f"kg_{c}" for c in _FACTS})
     apart = (F.col("kg_fp") < F.col("fp")) & (F.col("kg_root") != F.col("root")) & may(F.col("kg_size"), F.col("size"))
     enough = lambda most: most >= F.lit(least) * (F.col("kg_size") + F.col("size") - most)
     # A text's common shingles, counted by PARTS ranges of hashes: two texts share no more of a range than the fewer there.
-    counts = each.where(F.col("n") > RARE).groupBy("fp", F.pmod("shingle", F.lit(PARTS)).cast("int").alias("part")).agg(F.count("*").alias("n"))
-    counts = counts.groupBy(F.col("fp").alias("f")).agg(F.sum("n").alias("common"), F.map_from_entries(F.collect_list(F.struct("part", "n"))).alias("m"))
-    counts = counts.select("f", "common", F.transform(F.lit(list(range(PARTS))), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0))).alias("parts"))
+    counts = each.where(F.col("n") > RARE).groupBy("fp", F.pmod("shingle", F.lit(PARTS)).cast("int").alias("part"))
+    counts = counts.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("shingle")).alias("h1"), F.bit_xor(F.xxhash64("shingle", F.lit(1))).alias("h2"))
+    counts = counts.groupBy(F.col("fp").alias("f")).agg(F.sum("n").alias("common"), F.map_from_entries(F.collect_list(F.struct("part", "n"))).alias("m"), F.bit_xor("h1").alias("h1"), F.bit_xor("h2").alias("h2"))
+    counts = counts.select("f", "common", "h1", "h2", F.transform(F.lit(list(range(PARTS))), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0))).alias("parts"))
     fewer = F.aggregate(F.zip_with("parts", "kg_parts", lambda a, b: F.least(a, b)), F.lit(0).cast("long"), lambda a, x: a + x)
     now = now.select("band", "value", "fp", "size", "root").join(counts, F.col("fp") == F.col("f")).where(F.col("common") >= F.lit(least) * F.col("size"))
-    alike_there = left(now).join(now, ["band", "value"]).where(apart & enough(F.least("common", "kg_common")) & enough(fewer)).select("kg_fp", "fp")
+    # Of a class's texts with the same common shingles and size one stands for all: what else they share is rare.
+    shapes = staged(now.groupBy("band", "value", "root", "size", "common", "h1", "h2").agg(F.min(F.struct("fp", "parts")).alias("kg_one")).select("band", "value", "root", "size", "common", "kg_one.fp", "kg_one.parts"), "shapes")
+    alike_there = between_classes(shapes).where(may(F.col("kg_size"), F.col("size")) & enough(F.least("common", "kg_common")) & enough(fewer)).select("kg_fp", "fp")
     rare = each.where((F.col("n") <= RARE) & (F.col("n") > 1)).select("fp", "size", "root", "shingle")
     shared = left(rare).join(rare, "shingle").where(apart).groupBy("kg_fp", "fp", "kg_size", "size").agg(F.count("*").alias("c"))
     common = counts.select("f", "common")
@@ -304,6 +307,21 @@ def alike(df: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "
     return prints, _rooted(own, near.unionByName(confirmed(rest)))
 
 
+_FACTS = ("fp", "size", "root", "common", "parts")
+
+
+def between_classes(shapes: DataFrame) -> DataFrame:
+    """Pairs of rows of one bucket (band, value) that are of different classes (root): the first with kg_ names, and the second.
+
+    The bucket's largest class is never paired with itself, but all others meet it and one another. A smaller class's
+    own pairs are no more than its pairs with the largest, so what is formed is at most twice what is returned, and a class of any size
+    costs a bucket in proportion."""
+    sizes = shapes.groupBy("band", "value", "root").agg(F.count("*").alias("n")).groupBy(F.col("band").alias("b"), F.col("value").alias("x")).agg(F.max(F.struct("n", "root")).alias("kg_main"))
+    rest = shapes.join(sizes, (F.col("band") == F.col("b")) & (F.col("value") == F.col("x"))).where(F.col("root") != F.col("kg_main.root")).withColumn("kg_largest", F.col("kg_main.root")).drop("b", "x", "kg_main")
+    met = rest.withColumnsRenamed({c: f"kg_{c}" for c in _FACTS}).join(shapes, ["band", "value"])
+    return met.where((F.col("kg_root") != F.col("root")) & ((F.col("root") == F.col("kg_largest")) | (F.col("kg_fp") < F.col("fp"))))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, fingerprint (16 hexadecimal digits) and component_id of every row."""
     prints, of = classes(df, id_col, text_col)

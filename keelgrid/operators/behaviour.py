@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from keelgrid.functions.scalar import clamp, finite_or_zero
 from keelgrid.operators.kinematics import order
+from keelgrid.operators.quantiles import quantiles
 
 FEATURES = ("speed", "norm_acc", "norm_turn")
 #: What it costs to take a short run for its neighbour's behaviour.
@@ -21,9 +22,8 @@ STOP_COST, DREDGE_COST, OTHER_COST = 4, 3, 5
 
 def scales(df: DataFrame) -> tuple[float, float]:
     """95th percentiles of |acceleration| and of turning; 1e-6 where 0, null or not finite."""
-    q = F.lit(0.95)
-    row = df.agg(F.percentile(F.abs("accel_ms2"), q), F.percentile("turn_deg", q)).first()
-    return tuple(x if x and math.isfinite(x) and x > 0 else 1e-6 for x in row)
+    found = quantiles(df, {"acc": F.abs("accel_ms2"), "turn": F.col("turn_deg")}, [0.95])
+    return tuple(x if x and math.isfinite(x) and x > 0 else 1e-6 for (x,) in found.values())
 
 
 def normed(df: DataFrame, acc: float, turn_: float) -> DataFrame:

@@ -100,9 +100,9 @@ def basin_rate(basin: Column) -> Column:
     return out
 
 
-def sampled(cells: DataFrame, raster: DataFrame, columns: list[str]) -> DataFrame:
-    """A raster's values (row, col) at the cells; 0 where it has none."""
-    return cells.join(raster, ["row", "col"], "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in columns})
+def sampled(cells: DataFrame, raster: DataFrame, columns: list[str], on: tuple[str, ...] = ("row", "col")) -> DataFrame:
+    """A raster's values at the cells, by row and col (or fewer, where it varies along one alone); 0 where it has none."""
+    return cells.join(raster, list(on), "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in columns})
 
 
 def depletion(years: Column, after: int = 10, left: float = 0.272) -> Column:

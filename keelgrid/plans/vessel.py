@@ -610,8 +610,7 @@ sa AS (SELECT d.*, coalesce(c0, 0) AS c0, coalesce(c0, 0) * 0.8e0 AS c0_lower, c
 def _stock(spark, d):
     cells = _fi(spark, d, "default")
     raster = a.table(spark, d, "part").groupBy((F.col("p_partkey") % g.ROWS).alias("row")).agg(F.max("p_retailprice").alias("c0"))
-    rows = cells.select("row", "col").distinct().join(raster, "row")
-    out = impact.sampled(cells, rows, ["c0"])
+    out = impact.sampled(cells, raster, ["c0"], on=("row",))
     return out.withColumns({"c0_lower": F.col("c0") * 0.8, "c0_upper": F.col("c0") * 1.2, "di": impact.depletion(F.col("years_trawled"), after=1)})
 
 

@@ -214,3 +214,67 @@ def near_land(points: DataFrame, polygons: DataFrame, metres: float, x: str = "l
     """Adds whether the point is on land or at most `metres` from it."""
     seen = distance_to_edges(points, polygons, metres, x, y, out="kg_m")
     return names_at(seen, index_of(polygons, cell=cell), x, y, cell, "kg_on").withColumn(out, (F.size("kg_on") > 0) | F.col("kg_m").isNotNull()).drop("kg_m", "kg_on")
+
+
+def cropped(polygons: DataFrame, west: float, south: float, east: float, north: float, rings: str = "rings") -> DataFrame:
+    """The polygons inside a box. Each ring is cut by the box's four sides in turn; what is left of a ring runs along the box where it was
+    cut, so inside the box the even-odd rule says what it said before, whatever the rings' crossings. Rings without a part inside
+    go, and polygons without rings."""
+    ring = rings
+    for axis, limit, above in (("x", west, True), ("x", east, False), ("y", south, True), ("y", north, False)):
+        polygons = polygons.withColumn(ring, _cut(F.col(ring), axis, float(limit), above))
+    kept = F.filter(ring, lambda r: F.size(r) >= 3)
+    return polygons.withColumn(ring, kept).where(F.size(ring) > 0)
+
+
+def _cut(rings: Column, axis: str, limit: float, above: bool) -> Column:
+    """Each ring's part on one side of a line (Sutherland and Hodgman's rule for one side)."""
+    other = "y" if axis == "x" else "x"
+    inside = lambda p: p[axis] >= limit if above else p[axis] <= limit
+
+    def meeting(p: Column, q: Column) -> Column:
+        at = p[other] + (q[other] - p[other]) * ((F.lit(limit) - p[axis]) / (q[axis] - p[axis]))
+        parts = {axis: F.lit(limit), other: at}
+        return F.struct(parts["x"].alias("x"), parts["y"].alias("y"))
+
+    point = lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y"))
+
+    def kept(e: Column) -> Column:
+        p, q = e["p"], e["q"]
+        none = F.array().cast("array<struct<x:double,y:double>>")
+        return F.when(inside(p) & inside(q), F.array(point(q))).when(inside(p), F.array(meeting(p, q))).when(inside(q), F.array(meeting(p, q), point(q))).otherwise(none)
+
+    def one(ring: Column) -> Column:
+        after = F.concat(F.slice(ring, F.lit(2), F.size(ring) - 1), F.slice(ring, F.lit(1), F.lit(1)))
+        return F.flatten(F.transform(F.arrays_zip(ring.alias("p"), after.alias("q")), lambda e: kept(F.struct(e["p"].alias("p"), e["q"].alias("q")))))
+
+    return F.transform(F.filter(rings, lambda r: F.size(r) >= 3), one)
+
+
+def buffered(polygons: DataFrame, distance: float, name: str = "name", rings: str = "rings", steps: int = 8) -> DataFrame:
+    """(name, piece, rings): simple polygons whose union is the polygon and all within `distance` of it, in the coordinates' own (planar) unit.
+
+    Piece 0 is the polygon itself; each edge gives the strip beside it with round caps at both ends, half circles of `steps` straight
+    parts drawn round the circle, so that nothing within the distance is lost (up to 1 / cos(pi / 2 steps) of it is added). A
+    point is in the buffer if any piece holds it (`in_buffer`); overlaps stay, since the union decides."""
+    wide = distance / math.cos(math.pi / (2 * steps))
+    e = edges_of(polygons, name, rings)
+    e = e.withColumn("kg_l", F.hypot(F.col("c") - F.col("a"), F.col("d") - F.col("b")))
+    ux, uy = (F.col("c") - F.col("a")) / F.col("kg_l"), (F.col("d") - F.col("b")) / F.col("kg_l")
+
+    def cap(x: str, y: str, sign: int) -> list[Column]:
+        turns = [math.pi * k / steps - math.pi / 2 for k in range(steps + 1)]
+        at = lambda t: (math.cos(t) * sign * wide, math.sin(t) * sign * wide)
+        return [F.struct((F.col(x) + ux * c - uy * s).alias("x"), (F.col(y) + uy * c + ux * s).alias("y")) for c, s in map(at, turns)]
+
+    strips = e.select("name", (F.abs(F.xxhash64("a", "b", "c", "d") % (1 << 62)) + 1).alias("piece"), F.array(F.array(*cap("c", "d", 1), *cap("a", "b", -1))).alias("rings"))
+    plain = F.transform(rings, lambda r: F.transform(r, lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y"))))
+    whole = polygons.where(F.col(name).isNotNull() & F.col(rings).isNotNull()).select(F.col(name).alias("name"), F.lit(0).cast("long").alias("piece"), plain.alias("rings"))
+    return whole.unionByName(strips)
+
+
+def in_buffer(points: DataFrame, pieces: DataFrame, x: str = "lon", y: str = "lat", cell: float = CELL, out: str = "names") -> DataFrame:
+    """Adds an array, in order, of the names whose buffer (`buffered`) holds the point."""
+    keyed = pieces.select(F.concat(F.col("piece").cast("string"), F.lit(":"), F.col("name")).alias("name"), "rings")
+    found = names_at(points, index_of(keyed, cell=cell), x, y, cell, "kg_pieces")
+    return found.withColumn(out, F.array_sort(F.array_distinct(F.transform("kg_pieces", lambda n: F.regexp_replace(n, r"^\d+:", ""))))).drop("kg_pieces")

@@ -116,3 +116,35 @@ def test_near_land(spark):
     shapes = [("isle", [[(10.0, 50.0), (11.0, 50.0), (11.0, 51.0), (10.0, 51.0)]])]
     df = spark.createDataFrame([(1, 10.5, 50.5), (2, 11.01, 50.5), (3, 11.2, 50.5), (4, None, 50.5), (1, 10.5, 50.5)], "id int, lon double, lat double")
     assert sorted((r.id, r.near_land) for r in polygons.near_land(df, frame(spark, shapes), 2000.0).collect()) == [(1, True), (1, True), (2, True), (3, False), (4, False)]
+
+
+def test_cropping_keeps_the_even_odd_side(spark):
+    """Stars with holes, a bow tie, a hole that touches its ring, a ring across and one round the box, one outside."""
+    rng = random.Random(12)
+    shapes = [(f"s{k}", [star(rng, rng.uniform(-6, 6), rng.uniform(-6, 6), 7, 9), star(rng, 0, 0, 2, 5)]) for k in range(6)]
+    shapes += [("tie", [[(-4, -4), (4, 4), (4, -4), (-4, 4)]]), ("touch", [[(0, 0), (6, 0), (6, 6), (0, 6)], [(0, 0), (3, 1), (1, 3)]]), ("round", [[(-99, -99), (99, -99), (99, 99), (-99, 99)]]), ("out", [[(20, 20), (21, 20), (21, 21)]])]
+    cut = polygons.cropped(frame(spark, shapes), -3.0, -2.5, 4.5, 3.25)
+    got = {r.name: [np.array([(p.x, p.y) for p in ring]) for ring in r.rings] for r in cut.collect()}
+    assert "out" not in got and set(got) <= {n for n, _ in shapes} and len(got["round"]) == 1
+    assert sorted(map(tuple, got["round"][0].tolist())) == sorted([(-3.0, -2.5), (4.5, -2.5), (4.5, 3.25), (-3.0, 3.25)])
+    x, y = np.array([(rng.uniform(-9, 9), rng.uniform(-9, 9)) for _ in range(3000)]).T
+    box = (x > -3) & (x < 4.5) & (y > -2.5) & (y < 3.25)
+    for n, rings in shapes:
+        before = provinces.even_odd(x, y, [np.array(r, float) for r in rings]) & box
+        after = provinces.even_odd(x, y, got.get(n, []))
+        assert (before == after).all(), n
+
+
+def test_buffers_hold_what_is_within_the_distance(spark):
+    shapes = [("l", [[(0, 0), (6, 0), (6, 2), (2, 2), (2, 6), (0, 6)]]), ("hole", [[(10, 0), (16, 0), (16, 6), (10, 6)], [(12, 2), (14, 2), (14, 4), (12, 4)]]), ("none", None)]
+    rng = random.Random(3)
+    places = [(rng.uniform(-3, 19), rng.uniform(-3, 9)) for _ in range(1500)]
+    df = spark.createDataFrame([(k, *p) for k, p in enumerate(places)], "id long, lon double, lat double")
+    pieces = polygons.buffered(frame(spark, shapes), 0.8)
+    got = {r.id: r.names for r in polygons.in_buffer(df, pieces).collect()}
+    for k, (x, y) in enumerate(places):
+        for n, rings in shapes[:2]:
+            inside = provinces.even_odd(np.array([x]), np.array([y]), [np.array(r, float) for r in rings])[0]
+            away = 0.0 if inside else min(math.hypot(x - a - t * (c - a), y - b - t * (d - b)) for r in rings for (a, b), (c, d) in zip(r, r[1:] + r[:1], strict=True) for t in [max(0, min(1, ((x - a) * (c - a) + (y - b) * (d - b)) / ((c - a) ** 2 + (d - b) ** 2)))])
+            if away <= 0.8 or away > 0.8 / math.cos(math.pi / 16):
+                assert (n in got[k]) == (away <= 0.8), (x, y, n, away)

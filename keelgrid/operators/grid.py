@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keelgrid.functions import grid as g
+from keelgrid.functions.geodesic import geodesic_m
 
 CELL_AREA_M2 = g.CELL * g.CELL
+_ENDS = ("x0", "y0", "x1", "y1")
 
 
 def projected(df: DataFrame) -> DataFrame:
@@ -59,14 +61,27 @@ def daily_tracks(segments: DataFrame) -> DataFrame:
     return segments.groupBy("ssvid", "day").agg(F.count("*").alias("segments"), F.sum("length_m").alias("length_m"), F.first("width_m").alias("width_m"))
 
 
-def swept(segments: DataFrame) -> DataFrame:
+def swept(segments: DataFrame, true_length: bool = False) -> DataFrame:
     """Per cell the length, and length times width and times width times depth. The cells of a segment come from closed
-    formulas: no spatial join, no tiles, one shuffle of partial sums."""
-    cells = segments.where("length_m > 0").select("width_m", "depth_m", F.explode(g.crossings(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))).alias("c"))
-    cells = cells.select(g.grid_id(F.col("c.row"), F.col("c.col")).alias("grid_id"), F.col("c.length_m").alias("d"), "width_m", "depth_m").where("grid_id is not null")
+    formulas: no spatial join, no tiles, one shuffle of partial sums. Lengths are the map's, which is equal-area and so
+    stretches ways; with true_length they are those of the geodesics between the points where the segment meets the cell's borders."""
+    ways = segments.where("length_m > 0").select("width_m", "depth_m", *_ENDS, "length_m", g.crossings(*map(F.col, _ENDS)).alias("kg_all"))
+    cells, length = (_geodesics(ways), F.col("kg_m")) if true_length else (ways.select("width_m", "depth_m", F.explode("kg_all").alias("c")), F.col("c.length_m"))
+    cells = cells.select(g.grid_id(F.col("c.row"), F.col("c.col")).alias("grid_id"), length.alias("d"), "width_m", "depth_m").where("grid_id is not null")
     return cells.groupBy("grid_id").agg(F.sum(F.col("d") * F.col("width_m")).alias("sum_dw"), F.sum(F.col("d") * F.col("width_m") * F.col("depth_m")).alias("sum_dw_pd"), F.sum("d").alias("sum_d"))
 
 
+def _geodesics(ways: DataFrame) -> DataFrame:
+    """The ways' shares one by one, each with the geodesic length (kg_m) between its ends."""
+    parts = ways.select("*", F.posexplode("kg_all").alias("kg_k", "c"))
+    before = F.aggregate(F.slice("kg_all", F.lit(1), F.col("kg_k")), F.lit(0.0), lambda s, x: s + x["length_m"])
+    parts = parts.withColumn("kg_from", before / F.col("length_m")).drop("kg_all").withColumn("kg_to", F.col("kg_from") + F.col("c.length_m") / F.col("length_m"))
+    at = lambda a, b, t: F.col(a) + (F.col(b) - F.col(a)) * F.col(t)
+    for n, t in (("p", "kg_from"), ("q", "kg_to")):
+        parts = parts.withColumns({f"kg_{n}lon": g.longitude(at("x0", "x1", t)), f"kg_{n}lat": g.latitude(at("y0", "y1", t))})
+    return parts.withColumn("kg_m", geodesic_m(F.col("kg_plat"), F.col("kg_plon"), F.col("kg_qlat"), F.col("kg_qlon")))
+
+
 def swept_ratio(cells: DataFrame, years: float | None = None) -> DataFrame:
     """Adds SAR (swept area over cell area, over all years unless divided), p_d (mean depth) and SVR."""
     sar = F.col("sum_dw") / F.lit(CELL_AREA_M2 * (years or 1.0))

@@ -47,6 +47,17 @@ def province_polygons(spark, d):
     return polygons.located(a.pings(spark, d), polygons.index_of(layer, cell=4.0), cell=4.0).select("ping_id", "province")
 
 
+#: A box in which the layer is cropped: west, south, east, north.
+BOX = (-100.0, -33.5, 60.0, 41.25)
+
+
+@query(f"WITH {a.PINGS_SQL}, {_EDGES}, {_INSIDE} SELECT p.ping_id, i.name FROM inside i JOIN pings p ON p.ping_id = i.ping_id WHERE lon > {BOX[0]} AND lat > {BOX[1]} AND lon < {BOX[2]} AND lat < {BOX[3]}")
+def cropped_polygons(spark, d):
+    """Pings inside the cropped layer: none outside the box is, though the join is with all."""
+    index = polygons.index_of(polygons.cropped(nation_shapes(spark, d), *BOX), cell=4.0)
+    return polygons.located(a.pings(spark, d), index, cell=4.0, out="name").where("name IS NOT NULL").select("ping_id", "name")
+
+
 _WAYS = "ways AS (SELECT ping_id, lon, lat, lag(lon) OVER w AS lon0, lag(lat) OVER w AS lat0 FROM pings WINDOW w AS (PARTITION BY ssvid ORDER BY ts, ping_id))"
 _SIDE = lambda p, q, r: f"sign(({q[0]} - {p[0]}) * ({r[1]} - {p[1]}) - ({q[1]} - {p[1]}) * ({r[0]} - {p[0]}))"
 _A, _B, _P, _Q = ("lon0", "lat0"), ("lon", "lat"), ("a", "b"), ("c", "d")

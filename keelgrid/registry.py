@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from keelgrid.plans import shapes, vessel
+from keelgrid.plans import chain, shapes, vessel
 
-QUERIES = vessel.QUERIES | shapes.QUERIES
-ORACLES = vessel.ORACLES | shapes.ORACLES
+QUERIES = vessel.QUERIES | shapes.QUERIES | chain.QUERIES
+ORACLES = vessel.ORACLES | shapes.ORACLES | chain.ORACLES

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 BLOCK = 256
 #: Ranges of ids that with_blocks looks at, a power of two.
 COARSE = 1024
+#: Blocks of one range up to which its ids are cut into equal spans without a closer look.
+LONG_RANGE = 4
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -138,36 +140,62 @@ def block_of(column: str, width: int = BLOCK) -> Column:
 
 def with_blocks(df: DataFrame, id_col: str, tie: Column, out: str, width: int = BLOCK) -> DataFrame:
     """df with a block number (long) that ascends with the integer id, about `width` rows a block whatever the ids are:
-    dense, hashed over 63 bits, or in clusters.
+    dense, hashed over 63 bits, or in bursts.
 
     COARSE ranges of about equal counts are cut at the ids' approximate percentiles; each is cut into equal ranges of
-    ids, as many as its rows need. Only these ranges (lowest, highest id and count of each) reach the driver. Rows of one
+    ids, as many as its rows need. Where a range holds more than LONG_RANGE blocks, its ids can lie so unevenly that this fails, so every
+    range is first cut at its own percentiles into up to COARSE parts (`_finer`): a block holds about a 2^20th of all rows
+    at most, beside `width`. Only the coarse ranges (lowest, highest id and count of each) reach the driver. Rows of one
     id stay in one block, but those without an id, which come before all, are cut by `tie`: an integer from 0 to 4095
     that ascends with the order in which they stand."""
-    steps = [COARSE >> (k + 1) for k in range(COARSE.bit_length() - 1)]
     id_ = named(id_col).cast("long")
     ids = df.where(id_.isNotNull()).select(id_.alias("id"))
     cuts = ids.agg(F.percentile_approx("id", [k / COARSE for k in range(1, COARSE)], 10 * COARSE)).first()[0] or [0] * (COARSE - 1)
-
     borders = constants(cuts, "bigint")
-
-    def coarse(value: Column) -> Column:
-        """How many cuts are not above the value, by halving."""
-        return F.aggregate(F.lit(steps), F.lit(0), lambda at, s: F.when(F.get(borders, at + s - 1) <= value, at + s).otherwise(at))
-
+    coarse = lambda value: _place(borders, value, COARSE)
     base, low, factor, most = ([0] * COARSE, [0] * COARSE, [0.0] * COARSE, [0] * COARSE)
-    blocks = 0
+    blocks = largest_count = 0
     for k, least, largest, n in ids.groupBy(coarse(F.col("id"))).agg(F.min("id"), F.max("id"), F.count("*")).orderBy(F.col("min(id)")).collect():
         parts = -(-n // width)
         base[k], low[k], factor[k], most[k] = blocks, least, parts / (largest - least + 1), parts - 1
-        blocks += parts
+        blocks, largest_count = blocks + parts, max(largest_count, n)
+    if largest_count > LONG_RANGE * width:
+        return _finer(df, ids, id_, coarse, tie, out, width, largest_count)
     base_, low_, factor_, most_ = constants(base, "bigint"), constants(low, "bigint"), constants(factor, "double"), constants(most, "bigint")
-    beyond = lambda k: (id_.cast("decimal(20,0)") - F.get(low_, k).cast("decimal(20,0)")).cast("double")
-    number = let(coarse(id_), lambda k: F.get(base_, k) + F.least(F.floor(beyond(k) * F.get(factor_, k)), F.get(most_, k)))
+    number = let(coarse(id_), lambda k: F.get(base_, k) + F.least(F.floor(_beyond(id_, F.get(low_, k)) * F.get(factor_, k)), F.get(most_, k)))
     # Never null, and known to be: a join on it then asks no filter of one side, and both sides can share an exchange.
     return df.withColumn(out, F.coalesce(F.when(id_.isNull(), tie - 4096).otherwise(number), F.lit(0)).cast("long"))
 
 
+def _place(borders: Column, value: Column, parts: int) -> Column:
+    """How many borders, of parts - 1 ascending ones (parts a power of two), are not above the value, by halving."""
+    steps = [parts >> (k + 1) for k in range(parts.bit_length() - 1)]
+    return F.aggregate(F.lit(steps), F.lit(0), lambda at, s: F.when(F.get(borders, at + s - 1) <= value, at + s).otherwise(at)) if steps else F.lit(0)
+
+
+def _beyond(id_: Column, low: Column) -> Column:
+    return (id_.cast("decimal(20,0)") - low.cast("decimal(20,0)")).cast("double")
+
+
+def _finer(df: DataFrame, ids: DataFrame, id_: Column, coarse, tie: Column, out: str, width: int, largest: int) -> DataFrame:
+    """The blocks by ranges within ranges. The table of all of them, COARSE rows of arrays of up to COARSE numbers, is broadcast."""
+    parts = min(COARSE, 1 << (-(-largest // width) - 1).bit_length())
+    cuts = ids.groupBy(coarse(F.col("id")).alias("kg_k")).agg(F.percentile_approx("id", [k / parts for k in range(1, parts)], 4 * parts).alias("kg_cuts"))
+    cuts = staged(cuts, "ranges")
+    inside = ids.withColumn("kg_k", coarse(F.col("id"))).join(F.broadcast(cuts), "kg_k").groupBy("kg_k", _place(F.col("kg_cuts"), F.col("id"), parts).alias("s")).agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n"))
+    many = F.ceil(F.col("n") / width)
+    before = Window.partitionBy("kg_k").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    facts = inside.select("kg_k", "s", F.coalesce(F.sum(many).over(before), F.lit(0)).alias("base"), "low", (many / (_beyond(F.col("high"), F.col("low")) + 1)).alias("factor"), (many - 1).alias("most"), many.alias("blocks"))
+    names = ("base", "low", "factor", "most")
+    by = facts.groupBy("kg_k").agg(F.sum("blocks").alias("kg_blocks"), F.map_from_entries(F.collect_list(F.struct("s", F.struct(*names)))).alias("kg_m"))
+    by = by.withColumn("kg_start", F.coalesce(F.sum("kg_blocks").over(Window.orderBy("kg_k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    by = staged(by.join(cuts, "kg_k").select(F.col("kg_k").alias("kg_range"), "kg_start", "kg_cuts", F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda k: F.try_element_at("kg_m", k)).alias("kg_parts")), "blocks")
+    met = df.withColumn("kg_here", coarse(id_)).join(F.broadcast(by), F.col("kg_here") == F.col("kg_range"), "left")
+    inner = let(F.get("kg_parts", _place(F.col("kg_cuts"), id_, parts)), lambda p: p["base"] + F.least(F.floor(_beyond(id_, p["low"]) * p["factor"]), p["most"]))
+    number = F.col("kg_start") + inner
+    return met.withColumn(out, F.coalesce(F.when(id_.isNull(), tie - 4096).otherwise(number), F.lit(0)).cast("long")).drop("kg_here", "kg_range", "kg_start", "kg_cuts", "kg_parts")
+
+
 def next_blocks(blocks: DataFrame, block: str) -> DataFrame:
     """From distinct blocks: (block, kg_next), the next larger one; after the largest the smallest, a null block before all.
 

@@ -34,7 +34,7 @@ def _sql() -> str:
         if out.count(old) != 1:
             raise ValueError(f"the chain's SQL does not hold this once: {old[:60]}")
         out = out.replace(old, new)
-    return out + " SELECT grid_id, round(p_l, 6) AS p_l, round(svr, 6) AS svr, years_trawled, province, round(f_i_full, 6) AS f_i_full, round(least(c0, c0 * coalesce(f_i_full, 0) * di), 4) AS c_ri FROM sa"
+    return out + " SELECT grid_id, round(p_l + 1e-9, 6) AS p_l, round(svr + 1e-9, 6) AS svr, years_trawled, province, round(f_i_full + 1e-9, 6) AS f_i_full, round(least(c0, c0 * coalesce(f_i_full, 0) * di) + 1e-9, 4) AS c_ri FROM sa"
 
 
 def flagged_pings(spark, d):
@@ -59,7 +59,7 @@ def carbon_of(pings, samples, areas, raster):
 def flagged_cri(spark, d):
     raster = a.table(spark, d, "part").groupBy((F.col("p_partkey") % g.ROWS).alias("row")).agg(F.max("p_retailprice").alias("c0"))
     cells = carbon_of(flagged_pings(spark, d), a.seabed(spark, d), a.provinces(spark, d), raster)
-    return v.rounded(cells.select("grid_id", "p_l", "svr", "years_trawled", "province", "f_i_full", "c_ri"), c_ri=4)
+    return v.rounded(cells.select("grid_id", "p_l", "svr", "years_trawled", "province", "f_i_full", "c_ri"), nudge=1e-9, c_ri=4)
 
 
 QUERIES["flagged_cri"] = flagged_cri

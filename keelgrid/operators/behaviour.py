@@ -50,13 +50,13 @@ class Mixture:
     bic: float
 
 
-def fit_mixture(df: DataFrame, ks: tuple[int, ...] = (3, 4, 5), features: tuple[str, ...] = FEATURES, rows: int = 2_000_000, ident: str = "ping_id", seed: int = 42, least: int = 200) -> Mixture:
+def fit_mixture(df: DataFrame, ks: tuple[int, ...] = (3, 4, 5), features: tuple[str, ...] = FEATURES, rows: int | None = 2_000_000, ident: str = "ping_id", seed: int = 42, least: int = 200) -> Mixture:
     """The mixture with the largest 2 logLik - p ln n among ks, components by mean speed. Fitted on at most about `rows` rows
-    (a documented sample, by a hash of the id), in Spark's own estimator."""
+    (a documented sample, by a hash of the id), or with None on all, in Spark's own estimator."""
     count = df.count()
     if count < least:
         raise ValueError(f"{count} rows are too few for a mixture; {least} are needed")
-    data = df if count <= rows else df.where(F.pmod(F.xxhash64(ident, F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * rows / count))
+    data = df if rows is None or count <= rows else df.where(F.pmod(F.xxhash64(ident, F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * rows / count))
     data = VectorAssembler(inputCols=list(features), outputCol="kg_x").transform(data).select("kg_x").persist()
     n, d, best = data.count(), len(features), None
     for k in ks:
@@ -100,6 +100,18 @@ def posterior(df: DataFrame, m: Mixture, features: tuple[str, ...] = FEATURES, s
     return rows.withColumn("p", F.concat(F.array(stopped.cast("double")), share)).drop("kg_d")
 
 
+def component_summary(df: DataFrame, m: Mixture, features: tuple[str, ...] = ("speed",)) -> DataFrame:
+    """For each component (numbered from 1, by the mixture's order) the rows that are likeliest its own: their number, share, and
+    mean, standard deviation, least and greatest value of the first feature. Rows with a missing feature are left out; a component
+    without rows has none."""
+    x = [F.col(c) for c in features]
+    parts = [F.lit(w) * _density(x, mean, cov) for w, mean, cov in zip(m.weights, m.means, m.covariances, strict=True)]
+    rows = df.dropna(subset=list(features)).withColumn("kg_d", F.array(*parts))
+    own = rows.withColumn("component", F.array_position("kg_d", F.array_max("kg_d")))
+    by = own.groupBy("component").agg(F.count("*").alias("n"), F.avg(x[0]).alias("mean"), F.stddev(x[0]).alias("sd"), F.min(x[0]).alias("least"), F.max(x[0]).alias("most"))
+    return by.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))))
+
+
 def name_components(means: list[float]) -> list[str]:
     """Names by mean speed (ascending): the one in [1, 3.5] nearest 2 kn dredges (else the one nearest 2.25); those in
     (3.5, 6] manoeuvre; of the rest the slowest is loaded, the fastest unloaded, others are `other`."""

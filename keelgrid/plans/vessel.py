@@ -303,6 +303,15 @@ def gmm_posterior_fixed(spark, d):
     return rounded(_labelled(spark, d).select("ping_id", *(F.col("p")[i].alias(f"p{i + 1}") for i in range(5)), "behaviour"))
 
 
+_ONE = [f"{w}e0 * exp(-0.5e0 * pow((speed - {m[0]}e0) / sqrt({c[0][0]}e0), 2)) / sqrt({c[0][0]}e0)" for w, m, c in zip(MIXTURE.weights, MIXTURE.means, MIXTURE.covariances, strict=True)]
+
+
+@query(f"WITH {a.PINGS_SQL}, d AS (SELECT speed, [{', '.join(_ONE)}] AS d FROM pings WHERE speed IS NOT NULL), o AS (SELECT speed, list_position(d, list_max(d)) AS component FROM d) SELECT CAST(component AS BIGINT) AS component, count(*) AS n, round(avg(speed) + 1e-9, 6) AS mean, round(stddev_samp(speed) + 1e-9, 6) AS sd, round(min(speed) + 1e-9, 6) AS least, round(max(speed) + 1e-9, 6) AS most, round(count(*) / sum(count(*)) OVER () + 1e-9, 6) AS share FROM o GROUP BY component")
+def speed_components(spark, d):
+    one = behaviour.Mixture(MIXTURE.k, MIXTURE.weights, [m[:1] for m in MIXTURE.means], [[c[0][:1]] for c in MIXTURE.covariances], 0.0)
+    return rounded(behaviour.component_summary(a.pings(spark, d), one), nudge=1e-9)
+
+
 _NUMBERED = _POST + """, st AS (SELECT *, CASE WHEN behaviour IS DISTINCT FROM lag(behaviour) OVER w OR row_number() OVER w = 1 THEN 1 ELSE 0 END AS s FROM lab WINDOW w AS (PARTITION BY ssvid ORDER BY ts, ping_id)),
 nu AS (SELECT *, sum(s) OVER (PARTITION BY ssvid ORDER BY ts, ping_id) AS run FROM st)"""
 
@@ -348,7 +357,7 @@ def class_by_fold(spark, d):
 @query()
 def gmm_fit_bic(spark, d):
     rows = _norm(spark, d).where(behaviour.trainable())
-    m = behaviour.fit_mixture(rows)
+    m = behaviour.fit_mixture(rows, rows=None)
     names = behaviour.name_components([x[0] for x in m.means])
     return spark.createDataFrame([(m.k, i + 1, names[i], float(m.weights[i]), float(m.means[i][0]), float(m.bic)) for i in range(m.k)], "k int, component int, name string, weight double, mean_speed double, bic double")
 

@@ -40,6 +40,8 @@ from keelgrid.llm.shared import give_back, named, staged
 DEPTH, MIN_WIDTH, MAX_WIDTH, BLOCK = 2, 1 << 16, 1 << 25, 4096
 LEAST, MAX_WORDS, SHARE, KEEP = 10, 3, 50, 2000
 WINDOW, LONG, SALTS, HELD, MERGE = 1 << 20, 1024, 64, 1_500_000, 100_000
+#: Partitions of the source that one task reads at most.
+JOINED = 64
 
 _KIND = np.zeros(256, np.uint8)
 _KIND[[0x20, 0x09]] = 1
@@ -213,8 +215,9 @@ def _source(df: DataFrame, text_col: str, lang_col: str) -> DataFrame:
 
 
 def _few(df: DataFrame) -> DataFrame:
-    """Twice as many tasks as the cluster runs at once at most: each has a sketch, or counts, of its own."""
-    return df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
+    """Twice as many tasks as the cluster runs at once: each has a sketch, or counts, of its own. But no task gets more than JOINED of
+    the source's partitions, so that a cluster that has only begun to grow is not held to the few tasks it can run yet."""
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-df.rdd.getNumPartitions() // JOINED)))
 
 
 def _filter(source: DataFrame, filters: list[Filter], width: int, least: int, max_words: int) -> Filter:

@@ -7,6 +7,7 @@ rule needs no more. Empty and null shapes are null. Heights and measures are pas
 
 from __future__ import annotations
 
+import codecs
 import datetime
 import struct
 from collections.abc import Iterator
@@ -109,7 +110,15 @@ class Layer:
                 fields.append(Field(name, kind, at, width, decimals))
                 at += width
         told = read_range(f"{base}.cpg", 0, 64).decode("ascii", "replace").strip() if exists(f"{base}.cpg") else ""
-        return cls(base, records, fields, head, row, "utf-8" if told.replace("-", "").lower() in ("", "utf8", "65001") else {"iso 88591": "latin-1"}.get(told.lower().replace("-", " ", 1), told))
+        return cls(base, records, fields, head, row, _encoding(told))
+
+
+def _encoding(told: str) -> str:
+    """What a .cpg file names: UTF-8 where there is none, Latin-1 where Python does not know the name."""
+    try:
+        return codecs.lookup(told or "utf-8").name
+    except LookupError:
+        return "latin-1"
 
 
 class Shapefile(DataSource):

@@ -1,5 +1,6 @@
 """Shapefiles written byte by byte here come back ring for ring; geometry columns too."""
 
+import codecs
 import datetime
 import struct
 
@@ -93,3 +94,8 @@ def test_geometry_columns(spark):
     for found in (decoded, again):
         got = {r[0]: r[1] and [[(p.x, p.y) for p in ring] for ring in r[1]] for r in found.collect()}
         assert got == {i: want for i, _, want in rows}
+
+
+@pytest.mark.parametrize("told, want", [("", "utf-8"), ("UTF-8", "utf-8"), ("ISO-8859-1", "iso8859-1"), ("1252", "cp1252"), ("ISO 88591", "latin-1")])
+def test_encodings(told, want):
+    assert codecs.lookup(vector._encoding(told)) == codecs.lookup(want)

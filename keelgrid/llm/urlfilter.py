@@ -22,7 +22,7 @@ from keelgrid.llm.shared import let
 
 BUCKETS, ORDERS, MAX_EXAMPLES = 1024, (3, 4), 20_000
 #: (action, host, path).
-RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
+RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 #: Labelled urls (1: to block) from which the default model is trained.
 EXAMPLES = (
     ("http://win-casino.example.biz/slots/bonus", 1),

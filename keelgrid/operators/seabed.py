@@ -11,25 +11,43 @@ from pyspark.sql import functions as F
 
 from keelgrid.functions.scalar import EQUATOR_M, haversine_m
 
-#: Width of a bin in degrees at first, samples of a bin on average, and bins that are sent to the executors at most.
-BIN_DEG, BIN_SAMPLES, MOST_BINS = 0.5, 256, 1_000_000
+#: Width of a bin in degrees at first and at least, sampled places of a bin on average, and bins that are sent to the executors at most.
+BIN_DEG, LEAST_DEG, BIN_SAMPLES, MOST_BINS = 0.5, 1 / 1024, 256, 1_000_000
 
 
 def _occupied(samples: DataFrame, width: float) -> tuple[np.ndarray, float]:
-    """The bins that have samples, at most MOST_BINS; bins are halved while they hold many samples each and doubled while there are
-    too many of them."""
-    n = samples.count()
+    """The bins that have samples, at most MOST_BINS, by column and row; bins are halved while they hold many places each (in tight
+    clusters the first halvings may not part any) and doubled while there are too many of them."""
+    n = samples.select("lon", "lat").distinct().count()
     bins = lambda w: samples.select(_bin("lon", w).alias("i"), _bin("lat", w).alias("j")).distinct()
     many = bins(width).count()
     while many > MOST_BINS:
         width *= 2
         many = bins(width).count()
-    while n > BIN_SAMPLES * many and width > 1 / 64:
-        finer = bins(width / 2).count()
-        if finer > MOST_BINS or finer < 2 * many:
+    finer = width
+    while n > BIN_SAMPLES * many and finer > LEAST_DEG:
+        finer /= 2
+        now = bins(finer).count()
+        if now > MOST_BINS:
             break
-        width, many = width / 2, finer
-    return bins(width).toPandas().to_numpy(np.int64).reshape(-1, 2), width
+        if now > many:
+            width, many = finer, now
+    found = bins(width).toPandas().to_numpy(np.int64).reshape(-1, 2)
+    return found[np.lexsort((found[:, 1], found[:, 0]))], width
+
+
+def _within(bins: np.ndarray, a: int, b: int) -> np.ndarray:
+    """Of the sorted bins those that can hold the nearest sample of a point in bin (a, b): a band of columns is widened until it has
+    a bin that is surely nearer than all outside. Squares are in units of a bin: whole numbers, so comparisons are exact."""
+    r = 4
+    while True:
+        lo, hi = np.searchsorted(bins[:, 0], (a - r, a + r + 1))
+        apart = np.abs(bins[lo:hi] - (a, b))
+        least, most = np.maximum(apart - 1, 0), apart + 1
+        reach = (most * most).sum(axis=1).min() if hi > lo else None
+        if hi - lo == len(bins) or (reach is not None and r * r > reach):
+            return bins[lo:hi][(least * least).sum(axis=1) <= reach]
+        r *= 4
 
 
 def _bin(c: str, width: float) -> Column:
@@ -41,33 +59,32 @@ def nearest(pings: DataFrame, samples: DataFrame, width: float = BIN_DEG) -> Dat
 
     Exact: the pings' distinct bins are compared with the samples' occupied bins, whose number is bounded by the globe
     and checked. A bin's pings can have their nearest sample only in bins no farther than the least distance within
-    which some bin surely has one. Pings then meet the samples of these bins in equi joins whose large partitions Spark
-    splits, and only partial minima are shuffled by ping. Pings without a place, and all where there are no samples, get
-    none."""
-    places = samples.where("lon is not null and lat is not null and not isnan(lon) and not isnan(lat)")
+    which some bin surely has one. Of samples at one place the smallest stands for all, and each place of pings is searched
+    for once, in equi joins whose large partitions Spark splits. First comes the least distance, then the samples at it: the
+    pairs are only summed up in hash tables of numbers, neither sorted nor written. Pings without a place, and all where
+    there are no samples, get none."""
+    known = "lon is not null and lat is not null and not isnan(lon) and not isnan(lat)"
+    places = samples.where(known)
     bins, w = _occupied(places, width)
 
     def reach(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            i, j, of = [], [], []
-            for k, (a, b) in enumerate(zip(pdf["pi"].to_numpy(), pdf["pj"].to_numpy(), strict=True)):
-                apart = np.abs(bins - (a, b))
-                least, most = np.maximum(apart - 1, 0), apart + 1
-                # Squares in units of a bin: whole numbers, so the comparison is exact.
-                at = np.flatnonzero((least * least).sum(axis=1) <= (most * most).sum(axis=1).min())
-                i.append(bins[at, 0])
-                j.append(bins[at, 1])
-                of.append(np.full(len(at), k))
-            rows = np.concatenate(of) if of else np.zeros(0, int)
-            yield pd.DataFrame({"pi": pdf["pi"].to_numpy()[rows], "pj": pdf["pj"].to_numpy()[rows], "bi": np.concatenate(i) if i else [], "bj": np.concatenate(j) if j else []})
-
-    cells = pings.where("lon is not null and lat is not null and not isnan(lon) and not isnan(lat)").select("ping_id", "lon", "lat", _bin("lon", w).alias("pi"), _bin("lat", w).alias("pj"))
-    grid = places.select("seabed_id", F.col("lon").alias("s_lon"), F.col("lat").alias("s_lat"), "lithology", "pl_base", _bin("lon", w).alias("bi"), _bin("lat", w).alias("bj"))
+            met = [_within(bins, a, b) for a, b in zip(pdf["pi"].to_numpy(), pdf["pj"].to_numpy(), strict=True)]
+            rows = np.repeat(np.arange(len(met)), [len(x) for x in met])
+            at = np.concatenate(met) if met else np.zeros((0, 2), np.int64)
+            yield pd.DataFrame({"pi": pdf["pi"].to_numpy()[rows], "pj": pdf["pj"].to_numpy()[rows], "bi": at[:, 0], "bj": at[:, 1]})
+
+    own = pings.where(known).select("ping_id", "lon", "lat")
+    spots = own.select("lon", "lat").distinct()
+    in_bins = lambda df: df.withColumns({"pi": _bin("lon", w), "pj": _bin("lat", w)})
+    grid = places.groupBy(F.col("lon").alias("s_lon"), F.col("lat").alias("s_lat")).agg(F.min(F.struct("seabed_id", "lithology", "pl_base")).alias("s")).withColumns({"bi": _bin("s_lon", w), "bj": _bin("s_lat", w)})
     kind = "pi long, pj long, bi long, bj long"
-    near = cells.select("pi", "pj").distinct().mapInPandas(reach, kind) if len(bins) else pings.sparkSession.createDataFrame([], kind)
+    near = in_bins(own).select("pi", "pj").distinct().mapInPandas(reach, kind) if len(bins) else pings.sparkSession.createDataFrame([], kind)
+    met = near.join(grid, ["bi", "bj"]).drop("bi", "bj")
     d2 = (F.col("lon") - F.col("s_lon")) * (F.col("lon") - F.col("s_lon")) + (F.col("lat") - F.col("s_lat")) * (F.col("lat") - F.col("s_lat"))
-    met = near.join(grid, ["bi", "bj"]).drop("bi", "bj").join(cells, ["pi", "pj"]).withColumn("d2", d2)
-    best = met.groupBy("ping_id").agg(F.min(F.struct("d2", "seabed_id", "s_lon", "s_lat", "lithology", "pl_base")).alias("b")).select("ping_id", "b.*")
+    least = met.select("pi", "pj", "s_lon", "s_lat").join(in_bins(spots), ["pi", "pj"]).groupBy("lon", "lat").agg(F.min(d2).alias("least"))
+    best = met.join(in_bins(least), ["pi", "pj"]).where(d2 == F.col("least")).groupBy("lon", "lat").agg(F.min(F.struct(F.col("least").alias("d2"), "s.seabed_id", "s_lon", "s_lat", "s.lithology", "s.pl_base")).alias("b"))
+    best = own.join(best, ["lon", "lat"]).groupBy("ping_id").agg(F.min("b").alias("b")).select("ping_id", "b.*")
     dist = haversine_m(F.col("lat"), F.col("lon"), F.col("s_lat"), F.col("s_lon"), EQUATOR_M) / 1000
     return pings.join(best, "ping_id", "left").withColumn("dist_km", dist).drop("d2", "s_lon", "s_lat")
 

@@ -37,7 +37,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each class of near-duplicates: 5-word shingles, likeness LEAST_LIKENESS."""
+    """Keeps the document of the smallest id of each class of near-duplicates: 5-word shingles, likeness LEAST_LIKENESS.
+
+    SimHash fingerprints, BK-trees and components, as op6, with min-hash bands for the candidates beyond the trees' radius;
+    every link is confirmed by the exact likeness."""
     return simhash.keep_one(docs, least=LEAST_LIKENESS)
 
 

@@ -17,8 +17,9 @@ A null id is a document that no id names: it gets the smallest id it reaches, nu
 copies. Other columns are ignored. An empty table gives no rows.
 
 keep_one takes a least likeness instead: then documents are linked whose sets of 5-word shingles (made and hashed as above)
-have that Jaccard index at least, counted exactly. 64 bits can't find such pairs (at 0.8 they differ in up to 14 bits and
-more), so candidates are texts that agree on one of BANDS bands of ROWS min-hashes: a pair of likeness 0.8 is missed with
+have that Jaccard index at least, counted exactly. The first candidates are those whose sets' SimHashes the same BK-trees link. 2 of
+64 bits can't find all such pairs (at 0.8 they differ in up to 14 bits and more), so texts that agree on one of BANDS bands of
+ROWS min-hashes are candidates too: a pair of likeness 0.8 is missed with
 a chance of 6 in 10^5, one of 0.85 with 3 in 10^7. Texts of equal sets are one candidate. Each text is first compared with
 two others at most, heads of its buckets: of a bucket's texts the head is the one that meets most others in all its
 buckets, so that the copies of a text meet that text. Of the texts that are then in different classes, those of a
@@ -220,18 +221,20 @@ def bands(h: np.ndarray) -> list[int]:
 
 
 def shingle_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WIDE) -> DataFrame:
-    """id, kg_hash (of the text), fingerprint (the hash of the set of shingles), kg_size (of the set) and kg_bands (an array), all long."""
-    schema = T.StructType([df.schema[id_col], T.StructField("kg_hash", T.LongType()), T.StructField("fingerprint", T.LongType()), T.StructField("kg_size", T.LongType()), T.StructField("kg_bands", T.ArrayType(T.LongType()))])
+    """id, kg_hash (of the text), fingerprint (the hash of the set of shingles), kg_size (of the set), kg_print (its SimHash) and
+    kg_bands (an array), all long."""
+    schema = T.StructType([df.schema[id_col], T.StructField("kg_hash", T.LongType()), T.StructField("fingerprint", T.LongType()), T.StructField("kg_size", T.LongType()), T.StructField("kg_print", T.LongType()), T.StructField("kg_bands", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in portions(batches, "kg_text", 1_000_000):
-            prints, sizes, lists = [], [], []
+            prints, sizes, votes, lists = [], [], [], []
             for x in texts:
                 h = np.unique(shingle_hashes(x, size))
                 prints.append(xxhash.xxh64_intdigest(h.tobytes(), SEED))
                 sizes.append(len(h))
+                votes.append(vote(h))
                 lists.append(np.array(bands(h), np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(np.array(votes, np.uint64).view(np.int64)), pa.array(lists, pa.list_(pa.int64()))], names=schema.names)
 
     return df.select(named(id_col).alias("kg_id"), F.xxhash64(named(text_col)).alias("kg_hash"), named(text_col).alias("kg_text")).mapInArrow(run, schema)
 
@@ -254,7 +257,8 @@ def _order(id_col: str) -> Column:
 def alike(df: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text", size: int = WIDE) -> tuple[DataFrame, DataFrame]:
     """As classes, but a fingerprint is the hash of a set of shingles, and sets of a Jaccard index of `least` at least are linked."""
     prints = staged(shingle_sets(df, id_col, text_col, size), "sets")
-    own = staged(prints.groupBy(F.col("fingerprint").alias("fp")).agg(F.min(_order(id_col)).alias("kg_first"), F.min(named(id_col)).alias("kg_least"), F.first("kg_size").alias("size"), F.first("kg_bands").alias("kg_bands")), "different")
+    own = staged(prints.groupBy(F.col("fingerprint").alias("fp")).agg(F.min(_order(id_col)).alias("kg_first"), F.min(named(id_col)).alias("kg_least"), F.first("kg_size").alias("size"), F.first("kg_print").alias("kg_print"), F.first("kg_bands").alias("kg_bands")), "different")
+    close = staged(print_pairs(own), "close")
     each = own.select("fp", "size", F.posexplode("kg_bands").alias("band", "value"))
     filled = each.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1").select(F.col("band").alias("b"), F.col("value").alias("x"), "n")
     met = staged(each.join(filled, (F.col("band") == F.col("b")) & (F.col("value") == F.col("x"))).select("band", "value", "fp", "size", "n"), "buckets")
@@ -263,9 +267,10 @@ def alike(df: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "
     may = lambda a, b: (a >= F.lit(least) * b) & (b >= F.lit(least) * a)
     pairs = met.join(heads, (F.col("band") == F.col("b")) & (F.col("value") == F.col("x"))).where((F.col("head.fp") != F.col("fp")) & may(F.col("head.size"), F.col("size")))
     pairs = pairs.groupBy(F.col("head.fp").alias("u"), F.col("fp").alias("v")).agg(F.count("*").alias("c"), F.max("head.meets").alias("meets")).groupBy("v").agg(F.max(F.struct("c", "u")).alias("best"), F.max(F.struct("meets", "u")).alias("central"))
-    pairs = pairs.select(F.explode(F.array_distinct(F.array("best.u", "central.u"))).alias("u"), "v")
-    # One row's text stands for each set that shares a bucket.
-    asked = staged(own.join(met.select("fp").distinct(), "fp", "left_semi").select("fp", F.col("kg_first.b").alias("kg_id"), F.col("kg_first.c").alias("kg_key")), "asked")
+    pairs = pairs.select(F.explode(F.array_distinct(F.array("best.u", "central.u"))).alias("u"), "v").unionByName(close).distinct()
+    # One row's text stands for each set that shares a bucket or is near by its SimHash.
+    met_fps = met.select("fp").unionByName(close.select(F.explode(F.array("u", "v")).alias("fp"))).distinct()
+    asked = staged(own.join(met_fps, "fp", "left_semi").select("fp", F.col("kg_first.b").alias("kg_id"), F.col("kg_first.c").alias("kg_key")), "asked")
     texts = df.select(named(id_col).alias("own_id"), F.xxhash64(named(text_col)).alias("own_key"), named(text_col).alias("kg_text"))
     texts = texts.join(asked, F.col("own_id").eqNullSafe(F.col("kg_id")) & (F.col("own_key") == F.col("kg_key")))
     sets = staged(_members(texts, size).dropDuplicates(["fp"]), "members")
@@ -307,6 +312,16 @@ def alike(df: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "
     return prints, _rooted(own, near.unionByName(confirmed(rest)))
 
 
+def print_pairs(own: DataFrame) -> DataFrame:
+    """Pairs (u, v) of sets (fp) whose SimHashes (kg_print) the BK-trees link: sets of one SimHash with the smallest of them, and
+    the smallest ones of SimHashes within the radius along a forest's edges, so fewer pairs than sets and edges."""
+    heads = own.groupBy("kg_print").agg(F.min("fp").alias("head"))
+    same = own.join(heads, "kg_print").where("fp <> head").select(F.col("head").alias("u"), F.col("fp").alias("v"))
+    edges = links(heads.select(F.col("kg_print").alias("fp")))
+    at = lambda x: heads.select(F.col("kg_print").alias(x), F.col("head").alias(f"kg_{x}"))
+    return same.unionByName(edges.join(at("u"), "u").join(at("v"), "v").select(F.col("kg_u").alias("u"), F.col("kg_v").alias("v")))
+
+
 _FACTS = ("fp", "size", "root", "common", "parts")
 
 

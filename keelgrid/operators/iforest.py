@@ -18,23 +18,38 @@ def _usual(n: int) -> float:
 
 
 def anomaly(x: np.ndarray, trees: int = 25, size: int = 256, seed: int = 42) -> np.ndarray:
-    """Scores in (0, 1), larger for rows that random cuts isolate sooner. All rows go down each tree together."""
+    """Scores in (0, 1), larger for rows that random cuts isolate sooner. All rows go down each tree together, each with its own
+    number, so that a node holds what it needs and looks nothing up; where the sample is all rows one table serves for both."""
     random, n = np.random.default_rng(seed), len(x)
-    size = min(size, n)
+    size, d = min(size, n), x.shape[1]
     most, depth = math.ceil(math.log2(max(size, 2))), np.zeros(n)
+    usual = [_usual(k) for k in range(size + 1)]
+    whole = size == n
+    # Values, and their negatives, so that one minimum gives both bounds; the last column is the row's number.
+    table = np.column_stack([x, -x, np.arange(n)])
     for _ in range(trees):
-        work = [(random.choice(n, size, replace=False), np.arange(n), 0)]
+        sample = table[random.choice(n, size, replace=False)]
+        work, ends, paths = [(sample, sample if whole else table, 0)], [], []
         while work:
             sample, rows, level = work.pop()
-            low, high = (x[sample].min(axis=0), x[sample].max(axis=0)) if len(sample) else (0, 0)
-            wide = np.flatnonzero(np.asarray(high) > np.asarray(low)) if len(sample) > 1 else []
-            if level >= most or not len(wide) or not len(rows):
-                depth[rows] += level + _usual(len(sample))
+            wide = []
+            if level < most and len(sample) > 1 and len(rows):
+                low = np.minimum.reduce(sample, axis=0).tolist()
+                wide = [f for f in range(d) if -low[d + f] > low[f]]
+            if not wide:
+                ends.append(rows[:, -1])
+                paths.append(level + usual[len(sample)])
                 continue
-            f = random.choice(wide)
-            cut = random.uniform(low[f], high[f])
-            a, b = x[sample, f] < cut, x[rows, f] < cut
-            work += [(sample[a], rows[b], level + 1), (sample[~a], rows[~b], level + 1)]
+            f = wide[random.integers(0, len(wide))] if len(wide) > 1 else wide[0]
+            cut = low[f] + (-low[d + f] - low[f]) * random.random()
+            a = sample[:, f] < cut
+            left, right = sample[a], sample[~a]
+            if whole:
+                work += ((left, left, level + 1), (right, right, level + 1))
+            else:
+                b = rows[:, f] < cut
+                work += ((left, rows[b], level + 1), (right, rows[~b], level + 1))
+        depth[np.concatenate(ends).astype(np.intp)] += np.repeat(paths, [len(e) for e in ends])
     return 2 ** (-depth / trees / max(_usual(size), 1e-9))
 
 

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from keelgrid.functions.scalar import clamp, finite_or_zero
 from keelgrid.operators.kinematics import order
@@ -177,13 +180,37 @@ def least_length(df: DataFrame, share: float = 0.75) -> float:
 
 
 def smoothed(df: DataFrame, least: float, key: str = "seg_id", label: str = "behaviour") -> DataFrame:
-    """Adds behaviour_smooth (`unknown` where no neighbour could be taken) and is_dredging. A segment is one vessel's day."""
-    fields = df.schema.simpleString()[len("struct<") : -1]
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "ping_id"])
-        return pdf.assign(behaviour_smooth=[x or "unknown" for x in smooth(pdf[label].tolist(), pdf["speed"].tolist(), least)])
-
-    out = df.groupBy(key).applyInPandas(one, fields + ",behaviour_smooth:string")
-    return out.withColumn("is_dredging", (F.col("behaviour_smooth") == "dredging").cast("int"))
-
+    """Adds behaviour_smooth (`unknown` where no neighbour could be taken) and is_dredging. A segment is one vessel's day.
+
+    Segments are short and many, so they are not groups of their own: rows come sorted and a batch's whole segments are smoothed
+    together; only a segment that a batch cuts waits for the next one."""
+    schema = T.StructType([*df.schema.fields, T.StructField("behaviour_smooth", T.StringType())])
+
+    def starts(t: pa.Table) -> np.ndarray:
+        code = t.column(key).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+        return np.append(0, np.flatnonzero(code[1:] != code[:-1]) + 1)
+
+    def done(t: pa.Table, at: list[int]) -> Iterator[pa.RecordBatch]:
+        labels, speeds = t.column(label).to_pylist(), t.column("speed").cast(pa.float64()).to_numpy().tolist()
+        names = [x or "unknown" for a, b in zip(at, [*at[1:], t.num_rows], strict=True) for x in smooth(labels[a:b], speeds[a:b], least)]
+        yield from t.append_column("behaviour_smooth", pa.array(names, pa.string())).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            ends = pa.Table.from_batches([held[0].slice(0, 1), batch.slice(batch.num_rows - 1)])
+            if len(starts(ends)) == 1:
+                continue  # all of one segment so far
+            t = pa.Table.from_batches(held)
+            at = starts(t).tolist()
+            yield from done(t.slice(0, at[-1]), at[:-1])
+            held = t.slice(at[-1]).to_batches()
+        if held:
+            t = pa.Table.from_batches(held)
+            yield from done(t, starts(t).tolist())
+
+    rows = df.repartition(key).sortWithinPartitions(F.col(key), F.col("ts").asc_nulls_last(), F.col("ping_id").asc_nulls_last())
+    return rows.mapInArrow(run, schema).withColumn("is_dredging", (F.col("behaviour_smooth") == "dredging").cast("int"))

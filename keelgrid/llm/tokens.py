@@ -71,10 +71,12 @@ class Encoder:
         there = [i for i, x in enumerate(texts) if x]
         odd = self._odd([texts[i].encode() for i in there]) if self.fast and there else [True] * len(there)
         # Case and form may change before the library looks for special tokens, so a text is asked as it is and lower-cased.
-        odd = [o or any(x in texts[i] or x in texts[i].lower() for x in self.special) for i, o in zip(there, odd, strict=True)]
+        low = [texts[i].lower() if self.words or self.special else "" for i in there]
+        odd = [o or any(x in texts[i] or x in y for x in self.special) for i, o, y in zip(there, odd, low, strict=True)]
         plain, rest = [i for i, o in zip(there, odd, strict=True) if not o], [i for i, o in zip(there, odd, strict=True) if o]
         if plain:
-            for i, ids in zip(plain, self._cut([(texts[i].lower() if self.words else texts[i]).encode() for i in plain]), strict=True):
+            cut = [(y if self.words else texts[i]).encode() for i, o, y in zip(there, odd, low, strict=True) if not o]
+            for i, ids in zip(plain, self._cut(cut), strict=True):
                 out[i] = ids
         for at in range(0, len(rest), 32):
             some = rest[at : at + 32]
@@ -105,30 +107,25 @@ class Encoder:
         starts = np.flatnonzero(start)
         offsets = pa.py_buffer(np.append(starts, len(raw)).astype(np.int32))
         units = pa.Array.from_buffers(pa.binary(), len(starts), [None, offsets, pa.py_buffer(raw)]).dictionary_encode()
-        known = self._known(units.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
-        pool = np.frombuffer(b"".join(known), "<u4")
-        at = np.cumsum(sizes) - sizes
-        codes = units.indices.to_numpy()
-        n = sizes[codes]
-        ends = np.cumsum(n)
-        ids = pool[np.repeat(at[codes] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
-        stops = (ends[np.searchsorted(starts, edges) - 1] * 4).tolist()
-        return [ids[a:b] for a, b in zip([0, *stops], stops)]
+        # Arrow joins the ids of all units; its lists of Python's bytes are slow, numpy's are not.
+        known = self._known(units.dictionary.to_numpy(zero_copy_only=False).tolist())
+        _, ends, ids = pa.array(known, pa.large_binary()).take(units.indices).buffers()
+        stops = np.frombuffer(ends, np.int64)[np.searchsorted(starts, edges)].tolist()
+        view = memoryview(ids or b"")
+        return [bytes(view[a:b]) for a, b in zip([0, *stops], stops)]
 
     def _known(self, words: list[bytes]) -> list[bytes]:
         if len(self.cache) > KEEP:
             self.older, self.cache = self.cache, {}
-        cache, older, new = self.cache, self.older, []
-        for w in words:
-            if w not in cache:
-                if w in older:
-                    cache[w] = older[w]
-                else:
-                    new.append(w)
-        if new:
-            self._new(new)
-        return [cache[w] for w in words]
+        cache, older = self.cache, self.older
+        out = list(map(cache.get, words))
+        if None in out:
+            missed = [w for w, ids in zip(words, out, strict=True) if ids is None]
+            cache.update({w: older[w] for w in missed if w in older})
+            if new := [w for w in missed if w not in cache]:
+                self._new(new)
+            out = [cache[w] if ids is None else ids for w, ids in zip(words, out, strict=True)]
+        return out
 
     def _single(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from keelgrid.llm.features import gram_counts
 from keelgrid.llm.sampling import chosen, key_of, shares
-from keelgrid.llm.shared import fold, named, portions
+from keelgrid.llm.shared import fold, give_back, named, portions
 
 BUCKETS, SAMPLE_ROWS, SAMPLE_CHARS = 1 << 13, 6000, 20_000_000
 UNDETERMINED = "und"
@@ -174,4 +174,5 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", labe
     columns of these names, which must not be among those kept."""
     out = fold(id_col, parts) == held
     model = fit(df.where(~out), text_col, label_col, id_col)
+    give_back()  # the driver too lives on, and the fit's examples are a hundred MB in small pieces
     return predict(df, model, text_col, keep or (id_col,), names[:2]).withColumn(names[2], fold(id_col, parts) == held)

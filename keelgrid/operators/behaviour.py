@@ -56,12 +56,15 @@ class Mixture:
 def fit_mixture(df: DataFrame, ks: tuple[int, ...] = (3, 4, 5), features: tuple[str, ...] = FEATURES, rows: int | None = 2_000_000, ident: str = "ping_id", seed: int = 42, least: int = 200) -> Mixture:
     """The mixture with the largest 2 logLik - p ln n among ks, components by mean speed. Fitted on at most about `rows` rows
     (a documented sample, by a hash of the id), or with None on all, in Spark's own estimator."""
-    count = df.count()
+    # Plain columns are kept, not vectors: of vectors kept here Spark ML would unpack every one in every step.
+    whole = df.select(*features, *([] if rows is None else [ident])).persist()
+    count = whole.count()
     if count < least:
+        whole.unpersist()
         raise ValueError(f"{count} rows are too few for a mixture; {least} are needed")
-    data = df if rows is None or count <= rows else df.where(F.pmod(F.xxhash64(ident, F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * rows / count))
-    data = VectorAssembler(inputCols=list(features), outputCol="kg_x").transform(data).select("kg_x").persist()
-    n, d, best = data.count(), len(features), None
+    data = whole if rows is None or count <= rows else whole.where(F.pmod(F.xxhash64(ident, F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * rows / count))
+    n, d, best = count if data is whole else data.count(), len(features), None
+    data = VectorAssembler(inputCols=list(features), outputCol="kg_x").transform(data).select("kg_x")
     for k in ks:
         m = GaussianMixture(featuresCol="kg_x", k=k, seed=seed, maxIter=60, tol=1e-3).fit(data)
         free = (k - 1) + k * d + k * d * (d + 1) // 2
@@ -69,7 +72,7 @@ def fit_mixture(df: DataFrame, ks: tuple[int, ...] = (3, 4, 5), features: tuple[
         if best is None or bic > best.bic:
             parts = sorted(((float(w), [float(x) for x in g.mean], g.cov.toArray().tolist()) for w, g in zip(m.weights, m.gaussians, strict=True)), key=lambda p: p[1][0])
             best = Mixture(k, [p[0] for p in parts], [p[1] for p in parts], [p[2] for p in parts], bic)
-    data.unpersist()
+    whole.unpersist()
     return best
 
 

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from keelgrid.operators import seabed
 
 
@@ -34,3 +35,37 @@ def test_nearest_by_brute_force_with_copies_ties_and_odd_rows(spark):
     assert len(got) == len(pings)
     for r in got:
         assert (r.seabed_id, r.lithology) == (best[r.ping_id][1:] if r.ping_id in best else (None, None))
+
+
+_SAMPLE = "seabed_id long, lon double, lat double, lithology string, pl_base double"
+
+
+@pytest.mark.parametrize("most", [100_000, 10])
+def test_pings_that_stand_once_by_brute_force(spark, monkeypatch, most):
+    """Few places are searched as pings are read, more in joins; both say the same, with nulls and ties."""
+    monkeypatch.setattr(seabed, "MOST_PLACES", most)
+    monkeypatch.setattr(seabed, "AT_ONCE", 50)
+    random = np.random.default_rng(5)
+    samples = [(i, float(random.integers(0, 64)) / 64 + 120 * (i % 2), float(random.integers(-8, 8)) / 8, None if i % 5 else "x", i / 4) for i in range(500)]
+    pings = [(i, float(random.integers(-64, 64)) / 64 + 60 * (i % 3), float(random.integers(-16, 16)) / 8) for i in range(-200, 200)]
+    odd = [(None, 0.5, 0.5), (None, 0.5, 0.5), (900, None, 0.5), (901, 0.5, float("nan")), (902, float("inf"), 0.5)]
+    got = seabed.nearest(spark.createDataFrame(pings + odd, "ping_id long, lon double, lat double"), spark.createDataFrame(samples, _SAMPLE)).collect()
+    best = {i: min(((x - s[1]) * (x - s[1]) + (y - s[2]) * (y - s[2]), s[0], s[3], s[4]) for s in samples)[1:] for i, x, y in pings}
+    assert len(got) == len(pings) + len(odd)
+    for r in got:
+        assert (r.seabed_id, r.lithology, r.pl_base) == best.get(r.ping_id, (None, None, None))
+
+
+def test_no_ping_is_shuffled_where_places_are_few(spark):
+    pings = spark.range(1000).selectExpr("id as ping_id", "id % 40 / 8D as lon", "id % 25 / 8D as lat")
+    samples = spark.range(500).selectExpr("id as seabed_id", "id % 16 / 4D as lon", "id % 9 / 4D as lat", "'x' as lithology", "1D as pl_base")
+    df = seabed.nearest(pings, samples)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_repeated_ids(spark):
+    ids = lambda *x: seabed.repeated_ids(spark.createDataFrame([(i,) for i in x], "ping_id long"))
+    assert not ids(*range(-130, 130), None, None, 2**63 - 1, -(2**63)) and not ids()
+    assert all(ids(*range(-130, 130), i) for i in (-130, -1, 0, 63, 64)) and ids(2**63 - 1, 2**63 - 1)

@@ -445,8 +445,13 @@ def lithology_counts(spark, d):
 
 @query(_NEAR + " SELECT p.ping_id, p.ssvid, n.lithology, n.pl_base FROM pings p LEFT JOIN (SELECT * FROM near WHERE dist_km <= 10) n ON n.ping_id = p.ping_id")
 def pings_with_lithology(spark, d):
-    kept = seabed.split(_near(spark, d))[0].select("ping_id", "lithology", "pl_base")
-    return a.pings(spark, d).select("ping_id", "ssvid").join(kept, "ping_id", "left")
+    pings = a.pings(spark, d)
+    repeated = seabed.repeated_ids(pings)
+    near = seabed.nearest(pings, a.seabed(spark, d), repeated=repeated)
+    if not repeated:
+        return near.select("ping_id", "ssvid", *(F.when(seabed.near_enough(), F.col(c)).alias(c) for c in ("lithology", "pl_base")))
+    kept = seabed.split(near)[0].select("ping_id", "lithology", "pl_base")
+    return pings.select("ping_id", "ssvid").join(kept, "ping_id", "left")
 
 
 @query(f"SELECT n_nationkey, CASE n_nationkey % 8 WHEN 0 THEN 0.275e0 WHEN 1 THEN 16.8e0 WHEN 2 THEN 4.76e0 WHEN 3 THEN 12.3e0 WHEN 4 THEN 1.67e0 ELSE 1e0 END AS k_fast, CASE WHEN n_nationkey % 2 = 0 THEN CAST(n_nationkey AS INT) END AS tile FROM nation")

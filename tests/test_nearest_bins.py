@@ -69,3 +69,11 @@ def test_repeated_ids(spark):
     ids = lambda *x: seabed.repeated_ids(spark.createDataFrame([(i,) for i in x], "ping_id long"))
     assert not ids(*range(-130, 130), None, None, 2**63 - 1, -(2**63)) and not ids()
     assert all(ids(*range(-130, 130), i) for i in (-130, -1, 0, 63, 64)) and ids(2**63 - 1, 2**63 - 1)
+
+
+def test_lithology_is_not_joined_back_to_the_pings(spark, small):
+    from keelgrid.plans import vessel
+
+    df = vessel.pings_with_lithology(spark, small)
+    assert df.columns == ["ping_id", "ssvid", "lithology", "pl_base"] and df.count() == spark.read.parquet(f"{small}/events.parquet").count()
+    assert df._jdf.queryExecution().executedPlan().toString().count("events.parquet") <= 1 and "SortMergeJoin" not in df._jdf.queryExecution().toString()

@@ -97,8 +97,12 @@ def lability(pings: DataFrame, most_km: float = 10.0) -> DataFrame:
 
 
 def duration_years(pings: DataFrame, period: Column | None = None) -> DataFrame:
-    """In how many different years (or other periods) a cell has pings."""
-    return pings.where("grid_id is not null").select("grid_id", (F.year("ts") if period is None else period).alias("year")).distinct().groupBy("grid_id").agg(F.count("*").alias("years_trawled"))
+    """In how many different years (or other periods, by whole numbers) a cell has pings; unknown ones do not count. Periods are marked in
+    ranges of 64, so a cell's pings are one row before they are shuffled."""
+    year = (F.year("ts") if period is None else period).cast("long")
+    marked = pings.where("grid_id is not null").select("grid_id", F.shiftright(year, 6).alias("kg_range"), F.call_function("shiftleft", F.lit(1).cast("long"), year.bitwiseAND(63).cast("int")).alias("kg_mark"))
+    marked = marked.groupBy("grid_id", "kg_range").agg(F.bit_or("kg_mark").alias("kg_marks"))
+    return marked.groupBy("grid_id").agg(F.coalesce(F.sum(F.bit_count("kg_marks")), F.lit(0)).alias("years_trawled"))
 
 
 def merged(*parts: DataFrame) -> DataFrame:

@@ -39,8 +39,8 @@ def binned(df: DataFrame, value: str, size_deg: float = 1.0) -> DataFrame:
 
 
 def completed(cells: DataFrame, every: DataFrame, columns: list[str]) -> DataFrame:
-    """Every grid_id of `every`, with the cells' columns, 0 where a cell has none. The world's grid is not made."""
-    return every.select("grid_id").distinct().join(cells.select("grid_id", *columns), "grid_id", "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in columns})
+    """Every grid_id of the cells and of `every`, with the cells' columns, 0 where a cell has none. The world's grid is not made."""
+    return every.select("grid_id").distinct().join(cells.select("grid_id", *columns), "grid_id", "full").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in columns})
 
 
 def daily_segments(df: DataFrame, most_m: float | None = None) -> DataFrame:

@@ -607,7 +607,8 @@ def fallback_stats(spark, d):
 
 @query(_fi_sql("default") + ", every AS (SELECT grid_id FROM sar UNION SELECT grid_id FROM snap WHERE grid_id IS NOT NULL) SELECT e.grid_id, round(coalesce(f_i_full, 0), 6) AS f_i_full, round(coalesce(svr, 0), 6) AS svr FROM every e LEFT JOIN fi ON fi.grid_id = e.grid_id")
 def cells_completed(spark, d):
-    every = _swept(spark, d).select("grid_id").union(_snapped(spark, d).where("grid_id is not null").select("grid_id"))
+    """The swept cells are the index's own; only those with pings are looked up beside it."""
+    every = _snapped(spark, d).where("grid_id is not null").select("grid_id")
     return rounded(grid.completed(_fi(spark, d, "default"), every, ["f_i_full", "svr"]))
 
 

@@ -3,6 +3,7 @@
 from datetime import datetime, timedelta
 
 from keelgrid.operators import grid
+from keelgrid.plans import vessel
 from pyspark.sql import functions as F
 
 
@@ -18,3 +19,13 @@ def test_periods_are_counted_from_marks(spark):
         got = grid.duration_years(df, period)
         assert {r.grid_id: r.years_trawled for r in got.collect()} == want and got.schema["years_trawled"].dataType.simpleString() == "bigint"
     assert "bit_or" in _plan(got)
+
+
+def test_cells_of_either_side_are_completed(spark):
+    cells = spark.createDataFrame([(1, 0.5), (2, None), (4, 0.25)], "grid_id long, f double")
+    every = spark.createDataFrame([(2,), (3,), (3,), (4,)], "grid_id long")
+    assert sorted(map(tuple, grid.completed(cells, every, ["f"]).collect())) == [(1, 0.5), (2, 0.0), (3, 0.0), (4, 0.25)]
+
+
+def test_swept_cells_are_worked_out_once(spark, small):
+    assert _plan(vessel.cells_completed(spark, small)).count("explode(") == _plan(vessel.fi_default(spark, small)).count("explode(")

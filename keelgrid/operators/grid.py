@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from keelgrid.functions import grid as g
 from keelgrid.functions.geodesic import geodesic_m
 
-CELL_AREA_M2 = g.CELL * g.CELL
+#: Width of the tiles by which segments are dealt, in metres.
+CELL_AREA_M2, TILE_M = g.CELL * g.CELL, 64 * g.CELL
 _ENDS = ("x0", "y0", "x1", "y1")
 
 
@@ -43,6 +44,11 @@ def completed(cells: DataFrame, every: DataFrame, columns: list[str]) -> DataFra
     return every.select("grid_id").distinct().join(cells.select("grid_id", *columns), "grid_id", "full").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in columns})
 
 
+def _length() -> Column:
+    dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    return F.sqrt(dx * dx + dy * dy)
+
+
 def daily_segments(df: DataFrame, most_m: float | None = None) -> DataFrame:
     """From projected pings: the straight ways between one vessel's consecutive pings of a day, each with the width and depth of the
     day's first ping. Longer ways than most_m are left out."""
@@ -53,7 +59,7 @@ def daily_segments(df: DataFrame, most_m: float | None = None) -> DataFrame:
         "ssvid", "day", F.first("dredge_width_m").over(whole).alias("width_m"), F.first("dredging_depth_m").over(whole).alias("depth_m"),
         F.lag("x").over(line).alias("x0"), F.lag("y").over(line).alias("y0"), F.col("x").alias("x1"), F.col("y").alias("y1"),
     ).where("x0 is not null")
-    rows = rows.withColumn("length_m", F.sqrt((F.col("x1") - F.col("x0")) * (F.col("x1") - F.col("x0")) + (F.col("y1") - F.col("y0")) * (F.col("y1") - F.col("y0"))))
+    rows = rows.withColumn("length_m", _length())
     return rows if most_m is None else rows.where(F.col("length_m") <= most_m)
 
 
@@ -63,9 +69,13 @@ def daily_tracks(segments: DataFrame) -> DataFrame:
 
 def swept(segments: DataFrame, true_length: bool = False) -> DataFrame:
     """Per cell the length, and length times width and times width times depth. The cells of a segment come from closed
-    formulas: no spatial join, no tiles, one shuffle of partial sums. Lengths are the map's, which is equal-area and so
+    formulas: no spatial join, no overlaps. Segments are first dealt by the tile in which they begin, so a cell's sums come from few
+    tasks: at most a row for each segment is shuffled, and then about one for each cell, however many cells a segment crosses. How
+    the tiles are dealt changes no sum; Spark splits crowded ones. Lengths are the map's, which is equal-area and so
     stretches ways; with true_length they are those of the geodesics between the points where the segment meets the cell's borders."""
-    ways = segments.where("length_m > 0").select("width_m", "depth_m", *_ENDS, "length_m", g.crossings(*map(F.col, _ENDS)).alias("kg_all"))
+    tile = (F.floor((F.col("x0") - F.lit(g.XMIN)) / TILE_M).alias("kg_tx"), F.floor((F.col("y0") - F.lit(g.YMIN)) / TILE_M).alias("kg_ty"))
+    ways = segments.where("length_m > 0").select(*tile, "width_m", "depth_m", *_ENDS).hint("rebalance", "kg_tx", "kg_ty").drop("kg_tx", "kg_ty")
+    ways = ways.withColumns({"length_m": _length(), "kg_all": g.crossings(*map(F.col, _ENDS))})
     cells, length = (_geodesics(ways), F.col("kg_m")) if true_length else (ways.select("width_m", "depth_m", F.explode("kg_all").alias("c")), F.col("c.length_m"))
     cells = cells.select(g.grid_id(F.col("c.row"), F.col("c.col")).alias("grid_id"), length.alias("d"), "width_m", "depth_m").where("grid_id is not null")
     return cells.groupBy("grid_id").agg(F.sum(F.col("d") * F.col("width_m")).alias("sum_dw"), F.sum(F.col("d") * F.col("width_m") * F.col("depth_m")).alias("sum_dw_pd"), F.sum("d").alias("sum_d"))

@@ -489,7 +489,7 @@ segs AS (SELECT *, sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) AS length
 
 
 def _segments(spark, d):
-    return grid.daily_segments(grid.projected(_spec_pings(spark, d)))
+    return grid.daily_segments(grid.projected(fleet.with_specs(a.pings(spark, d, by_vessel=True), a.specs(spark, d))))
 
 
 @query(_SEG + " SELECT ssvid, day, count(*) AS segments, round(sum(length_m), 3) AS length_m, round(any_value(width_m), 6) AS width_m FROM segs GROUP BY ssvid, day")

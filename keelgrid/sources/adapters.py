@@ -47,9 +47,11 @@ def conform(df: DataFrame, schema: T.StructType, aliases: dict[str, str] | None
     return df.select(*columns)
 
 
-def pings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pings(spark: SparkSession, sf_dir: str, by_vessel: bool = False) -> DataFrame:
+    """by_vessel: events are dealt by vessel before anything is worked out from them, so places and speeds are not shuffled."""
     e, u = F.col("event_id"), F.col("user_id")
-    return table(spark, sf_dir, "events").select(
+    events = table(spark, sf_dir, "events")
+    return (events.repartition("user_id") if by_vessel else events).select(
         e.alias("ping_id"), u.alias("ssvid"), "ts", F.concat_ws("_", u.cast("string"), F.date_format("ts", "yyyyMMdd")).alias("seg_id"),
         F.least(F.col("value") / 12, F.lit(25.0)).alias("speed"), ((e * 37) % 360).cast("double").alias("course"),
         ((u * 37) % 300 - 150 + ((e * 13) % 200) / F.lit(1000.0)).alias("lon"), ((u * 17) % 120 - 60 + ((e * 7) % 200) / F.lit(1000.0)).alias("lat"),

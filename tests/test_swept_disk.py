@@ -37,6 +37,14 @@ def test_a_cell_has_sums_of_few_tasks(spark):
     assert sums[-1].metrics().apply("numOutputRows").value() < 4.5 * cells
 
 
+@pytest.mark.parametrize("name", ["fallback_stats", "fi_default"])
+def test_no_places_are_dealt_by_vessel(spark, small, name):
+    """A place is worked out from an event behind the shuffle: it carries what it must only."""
+    plan = vessel.QUERIES[name](spark, small)._jdf.queryExecution().optimizedPlan()
+    dealt = [n for n in _nodes(plan) if n.nodeName() == "RepartitionByExpression"]
+    assert [sorted(n.output().apply(i).name() for i in range(n.output().size())) for n in dealt] == [["event_id", "ts", "user_id"]]
+
+
 def _nodes(node) -> list:
     """A plan's nodes, the last next to the tables."""
     if node.nodeName() == "AdaptiveSparkPlan":

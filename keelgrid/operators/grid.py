@@ -76,7 +76,8 @@ def swept(segments: DataFrame, true_length: bool = False) -> DataFrame:
     tile = (F.floor((F.col("x0") - F.lit(g.XMIN)) / TILE_M).alias("kg_tx"), F.floor((F.col("y0") - F.lit(g.YMIN)) / TILE_M).alias("kg_ty"))
     ways = segments.where("length_m > 0").select(*tile, "width_m", "depth_m", *_ENDS).hint("rebalance", "kg_tx", "kg_ty").drop("kg_tx", "kg_ty")
     ways = ways.withColumns({"length_m": _length(), "kg_all": g.crossings(*map(F.col, _ENDS))})
-    cells, length = (_geodesics(ways), F.col("kg_m")) if true_length else (ways.select("width_m", "depth_m", F.explode("kg_all").alias("c")), F.col("c.length_m"))
+    # A plain explode would first ask whether each segment has cells at all, and so work them out several times; each has.
+    cells, length = (_geodesics(ways), F.col("kg_m")) if true_length else (ways.select("width_m", "depth_m", F.explode_outer("kg_all").alias("c")), F.col("c.length_m"))
     cells = cells.select(g.grid_id(F.col("c.row"), F.col("c.col")).alias("grid_id"), length.alias("d"), "width_m", "depth_m").where("grid_id is not null")
     return cells.groupBy("grid_id").agg(F.sum(F.col("d") * F.col("width_m")).alias("sum_dw"), F.sum(F.col("d") * F.col("width_m") * F.col("depth_m")).alias("sum_dw_pd"), F.sum("d").alias("sum_d"))
 

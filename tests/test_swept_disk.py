@@ -37,7 +37,7 @@ def test_a_cell_has_sums_of_few_tasks(spark):
     assert sums[-1].metrics().apply("numOutputRows").value() < 4.5 * cells
 
 
-@pytest.mark.parametrize("name", ["fallback_stats", "fi_default"])
+@pytest.mark.parametrize("name", ["fallback_stats", "fi_default", "map_bins"])
 def test_no_places_are_dealt_by_vessel(spark, small, name):
     """A place is worked out from an event behind the shuffle: it carries what it must only."""
     plan = vessel.QUERIES[name](spark, small)._jdf.queryExecution().optimizedPlan()
@@ -45,6 +45,11 @@ def test_no_places_are_dealt_by_vessel(spark, small, name):
     assert [sorted(n.output().apply(i).name() for i in range(n.output().size())) for n in dealt] == [["event_id", "ts", "user_id"]]
 
 
+def test_crossings_are_worked_out_once(spark, small):
+    """Neither a filter nor the rows before the shuffle of segments have them."""
+    assert _plan(vessel.map_bins(spark, small)).count("array_distinct(") == 1
+
+
 def _nodes(node) -> list:
     """A plan's nodes, the last next to the tables."""
     if node.nodeName() == "AdaptiveSparkPlan":

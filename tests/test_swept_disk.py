@@ -37,7 +37,7 @@ def test_a_cell_has_sums_of_few_tasks(spark):
     assert sums[-1].metrics().apply("numOutputRows").value() < 4.5 * cells
 
 
-@pytest.mark.parametrize("name", ["fallback_stats", "fi_default", "map_bins", "fi_conservative", "fi_reduced"])
+@pytest.mark.parametrize("name", ["fallback_stats", "fi_default", "map_bins", "fi_conservative", "fi_reduced", "fi_upper_bound"])
 def test_no_places_are_dealt_by_vessel(spark, small, name):
     """A place is worked out from an event behind the shuffle: it carries what it must only."""
     plan = vessel.QUERIES[name](spark, small)._jdf.queryExecution().optimizedPlan()

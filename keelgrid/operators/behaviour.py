@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keelgrid.functions.scalar import clamp, finite_or_zero
+from keelgrid.functions.scalar import clamp
 from keelgrid.operators.kinematics import order
 from keelgrid.operators.quantiles import quantiles
 
@@ -30,13 +30,15 @@ def scales(df: DataFrame) -> tuple[float, float]:
 
 
 def normed(df: DataFrame, acc: float, turn_: float) -> DataFrame:
-    """Inputs of the mixture and of the score, all finite."""
+    """Inputs of the mixture and of the score, all finite. What is cut to [0, 1] can only be null (a NaN is cut to 1), and the kernel null or NaN;
+    no more is asked, as Java compiles no long methods."""
+    cut = lambda x: F.coalesce(clamp(x), F.lit(0.0))
     return df.withColumns({
-        "norm_acc": finite_or_zero(clamp(F.abs("accel_ms2") / F.lit(acc))),
-        "norm_turn": finite_or_zero(clamp(F.col("turn_deg") / F.lit(turn_))),
-        "norm_course": finite_or_zero(clamp(1 - F.col("turn_deg") / F.lit(turn_))),
+        "norm_acc": cut(F.abs("accel_ms2") / F.lit(acc)),
+        "norm_turn": cut(F.col("turn_deg") / F.lit(turn_)),
+        "norm_course": cut(1 - F.col("turn_deg") / F.lit(turn_)),
         "in_range": F.coalesce(F.col("speed").between(1.0, 3.5).cast("int"), F.lit(0)),
-        "kernel": finite_or_zero(F.exp(-F.pow(F.col("speed") - 2.25, 2) / 2)),
+        "kernel": F.coalesce(F.nanvl(F.exp(-F.pow(F.col("speed") - 2.25, 2) / 2), F.lit(0.0)), F.lit(0.0)),
     })
 
 
@@ -88,7 +90,8 @@ def _density(x: list[Column], mean: list[float], cov: list[list[float]]) -> Colu
     for i in range(d):
         rest = x[i] - F.lit(mean[i])
         for k in range(i):
-            rest = rest - F.lit(low[i][k]) * z[k]
+            if low[i][k]:
+                rest = rest - F.lit(low[i][k]) * z[k]
         z.append(rest / F.lit(low[i][i]))
     square = sum((v * v for v in z[1:]), z[0] * z[0])
     return F.exp(F.lit(-0.5) * square) / F.lit((2 * math.pi) ** (d / 2) * math.prod(low[i][i] for i in range(d)))
@@ -99,11 +102,14 @@ def posterior(df: DataFrame, m: Mixture, features: tuple[str, ...] = FEATURES, s
     neither stops nor trainable. Plain column arithmetic."""
     x = [F.col(c) for c in features]
     parts = [F.lit(w) * _density(x, mean, cov) for w, mean, cov in zip(m.weights, m.means, m.covariances, strict=True)]
-    rows = df.withColumn("kg_d", F.array(*parts))
-    total = F.aggregate("kg_d", F.lit(0.0), lambda a, b: a + b)
+    # Columns one after another, not an array: each density is worked out once, and what is used of p is all that is.
+    own = [f"kg_d{i}" for i in range(m.k)]
+    rows = df.withColumns(dict(zip(own, parts, strict=True)))
+    rows = rows.withColumn("kg_all", sum((F.col(c) for c in own), F.lit(0.0)))
     stopped = F.coalesce(F.col(stop), F.lit(False))
-    share = F.when(~stopped & trainable() & (total > 0), F.transform("kg_d", lambda v: v / total)).otherwise(F.array_repeat(F.lit(0.0), m.k))
-    return rows.withColumn("p", F.concat(F.array(stopped.cast("double")), share)).drop("kg_d")
+    told = ~stopped & trainable() & (F.col("kg_all") > 0)
+    share = [F.when(told, F.col(c) / F.col("kg_all")).otherwise(0.0) for c in own]
+    return rows.withColumn("p", F.array(stopped.cast("double"), *share)).drop(*own, "kg_all")
 
 
 def component_summary(df: DataFrame, m: Mixture, features: tuple[str, ...] = ("speed",)) -> DataFrame:

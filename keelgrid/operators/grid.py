@@ -100,20 +100,42 @@ def swept_ratio(cells: DataFrame, years: float | None = None) -> DataFrame:
     return cells.withColumn("sar", sar).withColumn("p_d", depth).withColumn("svr", F.col("sar") * F.col("p_d"))
 
 
+def _usable(most_km: float) -> list[Column]:
+    """Of pings whose pl_eff is usable (finite, the sample near enough) their number and sum."""
+    usable = F.col("pl_eff").isNotNull() & ~F.isnan("pl_eff") & (F.col("dist_km").isNull() | (F.col("dist_km") <= most_km))
+    return [F.count(F.when(usable, 1)).alias("n_with_pl"), F.sum(F.when(usable, F.col("pl_eff"))).alias("pl_sum")]
+
+
+def _marks(period: Column | None) -> tuple[Column, Column]:
+    """A period's range of 64, and the bits of a range's periods."""
+    year = (F.year("ts") if period is None else period).cast("long")
+    mark = F.call_function("shiftleft", F.lit(1).cast("long"), year.bitwiseAND(63).cast("int"))
+    return F.shiftright(year, 6).alias("kg_range"), F.bit_or(mark).alias("kg_marks")
+
+
+def _marked() -> Column:
+    return F.coalesce(F.sum(F.bit_count("kg_marks")), F.lit(0)).alias("years_trawled")
+
+
 def lability(pings: DataFrame, most_km: float = 10.0) -> DataFrame:
     """Per cell: pings whose pl_eff is usable (finite, the sample near enough), their sum, and the plain mean."""
-    usable = F.col("pl_eff").isNotNull() & ~F.isnan("pl_eff") & (F.col("dist_km").isNull() | (F.col("dist_km") <= most_km))
-    by = pings.where("grid_id is not null").groupBy("grid_id").agg(F.count(F.when(usable, 1)).alias("n_with_pl"), F.sum(F.when(usable, F.col("pl_eff"))).alias("pl_sum"))
+    by = pings.where("grid_id is not null").groupBy("grid_id").agg(*_usable(most_km))
     return by.withColumn("p_l", F.try_divide("pl_sum", "n_with_pl"))
 
 
 def duration_years(pings: DataFrame, period: Column | None = None) -> DataFrame:
     """In how many different years (or other periods, by whole numbers) a cell has pings; unknown ones do not count. Periods are marked in
     ranges of 64, so a cell's pings are one row before they are shuffled."""
-    year = (F.year("ts") if period is None else period).cast("long")
-    marked = pings.where("grid_id is not null").select("grid_id", F.shiftright(year, 6).alias("kg_range"), F.call_function("shiftleft", F.lit(1).cast("long"), year.bitwiseAND(63).cast("int")).alias("kg_mark"))
-    marked = marked.groupBy("grid_id", "kg_range").agg(F.bit_or("kg_mark").alias("kg_marks"))
-    return marked.groupBy("grid_id").agg(F.coalesce(F.sum(F.bit_count("kg_marks")), F.lit(0)).alias("years_trawled"))
+    within, marks = _marks(period)
+    return pings.where("grid_id is not null").groupBy("grid_id", within).agg(marks).groupBy("grid_id").agg(_marked())
+
+
+def lability_and_years(pings: DataFrame, period: Column | None = None, most_km: float = 10.0) -> DataFrame:
+    """lability and duration_years of the same pings, which are worked out once."""
+    within, marks = _marks(period)
+    by = pings.where("grid_id is not null").groupBy("grid_id", within).agg(*_usable(most_km), marks)
+    by = by.groupBy("grid_id").agg(F.sum("n_with_pl").alias("n_with_pl"), F.sum("pl_sum").alias("pl_sum"), _marked())
+    return by.withColumn("p_l", F.try_divide("pl_sum", "n_with_pl"))
 
 
 def merged(*parts: DataFrame) -> DataFrame:

@@ -92,11 +92,17 @@ def _range(w: _Wanted) -> tuple:
 def _narrow(values: DataFrame, many: list[_Wanted], accuracy: int) -> None:
     if not many:
         return
+    # Ranks of one range share its sketch: sketches are large, and all of a column's meet in one task.
+    shared: dict[tuple, list[_Wanted]] = {}
+    for w in many:
+        shared.setdefault(_range(w), []).append(w)
     sketched = []
-    for k, w in enumerate(many):
-        q = (w.rank - w.below) / max(1, w.inside - 1)
-        sketched.append(F.percentile_approx(w.here(), [max(0.0, q - w.room), min(1.0, q + w.room)], accuracy).alias(f"r{k}"))
-    cuts = values.agg(*sketched).first()
+    for k, own in enumerate(shared.values()):
+        at = [(w, (w.rank - w.below) / max(1, w.inside - 1)) for w in own]
+        sketched.append(F.percentile_approx(own[0].here(), [x for w, q in at for x in (max(0.0, q - w.room), min(1.0, q + w.room))], accuracy).alias(f"r{k}"))
+    row = values.agg(*sketched).first()
+    many = [w for own in shared.values() for w in own]
+    cuts = [(found[2 * k], found[2 * k + 1]) for own, found in zip(shared.values(), row, strict=True) for k in range(len(own))]
     counted = []
     for k, (w, (low, high)) in enumerate(zip(many, cuts, strict=True)):
         c = F.col(w.column)

@@ -161,9 +161,9 @@ _KIN = f"""WITH {a.PINGS_SQL}, {a.SPECS_SQL}, lagged AS (SELECT *, (epoch_us(ts)
 kin AS (SELECT ping_id, ssvid, ts, seg_id, speed, course, lon, lat, dt_s, coalesce(CASE WHEN dc > 180 THEN 360 - dc ELSE dc END, 0) AS turn_deg, coalesce(dv * 0.514444e0 / greatest(dt_s, 1e0), 0) AS accel_ms2 FROM lagged)"""
 
 
-def _kin(spark, d):
-    """The driver's events are too sparse for segments of a day: here a vessel is a segment."""
-    return kinematics.kinematics(a.pings(spark, d).withColumn("seg_id", F.col("ssvid").cast("string")))
+def _kin(spark, d, by_vessel=False):
+    """The driver's events are too sparse for segments of a day: here a vessel is a segment. by_vessel: as dealt by the adapter."""
+    return kinematics.kinematics(a.pings(spark, d, by_vessel).withColumn("seg_id", F.col("ssvid").cast("string")), "ssvid" if by_vessel else "seg_id")
 
 
 @query(_KIN + " SELECT ping_id, round(dt_s + 1e-9, 6) AS dt_s, round(turn_deg + 1e-9, 6) AS turn_deg, round(accel_ms2 + 1e-9, 6) + 0e0 AS accel_ms2 FROM kin")
@@ -257,8 +257,8 @@ _NORM = _KIN + """, sc AS (SELECT quantile_cont(abs(accel_ms2), 0.95) AS qa, qua
 norm AS (SELECT k.*, least(greatest(abs(accel_ms2) / qa, 0), 1) AS norm_acc, least(greatest(turn_deg / qt, 0), 1) AS norm_turn, least(greatest(1 - turn_deg / qt, 0), 1) AS norm_course, CASE WHEN speed BETWEEN 1 AND 3.5e0 THEN 1 ELSE 0 END AS in_range, exp(-pow(speed - 2.25e0, 2) / 2) AS kernel FROM kin k, sc)"""
 
 
-def _norm(spark, d):
-    rows = _kin(spark, d)
+def _norm(spark, d, by_vessel=False):
+    rows = _kin(spark, d, by_vessel)
     return behaviour.normed(rows, *behaviour.scales(rows))
 
 
@@ -293,9 +293,13 @@ post AS (SELECT *, CASE WHEN st THEN 1e0 ELSE 0e0 END AS p1, {', '.join(f'CASE W
 lab AS (SELECT *, CASE WHEN p1 >= greatest(p2, p3, p4, p5) THEN 'stops' WHEN p2 >= greatest(p3, p4, p5) THEN 'dredging' WHEN p3 >= greatest(p4, p5) THEN 'slow_maneuvers' WHEN p4 >= p5 THEN 'loaded_transit' ELSE 'unloaded_transit' END AS behaviour FROM post)"""
 
 
+def _scorable(spark, d, by_vessel=False):
+    rows = _norm(spark, d, by_vessel).withColumn("is_stop_spatial", kinematics.stop_flag(F.col("speed"), F.col("dt_s"), 1.0, 300.0 * SCALE))
+    return behaviour.posterior(rows, MIXTURE)
+
+
 def _labelled(spark, d):
-    rows = _norm(spark, d).withColumn("is_stop_spatial", kinematics.stop_flag(F.col("speed"), F.col("dt_s"), 1.0, 300.0 * SCALE))
-    return behaviour.labelled(behaviour.posterior(rows, MIXTURE), behaviour.name_components([m[0] for m in MIXTURE.means]))
+    return behaviour.labelled(_scorable(spark, d), behaviour.name_components([m[0] for m in MIXTURE.means]))
 
 
 @query(_POST + " SELECT ping_id, round(p1, 6) AS p1, round(p2, 6) AS p2, round(p3, 6) AS p3, round(p4, 6) AS p4, round(p5, 6) AS p5, behaviour FROM lab")
